@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folio.llm.exact_dedup import exact_dedup
+from folio.llm.license_scan import license_scan
+from folio.llm.license_scan import oracle as license_oracle
 from folio.llm.packing import pack_documents
+from folio.llm.quality_rules import ledger, passes
+from folio.llm.quality_rules import oracle as quality_oracle
 from folio.llm.token_files import read_documents, write_documents
 
 
@@ -22,6 +27,15 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger(table(spark, sf_dir, "documents")).withColumn("base_failed", ~passes("base", 1))
+    return rows.withColumn("kept", ~F.col("base_failed") & passes("web", 2))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_documents(table(spark, sf_dir, "documents"), byte_bpe(), end_id=2)
     return read_documents(manifest)
@@ -36,12 +50,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_quality_rules": op2_quality_rules,
     "op3_token_files": op3_token_files,
     "op5_packing": op5_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": license_oracle(),
+    "op2_quality_rules": quality_oracle("web", 2),
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
              g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY body)
