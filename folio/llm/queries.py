@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.exact_dedup import exact_dedup
+from folio.llm.language_id import identify, train
 from folio.llm.license_scan import license_scan
 from folio.llm.license_scan import oracle as license_oracle
 from folio.llm.packing import pack_documents
@@ -45,6 +46,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), byte_bpe(), capacity=1024, end_id=0)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_token_files": op3_token_files,
     "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
