@@ -20,7 +20,7 @@ def create(uri: str):
     """An output stream to a new file; its folder is made where that is needed."""
     system, path = resolve(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def opened(uri: str):
