@@ -11,6 +11,7 @@ from folio.llm.exact_dedup import exact_dedup
 from folio.llm.language_id import identify, train
 from folio.llm.license_scan import license_scan
 from folio.llm.license_scan import oracle as license_oracle
+from folio.llm.mixing import mix_copies, n_words
 from folio.llm.packing import pack_documents
 from folio.llm.quality_rules import ledger, passes
 from folio.llm.quality_rules import oracle as quality_oracle
@@ -52,6 +53,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mix_copies(docs.select("doc_id", "source", n_words(docs["text"]).alias("size")))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages"), min_bytes=0)).drop("url")
 
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
+    "op7_mixing": op7_mixing,
     "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
 }
