@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm import toxicity
 from folio.llm.exact_dedup import exact_dedup
 from folio.llm.language_id import identify, train
 from folio.llm.license_scan import license_scan
@@ -59,6 +60,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages"), min_bytes=0)).drop("url")
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
 }
