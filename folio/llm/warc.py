@@ -130,19 +130,22 @@ def write_archives(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     payload = F.coalesce(pages[html_col], F.lit("")).cast("binary")
-    rows = pages.select(pages[id_col].cast("long").alias("id"), F.sha2(payload, 256).alias("sha"), F.length(payload).alias("bytes"), pages[url_col].alias("url"), payload.alias("payload"))
-    ids = rows.groupBy("id", "sha", "bytes").agg(F.count(F.lit(1)).alias("n"))
-    winners = ids.filter(F.col("bytes") >= min_bytes).groupBy("sha").agg(F.max("id").alias("response"))
-    decided = ids.select("id", "sha").join(winners.withColumn("shared", F.lit(True)), "sha", "left")
-    decided = decided.select(F.col("id").alias("d_id"), F.col("sha").alias("d_sha"), "response", "shared")
-    joined = rows.join(decided, rows["id"].eqNullSafe(decided["d_id"]) & (rows["sha"] == decided["d_sha"]))
-    ordered = joined.select("id", "sha", "url", "payload", "response", "shared").repartition(task_count(spark), "sha", "id").sortWithinPartitions("sha", "id")
+    page = pages[id_col].cast("long")
+    rows = pages.select(F.coalesce(page, F.lit(0)).alias("id"), page.isNull().alias("no_id"), F.sha2(payload, 256).alias("sha"), F.length(payload).alias("bytes"), pages[url_col].alias("url"), payload.alias("payload"))
+    key = ["sha", "id", "no_id"]
+    ids = rows.groupBy(*key).agg(F.first("bytes").alias("bytes"))
+    winners = ids.filter(F.col("bytes") >= min_bytes).groupBy("sha").agg(F.max(F.when(~F.col("no_id"), F.col("id"))).alias("response"))
+    decided = ids.select(*key).join(winners.withColumn("shared", F.lit(True)), "sha", "left")
+    # both sides are dealt by the whole key, so the payloads travel once and repeats of a row stay together
+    tasks = task_count(spark)
+    joined = rows.drop("bytes").repartition(tasks, *key).join(decided.repartition(tasks, *key), key)
+    ordered = joined.sortWithinPartitions(*key)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, path, size, count, last = None, "", 0, 0, None
         for frame in frames:
-            for page, sha, url, body, response, shared in frame[["id", "sha", "url", "payload", "response", "shared"]].astype(object).itertuples(index=False):
-                page = None if pd.isna(page) else int(page)
+            for page, no_id, sha, url, body, response, shared in frame[["id", "no_id", "sha", "url", "payload", "response", "shared"]].astype(object).itertuples(index=False):
+                page = None if no_id else int(page)
                 response = None if pd.isna(response) else int(response)
                 repeat = last == (page, sha)
                 revisit = shared is True and (repeat or page != response)
