@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import toxicity
 from folio.llm.exact_dedup import exact_dedup
+from folio.llm.jaccard_join import jaccard_join
 from folio.llm.language_id import identify, train
 from folio.llm.license_scan import license_scan
 from folio.llm.license_scan import oracle as license_oracle
@@ -45,6 +46,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(manifest)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), width=5, percent=75)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), byte_bpe(), capacity=1024, end_id=0)
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_files": op3_token_files,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
