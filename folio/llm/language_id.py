@@ -54,7 +54,8 @@ def ngram_counts(text: str) -> np.ndarray | None:
     codes = np.where(letter, codes, np.uint32(32))
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    c = np.concatenate(([32], codes[keep], [32])).astype(np.uint32) * np.uint32(2654435761)
+    kept = codes[keep]
+    c = np.concatenate(([32], kept, [32] * bool(kept[-1] != 32))).astype(np.uint32) * np.uint32(2654435761)
     two = (c[:-1] ^ (c[1:] >> np.uint32(7))) * np.uint32(2246822519)
     three = (two[:-1] ^ (c[2:] >> np.uint32(3))) * np.uint32(3266489917)
     shift = np.uint32(32 - DIM.bit_length() + 1)

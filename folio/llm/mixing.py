@@ -16,7 +16,7 @@ rounded together to the combination that comes closest to their common number of
 
 A bucket is streamed in sorted order, so memory does not grow with it, and a source that holds
 a third of all rows is spread over all buckets. All draws come from hashes of ids: reruns agree,
-whatever the cluster. Defined cases: null text has size 0 and takes 0 words; null source is a
+whatever the cluster. Defined cases: null text has size 0, and documents without words are left out; null source is a
 source of its own; repeated rows and null ids are documents like any other; an empty table gives
 an empty result; other columns do not matter.
 """
