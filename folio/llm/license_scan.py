@@ -125,5 +125,5 @@ l AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',')
       FROM (SELECT doc_id, label FROM k UNION ALL SELECT doc_id, label FROM d WHERE base) GROUP BY doc_id),
 c AS (SELECT doc_id, max({sure}) AS score FROM k GROUP BY doc_id)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
-       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0.0) AS DOUBLE) AS score
 FROM w LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)"""
