@@ -153,7 +153,7 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 def mix_copies(
-    sized: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, bucket_rows: int = 4096, fan_in: int = 16, seed: int = 1
+    sized: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, bucket_rows: int = 1024, fan_in: int = 16, seed: int = 1
 ) -> DataFrame:
     """Per row of ``sized`` (doc_id, source, size): these, source_size, target and copies."""
     spark = sized.sparkSession
