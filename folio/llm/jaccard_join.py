@@ -41,12 +41,13 @@ from pyspark.sql import functions as F
 
 from folio.llm.components import contract, relabelled
 from folio.llm.scratch import materialise, task_count
+from folio.llm.shared_files import small_batches
 from folio.llm.shingles import set_key, shingle_set
 
 _BULK, _META, _SHARED = 0, 1, 2
 _PACKED = "part int, kind int, a binary, b binary, c binary, d binary, e binary"
 _BLOCK = 64
-_FLUSH = 3_000_000  # shingles a task packs at a time
+_FLUSH = 1_000_000  # shingles a task packs at a time
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -110,7 +111,7 @@ def _packed_shingles(width: int, parts: int):
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, sets, held = [], [], [], 0
-        for batch in batches:
+        for batch in small_batches(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, width)
                 ids.append(doc_id)

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.shared_files import small_batches
+
 DIM = 4096
 _LETTERS: np.ndarray | None = None
 
@@ -175,9 +177,7 @@ def accepted_documents(docs: DataFrame, model: Model, text_col: str = "text") ->
     def keep(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            text = batch.column(columns.index(text_col)).to_pylist()
-            stay = np.concatenate([~model.predict(text[a : a + 512])[3] for a in range(0, len(text), 512)]) if text else np.zeros(0, bool)
-            yield batch.filter(pa.array(stay))
+        for batch in small_batches(batches):
+            yield batch.filter(pa.array(~model.predict(batch.column(columns.index(text_col)).to_pylist())[3]))
 
     return docs.mapInArrow(keep, docs.schema)

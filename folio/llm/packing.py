@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.scratch import task_count
+from folio.llm.shared_files import small_batches
 from folio.llm.token_ids import encoder
 
 
@@ -153,7 +154,7 @@ def pack_documents(
         doc_ids: list[int | None] = []
         raw: list[bytes] = []
         held = 0
-        for batch in batches:
+        for batch in small_batches(batches):
             doc_ids += batch.column(0).to_pylist()
             new = [x + end for x in coder.ids([t or "" for t in batch.column(1).to_pylist()])]
             raw += new

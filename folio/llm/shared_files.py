@@ -1,9 +1,11 @@
-"""Binary files in the shared folder, opened from Python tasks through Arrow's filesystems."""
+"""Binary files in the shared folder, opened from Python tasks through Arrow's filesystems; Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyarrow import fs
 
 
@@ -27,3 +29,10 @@ def opened(uri: str):
     """A random-access input file."""
     system, path = resolve(uri)
     return system.open_input_file(path)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few of their texts are Python strings at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)

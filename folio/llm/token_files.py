@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.scratch import materialise, new_folder, task_count
-from folio.llm.shared_files import create, opened
+from folio.llm.shared_files import create, opened, small_batches
 from folio.llm.token_ids import encoder
 
 MAGIC = b"IDBLOCK1"
@@ -158,7 +158,7 @@ def write_documents(
         coder, part, out = encoder(vocabulary), TaskContext.get().partitionId(), None
         width = bits_for(max(coder.vocabulary_size, (end_id or 0) + 1))
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for batch in small_batches(batches):
             out = out or Writer(f"{folder}/ids-{part:06d}-{uuid.uuid4().hex}.bin", width, block_ids)
             raw = coder.ids([t or "" for t in batch.column(1).to_pylist()])
             for doc_id, ids in zip(batch.column(0).to_pylist(), raw, strict=True):

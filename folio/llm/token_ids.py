@@ -23,7 +23,7 @@ def _wordwise(text: str) -> bool:
 class Encoder:
     """ids(texts): for each text its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, vocabulary: str, most_words: int = 1_000_000):
+    def __init__(self, vocabulary: str, most_words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
