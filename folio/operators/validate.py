@@ -75,25 +75,36 @@ def with_state_before(states: DataFrame) -> DataFrame:
     })
 
 
-def violations(states: DataFrame, *, whole_books: bool = False, **options) -> DataFrame:
-    """One row per page and failed rule: book_id, page_index, rule_rank, code.
-
-    With ``whole_books`` the last page of each book is also the last of its source."""
+def _with_failed(states: DataFrame, whole_books: bool, options: dict) -> DataFrame:
+    """Adds _failed, the (rule_rank, code) of each rule that fails on the page, in order."""
     table = rules(**options)
     failed = [F.when(F.coalesce(fails, F.lit(False)), F.struct(F.lit(rank).alias("rule_rank"), F.lit(code).alias("code"))) for rank, (code, fails) in enumerate(table)]
     pages = with_state_before(states)
     if whole_books:
-        last = F.lead("page_index").over(_order()).isNull()
         ends = (
             ("toc-not-exhausted", (F.col("toc_status") == "committed") & (F.col("next_expected_opening_index") < F.size("toc"))),
             ("unclosed-paragraph", T.non_empty(F.col("section.open_paragraph_tail"))),
         )
-        pages = pages.withColumn("_last", last)
+        pages = pages.withColumn("_last", F.lead("page_index").over(_order()).isNull())
         failed += [F.when(F.col("_last") & F.coalesce(fails, F.lit(False)), F.struct(F.lit(len(table) + k).alias("rule_rank"), F.lit(code).alias("code"))) for k, (code, fails) in enumerate(ends)]
-    found = pages.select("book_id", "page_index", F.explode(F.array_compact(F.array(*failed))).alias("v"))
+    return pages.withColumn("_failed", F.array_compact(F.array(*failed)))
+
+
+def violations(states: DataFrame, *, whole_books: bool = False, **options) -> DataFrame:
+    """One row per page and failed rule: book_id, page_index, rule_rank, code.
+
+    With ``whole_books`` the last page of each book is also the last of its source."""
+    found = _with_failed(states, whole_books, options).select("book_id", "page_index", F.explode("_failed").alias("v"))
     return found.select("book_id", "page_index", "v.rule_rank", "v.code")
 
 
+def accepted(states: DataFrame, *, whole_books: bool = False, **options) -> DataFrame:
+    """The pages before each book's first violation, with their states, inside the windows' partitioning."""
+    checked = _with_failed(states, whole_books, options)
+    stop = F.min(F.when(F.size("_failed") > 0, F.col("page_index"))).over(Window.partitionBy("book_id"))
+    return checked.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("page_index") < F.col("_stop"))).select(*states.columns)
+
+
 def first_violation(found: DataFrame) -> DataFrame:
     """Per book the violation at which processing stops."""
     best = F.min(F.struct("page_index", "rule_rank", "code"))
@@ -101,7 +112,7 @@ def first_violation(found: DataFrame) -> DataFrame:
 
 
 def accepted_prefix(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """The pages before each book's first violation."""
+    """The pages before each book's first violation, for violations that are stored already."""
     stops = first_violation(found).select("book_id", F.col("page_index").alias("_stop"))
     return pages.join(stops, "book_id", "left").filter(F.col("_stop").isNull() | (F.col("page_index") < F.col("_stop"))).drop("_stop")
 

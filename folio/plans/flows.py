@@ -60,8 +60,9 @@ def page_range(pages: DataFrame, *, processed: int = 0, through_page: int | None
 def ingest(pages: DataFrame, *, whole_books: bool = True, **options) -> tuple[DataFrame, DataFrame]:
     """Accepted pages, and the violation at which each other book stopped."""
     named = state.with_block_ids(pages)
-    found = validate.violations(state.with_state(named), whole_books=whole_books, **options)
-    return validate.accepted_prefix(named, found), validate.first_violation(found)
+    states = state.with_state(named)
+    kept = validate.accepted(states, whole_books=whole_books, **options).select(*named.columns)
+    return kept, validate.first_violation(validate.violations(states, whole_books=whole_books, **options))
 
 
 #: Canonical JSON of the fixed profiles (fixed values), sorted as they stand in a document.

@@ -234,8 +234,7 @@ def first_violation(spark, d):
 
 @query
 def accepted_prefix(spark, d):
-    pages = C.event_pages(spark, d)
-    kept = validate.accepted_prefix(pages, validate.violations(state.with_state(pages)))
+    kept = validate.accepted(state.with_state(C.event_pages(spark, d)))
     return kept.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_pages"), F.max("page_index").alias("last_page"))
 
 

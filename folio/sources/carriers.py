@@ -78,13 +78,13 @@ def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_id, page_index, page_type, event_id, text, continues_on, continues_previous, value."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    t = load(spark, sf_dir, "events").withColumn("page_index", F.row_number().over(order) - 1)
+    order = Window.partitionBy("book_id").orderBy("ts", "event_id")  # the key that all later windows use
+    t = load(spark, sf_dir, "events").withColumn("book_id", F.col("user_id").cast("string")).withColumn("page_index", F.row_number().over(order) - 1)
     kind = F.col("event_type")
     page_type = F.when(kind == "signup", "toc").when(kind == "purchase", "chapter_opening").when(kind == "view", "body").when(kind == "click", "blank").otherwise("figure_page")
     t = t.withColumn("continues_on", F.coalesce(F.col("value") > 60, F.lit(False)))
     before = F.coalesce(F.lag("continues_on").over(order), F.lit(False)) & (F.col("page_index") % 7 != 0)
-    return t.select(F.col("user_id").cast("string").alias("book_id"), "page_index", page_type.alias("page_type"), "event_id", F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("text"), "continues_on", before.alias("continues_previous"), "value", "props")
+    return t.select("book_id", "page_index", page_type.alias("page_type"), "event_id", F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("text"), "continues_on", before.alias("continues_previous"), "value", "props")
 
 
 def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
