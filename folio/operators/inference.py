@@ -100,3 +100,19 @@ def relocation_error(old_sha: Column, new_sha: Column) -> Column:
     """A moved file is accepted only if both hashes are known and equal."""
     known = F.coalesce((old_sha != "") & (new_sha != ""), F.lit(False))
     return F.when(~known | (old_sha != new_sha), "inference-relocation-rejected")
+
+
+def probe_outcome(status: Column, attempt: Column, frozen: Column) -> Column:
+    """What a counting probe's answer means: counted, unsupported (404), retry (first trouble on the way or
+    at the server; null status: no answer), or the code. A contract in force reports drift, discovery fails."""
+    transient = status.isNull() | status.isin(*RETRYABLE) | (status >= 500)
+    gone = F.when(frozen, "context-budget-probe-unavailable").otherwise("token-counting-calibration-failed")
+    other = F.when(frozen, "token-counting-contract-drift").otherwise("token-counting-calibration-failed")
+    return F.when(status == 200, "counted").when(transient & (attempt < 2), "retry").when(transient, gone).when((status == 404) & ~frozen, "unsupported").otherwise(other)
+
+
+def request_summary(model: Column, max_tokens: Column, schema: Column, parts: Column) -> Column:
+    """What is logged of a request: no content, but whether it held an image, and the schema's hash."""
+    return F.struct(
+        F.lit("json_schema").alias("format"), F.exists(parts, lambda p: p["type"] == "image_url").alias("include_image"), max_tokens.alias("max_tokens"), model.alias("model"), F.sha2(schema, 256).alias("schema_sha256")
+    )

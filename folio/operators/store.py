@@ -94,6 +94,13 @@ def drift(stored: DataFrame, current: DataFrame, fields: dict[str, str], key: st
     return joined.select(F.col(f"s.{key}").alias(key), code.alias("code")).filter("code IS NOT NULL")
 
 
+def numbered_failures(rows: DataFrame, *order: str) -> DataFrame:
+    """Failures of each book in order, numbered from 1 and named; the last one is marked as the latest."""
+    place = Window.partitionBy("book_id").orderBy(*order)
+    numbered = rows.withColumn("number", F.row_number().over(place)).withColumn("latest", F.lead(F.lit(1)).over(place).isNull())
+    return numbered.withColumn("name", F.format_string("failure-%04d", "number"))
+
+
 # Recovery of an output transaction. Each row: the phase, whether destination, candidate and previous
 # exist (None: either), and (condition, action) pairs of which the first that holds is taken.
 _C, _D, _DH, _P, _ELSE = "candidate_valid", "destination_valid", "destination_valid_at_head", "previous_valid", "otherwise"

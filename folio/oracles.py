@@ -6,6 +6,8 @@ uses windows.
 
 from __future__ import annotations
 
+from folio.functions.prompt import SECTIONS
+
 _ONLY_SPACES = "trim(x) <> ''"
 
 _EVENTS = """
@@ -134,6 +136,8 @@ _RECOVERY_CASE = """CASE
  WHEN phase = 'candidate-valid' AND has_candidate AND NOT has_destination AND NOT has_previous THEN CASE WHEN candidate_valid THEN 'publish-candidate' ELSE 'quarantine-candidate' END
  ELSE 'raise-corruption' END"""
 
+_REST = " || chr(10) || chr(10) || ".join(f"'{text}'" for text in SECTIONS[1:])
+
 ORACLES: dict[str, str] = {
     "scan_blocks": f"""{_CONV} SELECT book_id, page_index, pos, role, CASE WHEN role = 'heading' THEN page_index % 3 + 1 END AS heading_level,
         printf('p%03d-b%03d', page_index + 1, pos + 1) AS block_id, text FROM cb""",
@@ -256,6 +260,14 @@ ORACLES: dict[str, str] = {
     "attempt_rollup": f"""WITH {_EVENTS} SELECT book_id, page_index // 3 AS page_index, count(*) AS attempts, count(*) FILTER (event_id % 3 <> 0) AS failed_attempts,
         CAST(nullif(sum(CASE WHEN event_id % 2 = 0 THEN event_id % 50 ELSE 0 END), 0) AS BIGINT) AS elapsed_ms FROM e GROUP BY ALL""",
     "attempt_invariants": f"WITH {_EVENTS} SELECT event_id, event_id % 4 < 1 OR (event_id % 3 = 0 AND (event_id % 2 = 0 OR event_id % 5 = 0)) OR (event_id % 3 <> 0 AND event_id % 2 <> 0) AS problem FROM e",
+    "probe_outcomes": f"""WITH {_EVENTS}, s AS (SELECT event_id, [NULL, 200, 404, 500, 503, 401, 422][event_id % 7 + 1] AS status, event_id % 2 + 1 AS attempt, event_id % 3 = 0 AS frozen FROM e)
+        SELECT event_id, CASE WHEN status = 200 THEN 'counted' WHEN status IS NULL OR status >= 500 THEN CASE WHEN attempt = 1 THEN 'retry' WHEN frozen THEN 'context-budget-probe-unavailable' ELSE 'token-counting-calibration-failed' END
+          WHEN status = 404 AND NOT frozen THEN 'unsupported' WHEN frozen THEN 'token-counting-contract-drift' ELSE 'token-counting-calibration-failed' END AS outcome FROM s""",
+    "failure_numbers": f"""{_RULES}, n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page_index, rank) AS k, count(*) OVER (PARTITION BY book_id) AS total FROM v)
+        SELECT book_id, page_index, code, printf('failure-%04d', k) AS name, k = total AS latest FROM n""",
+    "prompt_build": f"""{_FOLD}, k AS (SELECT book_id, page_index, coalesce(lag(status) OVER (PARTITION BY book_id ORDER BY page_index), 'not_seen') AS was, title_b, tail_b, prev_type FROM f)
+        SELECT book_id, page_index, '{SECTIONS[0]}' || chr(10) || chr(10) || 'What is known so far:' || chr(10) || '{{"current_section_title":' || coalesce('"' || title_b || '"', 'null') || ',"open_paragraph_tail":' || coalesce('"' || tail_b || '"', 'null')
+          || ',"previous_page_type":' || coalesce('"' || prev_type || '"', 'null') || ',"toc_status":"' || was || '"}}' || chr(10) || chr(10) || {_REST} AS prompt FROM k""",
     "publish_recovery": f"""WITH b AS (SELECT unnest([true, false]) AS x), s AS (SELECT phase, a.x AS has_destination, b.x AS has_candidate, c.x AS has_previous, d.x AS candidate_valid, g.x AS destination_valid, h.x AS destination_valid_at_head, i.x AS previous_valid
           FROM (SELECT unnest(['building', 'candidate-valid', 'previous-moved', 'candidate-published']) AS phase), b a, b, b c, b d, b g, b h, b i)
         SELECT *, {_RECOVERY_CASE} AS action, CASE WHEN destination_valid THEN 'keep-destination' WHEN previous_valid THEN 'restore-previous' ELSE 'quarantine-all' END AS without_marker FROM s""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folio.functions import geometry as G
 from folio.functions import identity as I
 from folio.functions import paths as P
+from folio.functions import prompt as R
 from folio.functions import text as T
 from folio.operators import inference, markdown, publish, state, store, validate
 from folio.oracles import ORACLES
@@ -439,6 +440,26 @@ def attempt_invariants(spark, d):
     return e.select("event_id", problem.alias("problem"))
 
 
+@query
+def probe_outcomes(spark, d):
+    i = F.col("event_id")
+    status = F.get(F.array(F.lit(None).cast("int"), *[F.lit(x) for x in (200, 404, 500, 503, 401, 422)]), (i % 7).cast("int"))
+    return C.event_rows(spark, d).select("event_id", inference.probe_outcome(status, (i % 2 + 1).cast("int"), i % 3 == 0).alias("outcome"))
+
+
+@query
+def failure_numbers(spark, d):
+    found = validate.violations(state.with_state(C.event_pages(spark, d)))
+    return store.numbered_failures(found, "page_index", "rule_rank").select("book_id", "page_index", "code", "name", "latest")
+
+
+@query
+def prompt_build(spark, d):
+    c = state.page_context(state.with_state(C.event_pages(spark, d)))
+    known = F.struct("current_section_title", "open_paragraph_tail", "previous_page_type", "toc_status")
+    return c.select("book_id", "page_index", R.prompt(known).alias("prompt"))
+
+
 @query
 def publish_recovery(spark, d):
     s = store.recovery_states(spark)

@@ -370,3 +370,12 @@ def test_page_source_is_partitioned_and_reports_failures(spark):
     read = spark.read.format("page_images").options(renderer="tests.render:render", page_count="tests.render:count", pages_per_partition="2", dpi="72")
     rows = read.load("any").orderBy("page_index").collect()
     assert [(r.page_index, r.content and bytes(r.content), r.error) for r in rows] == [(0, b"0@72", None), (1, b"1@72", None), (2, None, "page-render-failed"), (3, None, "page-image-too-large"), (4, b"4@72", None)]
+
+
+def test_schemas_lose_descriptions_but_no_property():
+    from folio.functions.prompt import bare_schema
+
+    schema = {"title": "T", "type": "object", "properties": {"title": {"type": "string", "title": "x"}, "a": {"$ref": "#/$defs/A"}}, "$defs": {"A": {"type": "object", "description": "d", "properties": {}}}}
+    assert bare_schema(schema) == {
+        "type": "object", "additionalProperties": False, "properties": {"title": {"type": "string"}, "a": {"$ref": "#/$defs/A"}}, "$defs": {"A": {"type": "object", "properties": {}, "additionalProperties": False}},
+    }
