@@ -23,7 +23,7 @@ def contract(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     edges = materialise(edges.filter("u <> v").distinct(), "edges")
     while not edges.isEmpty():
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "near")
+        near = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label"))
         next_ = near.select(F.col("node").alias("label"), F.col("label").alias("further"))
         step = materialise(near.join(next_, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
         if labels is None:

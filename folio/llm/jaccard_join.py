@@ -379,7 +379,7 @@ class _Join:
         else:
             state = state.selectExpr("*", "CAST(NULL AS LONG) AS anchor", "CAST(NULL AS LONG) AS anchor_n", "CAST(NULL AS LONG) AS over")
         state = state.select("token", "class", "n", "pos", F.coalesce("label", "class").alias("label"), F.coalesce("anchor", "class").alias("anchor"), F.coalesce("anchor_n", F.lit(0)).alias("anchor_n"), F.coalesce("over", F.lit(-1)).alias("over"))
-        dealt = state.repartition(task_count(self.spark), "token").sortWithinPartitions("token", "class")
+        dealt = state.repartition("token").sortWithinPartitions("token", "class")
         found = materialise(dealt.mapInArrow(_candidates(first, self.percent), _FOUND), "peeled")
         derived = found.filter("kind = 2").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if not derived.isEmpty():

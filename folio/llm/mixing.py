@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.scratch import materialise, task_count
+from folio.llm.scratch import materialise
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _ROW = "doc_id long, source string, size long, source_size long, target double, bucket long, copies long, part double, kind int, hash long, done boolean"
@@ -156,12 +156,10 @@ def mix_copies(
     sized: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, bucket_rows: int = 1024, fan_in: int = 16, seed: int = 1
 ) -> DataFrame:
     """Per row of ``sized`` (doc_id, source, size): these, source_size, target and copies."""
-    spark = sized.sparkSession
     sized = materialise(sized.select("doc_id", "source", "size"), "mix-sizes")
     targets = materialise(source_targets(sized, weights, share, most), "mix-targets")
     rows = targets.agg(F.sum("n_docs")).first()[0] or 0
     buckets = max(1, -(-rows // bucket_rows))
-    tasks = task_count(spark)
 
     joined = sized.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -182,7 +180,7 @@ def mix_copies(
     settled: DataFrame | None = None
     while True:
         root = buckets == 1
-        dealt = open_rows.repartition(tasks, "bucket", "source").sortWithinPartitions("bucket", "source", "kind", "hash", "doc_id")
+        dealt = open_rows.repartition("bucket", "source").sortWithinPartitions("bucket", "source", "kind", "hash", "doc_id")
         level = materialise(dealt.mapInPandas(lambda frames, root=root: _settle(frames, root), _ROW), "mix-level")
         done = level.filter("done")
         settled = done if settled is None else settled.unionByName(done)
