@@ -22,14 +22,15 @@ def unknown_keys(json: Column, allowed: tuple[str, ...]) -> Column:
 
 def parsed(frame: DataFrame, column: str) -> DataFrame:
     """Adds ``wire`` (the typed record, null if it doesn't parse) and ``wire_error``: null, invalid-json
-    or invalid-structured-response. Unknown keys, wrong types and values outside the closed sets reject."""
+    or invalid-structured-response. Unknown keys, wrong types and values outside the closed sets reject.
+
+    The text is parsed once: record and verdict come out of one expression, so that a filter on either
+    does not multiply the parsing."""
+    text = F.col(column)
     schema = WIRE_PAGE.removesuffix(">") + ", _corrupt: STRING>"
-    record = F.from_json(F.col(column), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    blocks = F.from_json(F.get_json_object(F.col(column), "$.blocks"), "ARRAY<STRING>")
-    step = frame.withColumn("_record", record)
-    r = F.col("_record")
-    not_json = F.json_object_keys(F.col(column)).isNull()
-    closed = (F.size(unknown_keys(F.col(column), PAGE_KEYS)) == 0) & ~F.exists(F.coalesce(blocks, F.array().cast("array<string>")), lambda b: F.size(unknown_keys(b, BLOCK_KEYS)) > 0)
+    record = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    raw_blocks = F.from_json(F.get_json_object(text, "$.blocks"), "ARRAY<STRING>")
+    seen = F.struct(record.alias("record"), F.json_object_keys(text).alias("keys"), F.coalesce(raw_blocks, F.array().cast("array<string>")).alias("raw_blocks"))
     levels = lambda v: v.isNull() | v.between(1, 6)
     in_box = lambda v: v.isNull() | v.between(0, 1000)
     good_block = lambda b: (
@@ -39,9 +40,17 @@ def parsed(frame: DataFrame, column: str) -> DataFrame:
         & F.forall(F.coalesce(b["segments"], F.array().cast("array<struct<kind:string,value:string>>")), lambda s: s["kind"].isin(*INLINE_KINDS) & s["value"].isNotNull())
         & in_box(b["bbox"]["left"]) & in_box(b["bbox"]["top"]) & in_box(b["bbox"]["right"]) & in_box(b["bbox"]["bottom"])
     )
-    valid = r["_corrupt"].isNull() & closed & r["page_type"].isin(*PAGE_TYPES) & F.forall(F.coalesce(r["blocks"], F.array().cast(f"array<{WIRE_BLOCK}>")), good_block) & levels(r["opening"]["level"])
-    error = F.when(not_json, "invalid-json").when(~F.coalesce(valid, F.lit(False)), "invalid-structured-response")
-    return step.withColumn("wire_error", error).withColumn("wire", F.when(error.isNull(), r)).drop("_record")
+
+    def judged(x: Column) -> Column:
+        r = x["record"]
+        closed = (F.size(F.array_except(x["keys"], F.array(*map(F.lit, PAGE_KEYS)))) == 0) & ~F.exists(x["raw_blocks"], lambda b: F.size(unknown_keys(b, BLOCK_KEYS)) > 0)
+        blocks = F.coalesce(r["blocks"], F.array().cast(f"array<{WIRE_BLOCK}>"))
+        valid = r["_corrupt"].isNull() & closed & r["page_type"].isin(*PAGE_TYPES) & F.forall(blocks, good_block) & levels(r["opening"]["level"])
+        error = F.when(x["keys"].isNull(), "invalid-json").when(~F.coalesce(valid, F.lit(False)), "invalid-structured-response")
+        return F.transform(F.array(error), lambda e: F.struct(e.alias("error"), F.when(e.isNull(), r).alias("record")))[0]
+
+    step = frame.withColumn("_outcome", F.transform(F.array(seen), judged)[0])
+    return step.withColumn("wire", F.col("_outcome.record")).withColumn("wire_error", F.col("_outcome.error")).drop("_outcome")
 
 
 def missing_parts(wire: Column) -> Column:
