@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.components import contract, relabelled
 from folio.llm.scratch import materialise, task_count
-from folio.llm.shared_files import small_batches
+from folio.llm.shared_files import give_back, small_batches
 from folio.llm.shingles import set_key, shingle_set
 
 _BULK, _META, _SHARED = 0, 1, 2
@@ -123,6 +123,8 @@ def _packed_shingles(width: int, parts: int):
                     ids, keys, sets, held = [], [], [], 0
         if ids:
             yield from flush(ids, keys, sets)
+        del ids, keys, sets
+        give_back()
 
     return pack
 
@@ -172,6 +174,8 @@ def _shared_shingles(parts: int):
                 k, first, times = np.unique(key[x:y], return_index=True, return_counts=True)
                 o = np.argsort(first)  # runs stand in unsigned order
                 yield _batch([(part, _SHARED, k[o].tobytes(), times[o].astype("<u4").tobytes(), token[x:y].tobytes(), df[x:y].astype("<u4").tobytes(), size[x:y][first[o]].astype("<u4").tobytes())])
+        del token, key, size, df, by, order
+        give_back()
 
     return count
 

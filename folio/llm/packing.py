@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.scratch import task_count
-from folio.llm.shared_files import small_batches
+from folio.llm.shared_files import give_back, small_batches
 from folio.llm.token_ids import encoder
 
 
@@ -164,6 +164,8 @@ def pack_documents(
                 first, doc_ids, raw, held = first + (1 << 24), [], [], 0
         if raw:
             yield from rows(doc_ids, raw, first)
+        del doc_ids, raw
+        give_back()
 
     dealt = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     dealt = dealt.repartition(tasks or task_count(docs.sparkSession), F.xxhash64("id", F.length("text"))).sortWithinPartitions("id", "text")

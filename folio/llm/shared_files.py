@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -36,3 +37,12 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterato
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+
+
+def give_back() -> None:
+    """Return memory that this worker no longer uses to the system; workers outlive their tasks, so what
+    one stage needed would else stand beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
