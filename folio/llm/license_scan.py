@@ -36,7 +36,10 @@ def _gated(low: Column, table: list[Rule]) -> Column:
 
 
 def _table(table: list[Rule]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.tier).alias("tier"), F.lit(r.keyword).alias("keyword"), F.lit(compiled(r.pattern)).alias("pattern"), F.lit(r.base).alias("base")) for i, r in enumerate(table)])
+    """The rules as one constant, given to the engine as one SQL text."""
+    quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    row = "named_struct('rank', {}, 'label', {}, 'tier', {}, 'keyword', {}, 'pattern', {}, 'base', {})"
+    return F.expr("array(" + ", ".join(row.format(i, quoted(r.label), r.tier, quoted(r.keyword), quoted(compiled(r.pattern)), str(r.base).lower()) for i, r in enumerate(table)) + ")")
 
 
 def _detections(words: Column, low: Column, table: list[Rule]) -> Column:
