@@ -1,16 +1,20 @@
 """Language identification by the nearest of several centroids per language.
 
 A text becomes a vector of character 1- to 3-grams over its lower-cased letters (any run of
-other characters counts as one space), hashed into ``DIM`` places, log term frequency times
-inverse document frequency, scaled to unit length. Spherical k-means gives each language up to
-``clusters`` centroids; a text takes the language of the centroid with the largest cosine. A
-text whose cosine stays below its language's limit, half of what all but one in a thousand
-training texts of the language reach, is rejected: it is far from everything learned.
+other characters counts as one space), each n-gram exact, log term frequency times inverse
+document frequency, scaled to unit length. Spherical k-means gives each language up to
+``clusters`` centroids; a text takes the language of the centroid with the largest cosine.
+N-grams that were never learned stand in no centroid and weigh as the rarest ones do, so a
+text of another script has a cosine near 0 however long it is. A text whose cosine stays below
+its language's limit is rejected: it is far from everything learned. The limit is half of what
+all but one in a thousand training texts reach, taken among texts at least as long as the
+largest of ``LENGTHS`` that the text itself reaches, as short texts lie farther off.
 
 Learning uses at most about ``sample`` rows per language, those with the smallest hashes of
 their ids (a documented bound; the counts that set the share cover all rows), whole texts, and
 of each only the n-gram counts reach the driver. Prediction reads the text alone, whole, one
-row at a time; the model is of fixed size per language and travels with the tasks.
+row at a time; the model holds a number per centroid for each n-gram of the learned rows and
+travels with the tasks.
 
 Defined cases: null text and text without a letter give ``und``, score 0, rejected; with no
 labelled row at all every text gives ``und``; repeated rows each count; null ids are held in
@@ -29,7 +33,10 @@ from pyspark.sql import functions as F
 
 from folio.llm.shared_files import small_batches
 
-DIM = 4096
+#: Lengths in letters and spaces from which a limit of its own holds.
+LENGTHS = (0, 50, 200, 1000)
+#: Texts that such a limit needs at least; with fewer the one for shorter texts holds.
+_ENOUGH = 100
 _LETTERS: np.ndarray | None = None
 
 
@@ -46,8 +53,8 @@ def _letters() -> np.ndarray:
     return _LETTERS
 
 
-def ngram_counts(text: str) -> np.ndarray | None:
-    """Counts of hashed 1- to 3-grams, or None without a letter."""
+def ngram_counts(text: str) -> pd.Series | None:
+    """Counts of 1- to 3-grams, named by their code points in 21 bits each, or None without a letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
     letter = _letters()[codes]
     if not letter.any():
@@ -57,30 +64,35 @@ def ngram_counts(text: str) -> np.ndarray | None:
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     kept = codes[keep]
-    c = np.concatenate(([32], kept, [32] * bool(kept[-1] != 32))).astype(np.uint32) * np.uint32(2654435761)
-    two = (c[:-1] ^ (c[1:] >> np.uint32(7))) * np.uint32(2246822519)
-    three = (two[:-1] ^ (c[2:] >> np.uint32(3))) * np.uint32(3266489917)
-    shift = np.uint32(32 - DIM.bit_length() + 1)
-    return np.bincount(np.concatenate((c >> shift, two >> shift, three >> shift)), minlength=DIM)
+    c = np.concatenate(([32], kept, [32] * bool(kept[-1] != 32))).astype(np.int64)
+    two = c[:-1] << 21 | c[1:]
+    three = two[:-1] << 21 | c[2:]
+    parts = [np.unique(x, return_counts=True) for x in (c, two, three)]
+    return pd.Series(np.concatenate([n for _, n in parts]), np.concatenate([x for x, _ in parts]))
 
 
 @dataclass
 class Model:
     languages: list[str]
-    idf: np.ndarray
-    centroids: np.ndarray  #: one unit row per centroid
+    vocabulary: np.ndarray  #: the learned n-grams, sorted
+    idf: np.ndarray  #: per n-gram, and last for all that were not learned
+    centroids: np.ndarray  #: one unit column per centroid; the last row, of n-grams not learned, is 0
     owner: np.ndarray  #: index into languages, per centroid
-    limits: np.ndarray = field(default_factory=lambda: np.zeros(0))  #: per language
-
-    def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts.astype(np.float32)) * self.idf
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(norm > 0, norm, 1)
-
-    def cosines(self, counts: np.ndarray) -> np.ndarray:
-        """Per text and language the cosine with the nearest centroid."""
-        all_of = self.vectors(counts) @ self.centroids.T
-        return np.stack([all_of[:, self.owner == k].max(axis=1) for k in range(len(self.languages))], axis=1)
+    limits: np.ndarray = field(default_factory=lambda: np.zeros((0, len(LENGTHS))))  #: per language and length
+
+    def vector(self, counts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the centroids and weights, which have unit length, of a text's n-grams."""
+        grams = counts.index.to_numpy()
+        at = np.searchsorted(self.vocabulary, grams)
+        at[self.vocabulary.take(at, mode="clip") != grams] = len(self.vocabulary)
+        w = np.log1p(counts.to_numpy()).astype(np.float32) * self.idf[at]
+        return at, w / np.linalg.norm(w)
+
+    def cosines(self, counts: pd.Series) -> np.ndarray:
+        """Per language the cosine with the nearest centroid."""
+        at, w = self.vector(counts)
+        all_of = w @ self.centroids[at]
+        return np.array([all_of[self.owner == k].max() for k in range(len(self.languages))])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Languages, scores, cosines, rejected."""
@@ -88,50 +100,67 @@ class Model:
         names, score, cosine, rejected = ["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, dtype=bool)
         if not self.languages:
             return names, score, cosine, rejected
-        found = [(i, c) for i, t in enumerate(texts) if t and (c := ngram_counts(t)) is not None]
-        if found:
-            at = np.array([i for i, _ in found])
-            cos = self.cosines(np.stack([c for _, c in found]))
-            best = cos.argmax(axis=1)
-            odds = np.exp(20.0 * (cos - cos.max(axis=1, keepdims=True)))
-            score[at] = 1 / odds.sum(axis=1)
-            cosine[at] = cos.max(axis=1)
-            rejected[at] = cosine[at] < self.limits[best]
-            for i, k in zip(at, best, strict=True):
-                names[i] = self.languages[k]
+        for i, t in enumerate(texts):
+            if not t or (counts := ngram_counts(t)) is None:
+                continue
+            cos = self.cosines(counts)
+            best = cos.argmax()
+            names[i], cosine[i], score[i] = self.languages[best], cos[best], 1 / np.exp(20.0 * (cos - cos[best])).sum()
+            rejected[i] = cosine[i] < self.limits[best, np.searchsorted(LENGTHS, _length(counts), "right") - 1]
         return names, score, cosine, rejected
 
 
-def _clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+def _length(counts: pd.Series) -> int:
+    """Letters and spaces of the text."""
+    return counts.sum() // 3 + 1
+
+
+def _mean(vectors: list[tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
+    """The direction of the vectors' sum."""
+    total = np.zeros(rows, np.float32)
+    for at, w in vectors:
+        total[at] += w
+    return total / np.linalg.norm(total)
+
+
+def _clustered(x: list[tuple[np.ndarray, np.ndarray]], rows: int, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; the first centroid is the mean, each next one starts far from the rest."""
-    mean = x.mean(axis=0)
-    centres = [mean / np.linalg.norm(mean)]
-    nearest = x @ centres[0]
+    centres = [_mean(x, rows)]
+    nearest = np.array([w @ centres[0][at] for at, w in x])
     while len(centres) < min(k, len(x)):
         # the text at the lowest tenth, not the farthest, which is often an odd one
-        centres.append(x[np.argsort(nearest, kind="stable")[len(x) // 10]])
-        nearest = np.maximum(nearest, x @ centres[-1])
-    c = np.stack(centres)
+        centres.append(_mean([x[np.argsort(nearest, kind="stable")[len(x) // 10]]], rows))
+        nearest = np.maximum(nearest, [w @ centres[-1][at] for at, w in x])
+    c = np.stack(centres, axis=1)
     for _ in range(rounds):
-        member = (x @ c.T).argmax(axis=1)
-        sums = np.stack([x[member == j].sum(axis=0) if (member == j).any() else c[j] for j in range(len(c))])
-        c = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+        member = np.array([(w @ c[at]).argmax() for at, w in x])
+        c = np.stack([_mean([v for v, m in zip(x, member, strict=True) if m == j], rows) if (member == j).any() else c[:, j] for j in range(c.shape[1])], axis=1)
     return c
 
 
-def fit(counts: np.ndarray, langs: list[str], clusters: int = 4) -> Model:
-    """counts: one row of n-gram counts per training text."""
+def _limits(cosines: np.ndarray, lengths: np.ndarray) -> list[float]:
+    """Of one language's training texts the limit at each of LENGTHS."""
+    out: list[float] = []
+    for least in LENGTHS:
+        some = cosines[lengths >= least]
+        out.append(0.5 * np.quantile(some, 0.001) if not out or len(some) >= _ENOUGH else out[-1])
+    return out
+
+
+def fit(counts: list[pd.Series], langs: list[str], clusters: int = 4) -> Model:
+    """counts: the n-gram counts of each training text."""
     if not len(langs):
-        return Model([], np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), np.zeros(0, int))
+        return Model([], np.zeros(0, np.int64), np.ones(1, np.float32), np.zeros((1, 0), np.float32), np.zeros(0, int))
     names = sorted(set(langs))
-    idf = np.log((1 + len(langs)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    model = Model(names, idf, np.zeros((0, DIM)), np.zeros(0, int))
-    x, y = model.vectors(counts), np.array([names.index(n) for n in langs])
-    parts = [_clustered(x[y == k], clusters) for k in range(len(names))]
-    model.centroids = np.concatenate(parts).astype(np.float32)
-    model.owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
-    cos = model.cosines(counts)
-    model.limits = np.array([0.5 * np.quantile(cos[y == k, k], 0.001) for k in range(len(names))])
+    vocabulary, texts = np.unique(np.concatenate([c.index.to_numpy() for c in counts]), return_counts=True)
+    idf = np.log((1 + len(langs)) / (1 + np.append(texts, 0))).astype(np.float32) + 1
+    model = Model(names, vocabulary, idf, np.zeros((0, 0)), np.zeros(0, int))
+    x, y = [model.vector(c) for c in counts], np.array([names.index(n) for n in langs])
+    parts = [_clustered([x[i] for i in np.flatnonzero(y == k)], len(idf), clusters) for k in range(len(names))]
+    model.centroids = np.concatenate(parts, axis=1)
+    model.owner = np.repeat(np.arange(len(names)), [p.shape[1] for p in parts])
+    own, lengths = np.array([model.cosines(c)[k] for c, k in zip(counts, y, strict=True)]), np.array([_length(c) for c in counts])
+    model.limits = np.array([_limits(own[y == k], lengths[y == k]) for k in range(len(names))])
     return model
 
 
@@ -139,7 +168,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     labelled = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter(~held_out(F.col("id")) & F.col("lang").isNotNull())
     rows = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
     if not rows:
-        return fit(np.zeros((0, DIM)), [], clusters)
+        return fit([], [], clusters)
     share = F.lit(1.0)
     for lang, n in rows.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
@@ -149,11 +178,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             got = [(lang, c) for lang, text in zip(frame["lang"], frame["text"], strict=True) if text and (c := ngram_counts(text)) is not None]
-            yield pd.DataFrame({"lang": [g[0] for g in got], "counts": [np.minimum(g[1], 65535).astype("<u2").tobytes() for g in got]})
+            yield pd.DataFrame({"lang": [g[0] for g in got], "grams": [g[1].index.to_numpy("<i8").tobytes() for g in got], "counts": [g[1].to_numpy("<i4").tobytes() for g in got]})
 
-    found = chosen.mapInPandas(count, "lang string, counts binary").limit(2 * sample * len(rows)).collect()
-    found.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
-    return fit(np.stack([np.frombuffer(r["counts"], "<u2") for r in found]) if found else np.zeros((0, DIM)), [r["lang"] for r in found], clusters)
+    found = chosen.mapInPandas(count, "lang string, grams binary, counts binary").limit(2 * sample * len(rows)).collect()
+    found.sort(key=lambda r: (r["lang"], bytes(r["grams"]), bytes(r["counts"])))
+    return fit([pd.Series(np.frombuffer(r["counts"], "<i4"), np.frombuffer(r["grams"], "<i8")) for r in found], [r["lang"] for r in found], clusters)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,6 +48,23 @@ def test_rejection_is_by_distance(spark):
     assert I.accepted_documents(docs, model).count() == len(rows)
 
 
+def _random_words(rng, first, last, n):
+    return " ".join("".join(chr(rng.randrange(ord(first), ord(last) + 1)) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def test_rejection_does_not_fade_with_length(spark):
+    rng = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scripts = {"cyrillic": "аш", "greek": "αω", "arabic": "اي", "hangul": "가힣", "han": "一龥", "latin": "az"}
+    far = [_random_words(rng, *ends, n) for ends in scripts.values() for n in (3, 30, 200, 2000, 20_000)]
+    far += ["".join(chr(rng.randrange(97, 123)) for _ in range(5000)), "z" * 5000]
+    clean = [r.text for r in docs.filter("n_chars > 200").select("text").collect()]
+    near = [*clean, " ".join(t for t in clean if t.isascii())]
+    rows = [(k, t, None, None) for k, t in enumerate(near + far)]
+    kept = {r.doc_id for r in I.accepted_documents(table(spark, rows), I.train(docs)).select("doc_id").collect()}
+    assert kept == set(range(len(near)))
+
+
 def test_language_without_labels(spark):
     docs = table(spark, [(1, "abc", None, None), (2, None, "xx", None)])
     assert {r.lang_pred for r in I.identify(docs, I.train(docs)).collect()} == {"und"}
