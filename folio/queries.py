@@ -27,11 +27,6 @@ def query(f: Query) -> Query:
     return f
 
 
-def as_is(column: Column) -> Column:
-    """Normalisation of data that is NFC already."""
-    return column
-
-
 def joined(numbers: Column) -> Column:
     return F.array_join(F.transform(numbers, lambda x: x.cast("string")), ",")
 
@@ -280,13 +275,13 @@ def source_map(spark, d):
 @query
 def markdown_render(spark, d):
     pages = state.with_block_ids(C.document_pages(spark, d))
-    return markdown.render(publish.publication_blocks(pages), publish.publication_metadata(pages), as_is)
+    return markdown.render(publish.publication_blocks(pages), publish.publication_metadata(pages))
 
 
 @query
 def markdown_conversations(spark, d):
     pages = state.with_block_ids(C.conversation_pages(spark, d))
-    return markdown.with_page_marker(markdown.render(publish.publication_blocks(pages), None, as_is), pages)
+    return markdown.with_page_marker(markdown.render(publish.publication_blocks(pages)), pages)
 
 
 @query

@@ -19,6 +19,7 @@ from folio.functions import paths as P
 from folio.functions import text as T
 from folio.operators import inference, markdown, publish, state, store, validate
 from folio.plans import flows
+from folio.queries import QUERIES
 from folio.sources import files, wire
 from folio.streaming.reducer import advance
 from folio.streaming.run import stream_states
@@ -70,6 +71,15 @@ def test_two_and_three_page_merges(spark):
     assert one.content == [("text", "One two three.")] and one.source_pages == [0, 1, 2]
 
 
+def test_render_queries_write_nfc(spark, tmp_path):
+    text = "Cafe\u0301 au lait\nA\u030Angstro\u0308m"
+    spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in ("markdown_render", "markdown_conversations"):
+        found = [r.markdown for r in QUERIES[name](spark, str(tmp_path)).collect()]
+        assert found and all("Café au lait" in m and unicodedata.is_normalized("NFC", m) for m in found), name
+
+
 def test_publication_errors(spark):
     assert errors(spark, [page(0, blocks=[text("a", on=True)]), page(2, blocks=[text("b", prev=True)])]) == ["invalid-continuation-layout"]
     assert errors(spark, [page(0, blocks=[text("a", role="heading", on=True, level=1)])]) == ["invalid-continuation-layout"]
