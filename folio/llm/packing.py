@@ -10,15 +10,18 @@ slack, the next longest remainder is cut to fill it. What stays at the end, less
 window, is cut into windows whose sizes are powers of two, so no window needs padding.
 
 Documents are dealt to tasks by a hash of the id and sorted there, so the result is the same
-however the input files are split and whichever executor is lost. A task packs at most
-``most_ids`` ids at a time. Defined cases: null text is an empty text; documents that repeat
+however the input files are split and whichever executor is lost. A task holds its remainders
+only; when these reach ``most_ids`` ids, full windows are made of them, and what is less than a
+window waits for the next ones, so only a task's last windows are smaller. Defined cases: null text is an empty text; documents that repeat
 an id are packed one after the other; null ids are kept; an empty table gives no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.scratch import task_count
-from folio.llm.shared_files import give_back, small_batches
-from folio.llm.token_ids import encoder
+from folio.llm.shared_files import give_back, text_batches
+from folio.llm.token_ids import documents, encoder
 
 
 def best_fill(counts: dict[int, int], room: int) -> tuple[dict[int, int], int]:
@@ -56,61 +59,75 @@ def best_fill(counts: dict[int, int], room: int) -> tuple[dict[int, int], int]:
     return used, total
 
 
-def pack_lengths(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (item, start, length, window, offset) of items of the given lengths; every window
-    holds ``capacity`` ids, or a power of two in the last few."""
-    pieces: list[tuple[int, int, int, int, int]] = []
-    window = 0
-    stacks: dict[int, list[tuple[int, int]]] = {}  # remainder's length: item, start
-    for item, length in enumerate(lengths):
-        for start in range(0, length - capacity + 1, capacity):
-            pieces.append((item, start, capacity, window, 0))
-            window += 1
-        if rest := length % capacity:
-            stacks.setdefault(rest, []).append((item, length - rest))
-    for stack in stacks.values():
-        stack.reverse()
-    total = sum(length * len(stack) for length, stack in stacks.items())
-
-    def take(length: int, offset: int, cut: int | None = None) -> int:
-        stack = stacks[length]
-        item, start = stack.pop()
+Piece = tuple[int, int, int, int, int]  # item, start, length, window, offset
+
+
+class Bins:
+    """Windows being filled: whole ones go as they come, remainders wait for others to fit with."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.window, self.total = capacity, 0, 0
+        self.stacks: dict[int, deque[tuple[int, int]]] = {}  # remainder's length: item, start
+
+    def add(self, item: int, length: int) -> list[Piece]:
+        """The whole windows of an item; its remainder waits."""
+        whole, rest = divmod(length, self.capacity)
+        pieces = [(item, k * self.capacity, self.capacity, self.window + k, 0) for k in range(whole)]
+        self.window += whole
+        if rest:
+            self.stacks.setdefault(rest, deque()).append((item, length - rest))
+            self.total += rest
+        return pieces
+
+    def _take(self, length: int, offset: int, size: int) -> Piece:
+        """The first ``size`` ids of the oldest remainder of a length; what is left of it waits."""
+        stack = self.stacks[length]
+        item, start = stack.popleft()
         if not stack:
-            del stacks[length]
-        size = cut or length
-        pieces.append((item, start, size, window, offset))
+            del self.stacks[length]
         if size < length:
-            stacks.setdefault(length - size, []).append((item, start + size))
-        return offset + size
-
-    while total >= capacity:
-        longest = max(stacks)
-        counts = {length: len(stack) for length, stack in stacks.items()}
-        counts[longest] -= 1
-        used, filled = best_fill({k: n for k, n in counts.items() if n}, capacity - longest)
-        used[longest] = used.get(longest, 0) + 1
-        slack = capacity - longest - filled
-        repeats = 1 if slack else min(len(stacks[k]) // n for k, n in used.items())
-        for _ in range(repeats):
-            offset = 0
-            for length in sorted(used, reverse=True):
-                for _ in range(used[length]):
-                    offset = take(length, offset)
-            if slack:
-                take(max(stacks), offset, slack)
-            window += 1
-        total -= repeats * capacity
-    size = 1 << max(0, total.bit_length() - 1)
-    offset = 0
-    while total:
-        longest = max(stacks)
-        cut = min(longest, size - offset)
-        offset = take(longest, offset, cut)
-        total -= cut
-        if offset == size:
-            window, offset = window + 1, 0
-            size = 1 << max(0, total.bit_length() - 1)
-    return pieces
+            self.stacks.setdefault(length - size, deque()).appendleft((item, start + size))
+        self.total -= size
+        return item, start, size, self.window, offset
+
+    def fill(self) -> Iterator[Piece]:
+        """Full windows, until less than one is left."""
+        while self.total >= self.capacity:
+            longest = max(self.stacks)
+            counts = {length: len(stack) for length, stack in self.stacks.items()}
+            counts[longest] -= 1
+            used, filled = best_fill({k: n for k, n in counts.items() if n}, self.capacity - longest)
+            used[longest] = used.get(longest, 0) + 1
+            slack = self.capacity - longest - filled
+            repeats = 1 if slack else min(len(self.stacks[k]) // n for k, n in used.items())
+            lengths = [k for k in sorted(used, reverse=True) for _ in range(used[k])]
+            for _ in range(repeats):
+                offset = 0
+                for length in lengths:
+                    yield self._take(length, offset, length)
+                    offset += length
+                if slack:
+                    yield self._take(max(self.stacks), offset, slack)
+                self.window += 1
+
+    def finish(self) -> Iterator[Piece]:
+        """What is left, in windows whose sizes are powers of two."""
+        while self.total:
+            size, offset = 1 << (self.total.bit_length() - 1), 0
+            while offset < size:
+                longest = max(self.stacks)
+                piece = self._take(longest, offset, min(longest, size - offset))
+                offset += piece[2]
+                yield piece
+            self.window += 1
+
+
+def pack_lengths(lengths: list[int], capacity: int) -> list[Piece]:
+    """Pieces of items of the given lengths; every window holds ``capacity`` ids, or a power of two
+    in the last few."""
+    bins = Bins(capacity)
+    pieces = [piece for item, length in enumerate(lengths) for piece in bins.add(item, length)]
+    return [*pieces, *bins.fill(), *bins.finish()]
 
 
 def pack_documents(
@@ -129,42 +146,52 @@ def pack_documents(
     schema = f"`{id_col}` long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-    def rows(doc_ids: list[int | None], raw: list[bytes], first: int) -> Iterator[pa.RecordBatch]:
-        views = [memoryview(x) for x in raw]
-        pieces = pack_lengths([len(x) // 4 for x in raw], capacity)
-        for a in range(0, len(pieces), 50_000):
-            part = pieces[a : a + 50_000]
-            item, start, length, window, offset = map(list, zip(*part, strict=True))
-            columns = [
-                pa.array([doc_ids[i] for i in item], pa.int64()),
-                pa.array(start, pa.int64()),
-                pa.array(length, pa.int64()),
-                pa.array([zlib.crc32(views[i][4 * s : 4 * (s + n)]) for i, s, n in zip(item, start, length, strict=True)], pa.int64()),
-                pa.array([len(raw[i]) // 4 for i in item], pa.int64()),
-                pa.array(np.array(window, dtype=np.int64) + first, pa.int64()),
-                pa.array(offset, pa.int64()),
-            ]
-            if with_ids:
-                columns.append(pa.array([np.frombuffer(raw[i], "<i4")[s : s + n] for i, s, n in zip(item, start, length, strict=True)], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * with_ids)
+    def rows(pieces: list[Piece], held: dict[int, tuple[int | None, int, np.ndarray, int]], first: int) -> pa.RecordBatch:
+        item, start, length, window, offset = map(list, zip(*pieces, strict=True))
+        ids = [held[i][2][s - held[i][3] :][:n] for i, s, n in zip(item, start, length, strict=True)]
+        columns = [
+            pa.array([held[i][0] for i in item], pa.int64()),
+            pa.array(start, pa.int64()),
+            pa.array(length, pa.int64()),
+            pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+            pa.array([held[i][1] for i in item], pa.int64()),
+            pa.array(np.array(window, dtype=np.int64) + first, pa.int64()),
+            pa.array(offset, pa.int64()),
+        ]
+        if with_ids:
+            columns.append(pa.array([x.view("<i4") for x in ids], pa.list_(pa.int32())))
+        return pa.RecordBatch.from_arrays(columns, names + ["ids"] * with_ids)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(vocabulary), int(end_id).to_bytes(4, "little")
+        coder, bins = encoder(vocabulary), Bins(capacity)
         first = TaskContext.get().partitionId() << 40
-        doc_ids: list[int | None] = []
-        raw: list[bytes] = []
-        held = 0
-        for batch in small_batches(batches):
-            doc_ids += batch.column(0).to_pylist()
-            new = [x + end for x in coder.ids([t or "" for t in batch.column(1).to_pylist()])]
-            raw += new
-            held += sum(map(len, new)) // 4
-            if held >= most_ids:
-                yield from rows(doc_ids, raw, first)
-                first, doc_ids, raw, held = first + (1 << 24), [], [], 0
-        if raw:
-            yield from rows(doc_ids, raw, first)
-        del doc_ids, raw
+        held: dict[int, tuple[int | None, int, np.ndarray, int]] = {}  # item: id, tokens, ids from which place on
+        items = itertools.count()
+
+        def flush(pieces: Iterator[Piece]) -> Iterator[pa.RecordBatch]:
+            for part in itertools.batched(pieces, 50_000):
+                yield rows(list(part), held, first)
+            waiting = {item for stack in bins.stacks.values() for item, _ in stack}
+            for item in held.keys() - waiting:
+                del held[item]
+
+        for batch in text_batches(batches, 1):
+            whole: list[Piece] = []
+            new: dict[int, tuple[int | None, int, np.ndarray, int]] = {}
+            for doc_id, ids in zip(batch.column(0).to_pylist(), documents(coder, batch.column(1), end_id), strict=True):
+                item = next(items)
+                new[item] = (doc_id, len(ids), ids, 0)
+                whole += bins.add(item, len(ids))
+            for part in itertools.batched(whole, 50_000):
+                yield rows(list(part), new, first)
+            for item, (doc_id, n, ids, _) in new.items():
+                if n % capacity:
+                    held[item] = (doc_id, n, ids[n - n % capacity :].copy(), n - n % capacity)
+            if bins.total >= most_ids:
+                yield from flush(bins.fill())
+        yield from flush(bins.fill())
+        yield from flush(bins.finish())
+        del held
         give_back()
 
     dealt = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))

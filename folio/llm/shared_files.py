@@ -6,7 +6,9 @@ import ctypes
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 
 
@@ -39,6 +41,17 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterato
             yield batch.slice(a, rows)
 
 
+def text_batches(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes of a text column, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most_bytes, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def give_back() -> None:
     """Return memory that this worker no longer uses to the system; workers outlive their tasks, so what
     one stage needed would else stand beside what the next one needs."""

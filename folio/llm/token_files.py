@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.scratch import materialise, new_folder, task_count
-from folio.llm.shared_files import create, opened, small_batches
-from folio.llm.token_ids import encoder
+from folio.llm.shared_files import create, give_back, opened, text_batches
+from folio.llm.token_ids import documents, encoder
 
 MAGIC = b"IDBLOCK1"
 _HEAD, _TAIL = struct.Struct("<8sII"), struct.Struct("<QQQQ8s")
@@ -157,14 +157,13 @@ def write_documents(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, out = encoder(vocabulary), TaskContext.get().partitionId(), None
         width = bits_for(max(coder.vocabulary_size, (end_id or 0) + 1))
-        end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        for batch in small_batches(batches):
+        for batch in text_batches(batches, 1):
             out = out or Writer(f"{folder}/ids-{part:06d}-{uuid.uuid4().hex}.bin", width, block_ids)
-            raw = coder.ids([t or "" for t in batch.column(1).to_pylist()])
-            for doc_id, ids in zip(batch.column(0).to_pylist(), raw, strict=True):
-                out.add(doc_id, np.frombuffer(ids + end, "<u4"))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), documents(coder, batch.column(1), end_id), strict=True):
+                out.add(doc_id, ids)
         if out:
             out.close()
+            give_back()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [out.uri], "n_docs": [len(out.doc_ids)], "n_ids": [out.n_ids]})
 
     ordered = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).repartitionByRange(tasks or task_count(spark), "id").sortWithinPartitions("id", "text")

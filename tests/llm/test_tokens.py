@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from folio.llm.packing import best_fill, pack_documents, pack_lengths
+from folio.llm.packing import Bins, best_fill, pack_documents, pack_lengths
 from folio.llm.token_files import Reader, Writer, bits_for, pack, read_documents, unpack, write_documents
 from folio.llm.token_ids import Encoder
 from tests.llm.fixtures import awkward, table
@@ -142,3 +142,33 @@ def test_packed_documents(spark):
             text = next(t for i, t in rows if i == r.doc_id)
             assert [*_ids(text), 0][r.start : r.start + r.length] == r.ids
     assert pack_documents(table(spark, []), VOCABULARY).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab.'\x85\x1c᠎​\xa0 \n\r", max_size=12), max_size=6))
+def test_white_space_of_all_kinds_is_the_librarys(texts):
+    assert SMALL.ids(texts) == SMALL.whole(texts)
+
+
+def test_ids_of_real_words_are_the_librarys(spark, coder):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    assert coder.ids(texts) == coder.whole(texts) and SMALL.ids(texts[:40]) == coder.whole(texts[:40])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=60), st.lists(st.integers(0, 59)), st.sampled_from([8, 64]))
+def test_windows_stay_full_when_filled_in_between(lengths, fills, capacity):
+    bins, pieces = Bins(capacity), []
+    for item, length in enumerate(lengths):
+        pieces += bins.add(item, length)
+        if item in fills:
+            pieces += bins.fill()
+    pieces += [*bins.fill(), *bins.finish()]
+    held = {}
+    for item, start, length, window, offset in pieces:
+        held.setdefault(window, []).append((offset, length))
+    assert sum(p[2] for p in pieces) == sum(lengths)
+    assert sorted(held) == list(range(len(held)))
+    sizes = [sum(n for _, n in parts) for _, parts in sorted(held.items())]
+    short = [n for n in sizes if n < capacity]
+    assert all(n & (n - 1) == 0 for n in short) and len(short) == len(set(short)) == bin(sum(lengths) % capacity).count("1")
