@@ -22,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.scratch import materialise
+from folio.llm.components import spread_join
+from folio.llm.scratch import materialise, unused
 
 #: Runs that one space replaces; a lone space is left out, as replacing it changes nothing.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -51,8 +52,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = docs.select(docs[id_col].alias("id"), F.sha2(normalised(docs[text_col]), 256).alias("sha"))
     clashes = groups.groupBy("sha").count().filter("count > 1").select("sha")
     if clashes.isEmpty():
-        ranked = members.groupBy("id", "sha").agg(F.count(F.lit(1)).alias("copies"))
-        joined = ranked.join(groups, "sha")
+        ranked = materialise(members.groupBy("id", "sha").agg(F.count(F.lit(1)).alias("copies")), "dedup-members")
+        joined = spread_join(ranked, groups, "sha", how="inner")
     else:  # two texts share a digest: those digests are joined by text as well
         joined = _joined_by_text(docs, groups, clashes, id_col, text_col, salts)
     copy = F.explode(F.expr("sequence(1L, copies)"))
@@ -77,14 +78,15 @@ def _joined_by_text(docs: DataFrame, groups: DataFrame, clashes: DataFrame, id_c
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: the smallest id of each text, once."""
+    sha, h1, keep = unused(docs.columns, "__sha", "__h1", "__keep")
     groups = materialise(
-        text_groups(docs, id_col, text_col, salts).select(F.col("keep_id").alias("__keep"), F.xxhash64("body").alias("__h1"), F.col("sha").alias("__sha")), "dedup-kept"
+        text_groups(docs, id_col, text_col, salts).select(F.col("keep_id").alias(keep), F.xxhash64("body").alias(h1), F.col("sha").alias(sha)), "dedup-kept"
     )
     body = normalised(docs[text_col])
-    keyed = docs.withColumns({"__sha": F.sha2(body, 256), "__h1": F.xxhash64(body)})
-    on = (keyed["__sha"] == groups["__sha"]) & (keyed["__h1"] == groups["__h1"]) & keyed[id_col].eqNullSafe(groups["__keep"])
+    keyed = docs.withColumns({sha: F.sha2(body, 256), h1: F.xxhash64(body)})
+    on = (keyed[sha] == groups[sha]) & (keyed[h1] == groups[h1]) & keyed[id_col].eqNullSafe(groups[keep])
     kept = keyed.join(groups, on, "left_semi")
-    repeated = keyed.groupBy(id_col, "__sha", "__h1").count().filter("count > 1")
-    if not repeated.join(groups, ["__sha", "__h1"], "left_semi").isEmpty():
-        kept = kept.dropDuplicates([id_col, "__sha", "__h1"])
-    return kept.drop("__sha", "__h1")
+    repeated = keyed.groupBy(id_col, sha, h1).count().filter("count > 1")
+    if not repeated.join(groups, [sha, h1], "left_semi").isEmpty():
+        kept = kept.dropDuplicates([id_col, sha, h1])
+    return kept.drop(sha, h1)

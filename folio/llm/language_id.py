@@ -10,9 +10,9 @@ its language's limit is rejected: it is far from everything learned. The limit i
 all but one in a thousand training texts reach, taken among texts at least as long as the
 largest of ``LENGTHS`` that the text itself reaches, as short texts lie farther off.
 
-Learning uses at most about ``sample`` rows per language, those with the smallest hashes of
-their ids (a documented bound; the counts that set the share cover all rows), whole texts, and
-of each only the n-gram counts reach the driver. Prediction reads the text alone, whole, one
+Learning uses at most ``sample`` rows per language, those with the smallest hashes of id and
+text (a documented bound; the counts that set the share cover all rows; rows that repeat count
+once), whole texts, and of each only the n-gram counts reach the driver. Prediction reads the text alone, whole, one
 row at a time; the model holds a number per centroid for each n-gram of the learned rows and
 travels with the tasks.
 
@@ -23,6 +23,7 @@ labelled row at all every text gives ``und``; repeated rows each count; null ids
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -169,20 +170,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
     if not rows:
         return fit([], [], clusters)
-    share = F.lit(1.0)
-    for lang, n in rows.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
-    place = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = labelled.filter(place < share).select("lang", "text")
+    below = F.lit(2.0**63)
+    for lang, n in rows.items():  # half as many again as are taken, so that the smallest hashes are surely among them
+        below = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * sample / n) * 2.0**63)).otherwise(below)
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "id", "text"), 1)
+    chosen = labelled.withColumn("place", place).filter(F.col("place") < below).select("lang", "place", "text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got = [(lang, c) for lang, text in zip(frame["lang"], frame["text"], strict=True) if text and (c := ngram_counts(text)) is not None]
-            yield pd.DataFrame({"lang": [g[0] for g in got], "grams": [g[1].index.to_numpy("<i8").tobytes() for g in got], "counts": [g[1].to_numpy("<i4").tobytes() for g in got]})
-
-    found = chosen.mapInPandas(count, "lang string, grams binary, counts binary").limit(2 * sample * len(rows)).collect()
-    found.sort(key=lambda r: (r["lang"], bytes(r["grams"]), bytes(r["counts"])))
-    return fit([pd.Series(np.frombuffer(r["counts"], "<i4"), np.frombuffer(r["grams"], "<i8")) for r in found], [r["lang"] for r in found], clusters)
+            got = [(lang, at, c) for lang, at, text in zip(frame["lang"], frame["place"], frame["text"], strict=True) if text and (c := ngram_counts(text)) is not None]
+            yield pd.DataFrame({"lang": [g[0] for g in got], "place": pd.Series([g[1] for g in got], dtype="int64"), "grams": [g[2].index.to_numpy("<i8").tobytes() for g in got], "counts": [g[2].to_numpy("<i4").tobytes() for g in got]})
+
+    counted = chosen.mapInPandas(count, "lang string, place long, grams binary, counts binary")
+    found = counted.groupBy("lang", "place").agg(F.min(F.struct("grams", "counts")).alias("x")).collect()
+    found.sort(key=lambda r: (r["lang"], r["place"]))
+    taken = [r for _, of in itertools.groupby(found, key=lambda r: r["lang"]) for r in itertools.islice(of, sample)]
+    return fit([pd.Series(np.frombuffer(r["x"]["counts"], "<i4"), np.frombuffer(r["x"]["grams"], "<i8")) for r in taken], [r["lang"] for r in taken], clusters)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.scratch import materialise
+from folio.llm.scratch import materialise, task_count, unused
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _ROW = "doc_id long, source string, size long, source_size long, target double, bucket long, copies long, part double, kind int, hash long, done boolean"
@@ -40,21 +40,40 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD)).cast("long")
 
 
+def running(rows: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with exclusive running sums over all of them in an order: sums within ranges of the
+    order, and of whole ranges before them, of which there are as many as tasks."""
+    (part,) = unused(rows.columns, "range")
+    dealt = materialise(rows.repartitionByRange(task_count(rows.sparkSession), *order).withColumn(part, F.spark_partition_id()), "mix-ranges")
+    whole = dealt.groupBy(part).agg(*[F.sum(c).cast("double").alias(n) for n, c in sums.items()]).orderBy(part).collect()
+    at = dict.fromkeys(sums, 0.0)
+    before = []
+    for row in whole:
+        before.append((row[part], *at.values()))
+        at = {n: at[n] + (row[n] or 0.0) for n in at}
+    names = unused([*rows.columns, part, *sums], *[f"before_{n}" for n in sums])
+    offsets = rows.sparkSession.createDataFrame(before, f"`{part}` int, " + ", ".join(f"`{n}` double" for n in names))
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    here = dealt.select("*", *[F.coalesce(F.sum(c).over(inside).cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()])
+    joined = here.join(F.broadcast(offsets), part)
+    return joined.select(*rows.columns, *[(F.col(n) + F.col(b)).alias(n) for n, b in zip(sums, names, strict=True)])
+
+
 def source_targets(sized: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
-    """Per source: source_size, n_docs, target. Windows run over one row a source."""
+    """Per source: source_size, n_docs, target. However many sources there are, no task holds them all."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    ordered = Window.orderBy(F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
-    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(ordered) - 1) % len(weights))
-    caps = sources.select("source", "source_size", "n_docs", weight.alias("weight"), (F.col("source_size") * float(most)).alias("cap"))
-    below = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("source_size").over(everything) * float(share)
-    # the level if exactly the sources before this one (by cap / weight) stop at their caps
-    level = (total - F.coalesce(F.sum("cap").over(below), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(below), F.lit(0.0)))
-    levels = caps.withColumn("level", level).withColumn("fits", F.col("level") <= F.col("cap") / F.col("weight"))
-    # the first fit is the lowest level of all fits, as a level only falls from there on
-    chosen = F.max(F.when(F.col("fits"), F.col("level"))).over(everything)
-    return levels.select("source", "source_size", "n_docs", F.least(F.col("cap"), F.coalesce(chosen * F.col("weight"), F.col("cap"))).alias("target"))
+    numbered = running(sources, [F.col("source").isNull(), F.col("source")], {"number": F.lit(1)})
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights)).cast("int"))
+    caps = numbered.select("source", "source_size", "n_docs", weight.alias("weight"), (F.col("source_size") * float(most)).alias("cap"))
+    by_level = [F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source")]
+    below = materialise(running(caps, by_level, {"caps": F.col("cap"), "weights": F.col("weight")}), "mix-levels")
+    total = below.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    # the level if exactly the sources before this one (by cap / weight) stop at their caps; the first
+    # fit is the lowest level of all fits, as a level only falls from there on
+    level = (F.lit(float(total["size"] or 0) * float(share)) - F.col("caps")) / (F.lit(float(total["weight"] or 0)) - F.col("weights"))
+    chosen = below.filter(level <= F.col("cap") / F.col("weight")).agg(F.max(level).alias("level")).first()["level"]
+    target = F.col("cap") if chosen is None else F.least(F.col("cap"), F.lit(chosen) * F.col("weight"))
+    return below.select("source", "source_size", "n_docs", target.alias("target"))
 
 
 def _uniform(a: int, b: int) -> float:
@@ -199,13 +218,14 @@ def mixed_documents(
     Decisions meet the documents on (id, source, size); rows that share all three share them out.
     """
     names = docs.columns
-    key = F.to_json(F.struct(docs[id_col].alias("i"), docs[source_col].alias("s"), n_words(docs[text_col]).alias("n")))
+    key, low, more, copies_, copy = unused(names, "__key", "__low", "__more", "__copies", "__copy")
+    of_docs = F.to_json(F.struct(docs[id_col].cast("long").alias("i"), docs[source_col].alias("s"), n_words(docs[text_col]).alias("n")))
     sized = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"))
     copies = mix_copies(sized, **options)
-    per_key = copies.groupBy(F.to_json(F.struct(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n"))).alias("__key")).agg(
-        F.min("copies").alias("__low"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("__more")
+    per_key = copies.groupBy(F.to_json(F.struct(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n"))).alias(key)).agg(
+        F.min("copies").alias(low), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias(more)
     )
-    joined = docs.withColumn("__key", key).join(per_key, "__key")
-    place = F.row_number().over(Window.partitionBy("__key").orderBy(F.col(text_col)))
-    taken = joined.withColumn("__copies", F.col("__low") + F.when(place <= F.col("__more"), 1).otherwise(0))
-    return taken.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    joined = docs.withColumn(key, of_docs).join(per_key, key)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(text_col)))
+    taken = joined.withColumn(copies_, F.col(low) + F.when(place <= F.col(more), 1).otherwise(0))
+    return taken.filter(F.col(copies_) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies_).cast("int")))).select(*names)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +62,15 @@ def remove(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> No
 def task_count(spark: SparkSession, default: int = 200) -> int:
     """The session's shuffle partition count, which operators use for their own exchanges."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", str(default))))
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """These names, lengthened where a column of the table is called so (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

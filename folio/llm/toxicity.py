@@ -14,9 +14,9 @@ Labels mark texts, windows are what is scored, so training is multiple-instance:
 the windows that hold the words most typical of toxic texts, and goes on from those that the
 network itself scores highest, in toxic and in other texts.
 
-Learning uses at most about ``sample`` labelled texts of each class, those with the smallest
-hashes of their ids (documented bound), and of each at most ``MOST_WINDOWS`` evenly spread
-windows; texts that repeat count once. Scoring reads all of every text.
+Learning uses at most ``sample`` labelled texts of each class, those with the smallest hashes of
+id and text (documented bound), whole, with all their windows; texts that repeat count once.
+Scoring reads all of every text.
 
 Defined cases: null text and text without a word score 0; with no toxic or no other label every
 text scores 0; if an id has several labels the largest counts; null labels and null ids never
@@ -36,10 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.language_id import held_out
-from folio.llm.scratch import materialise
+from folio.llm.scratch import materialise, remove
 
 LENGTH, STRIDE = 24, 12
-MOST_WINDOWS = 300
 _WORDS = re.compile(r"\w+")
 _HIDDEN, _EMBED, _GRAMS = 8, 8, 8192
 _F4 = np.float32
@@ -75,6 +74,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return _F4(0.5) * np.tanh(_F4(0.5) * x) + _F4(0.5)
 
 
+def _sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values by their place."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    if len(starts):
+        out[at[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
+
+
 @dataclass
 class Network:
     vocabulary: dict[str, int]  #: word: row of the word table; row 0 is the unknown word
@@ -160,7 +170,7 @@ class Network:
         d_x = np.zeros_like(x)
         for d, part in (("f", d_s[:, :, :k]), ("b", d_s[:, :, k:])):
             w = p[f"h{d}"]
-            d_w, d_rows, d_h = np.zeros_like(w), np.zeros((len(words), 3 * k), _F4), np.zeros((n, k), _F4)
+            d_w, gates, d_h = np.zeros_like(w), np.empty((*at.shape, 3 * k), _F4), np.zeros((n, k), _F4)
             for t, h, z, r, c, m in reversed(keep["steps"][d]):
                 d_h = d_h + part[:, t]
                 gone = np.where(m[:, None], 0, d_h)
@@ -172,15 +182,14 @@ class Network:
                 gate = np.concatenate((d_z, d_r, d_c), axis=1)
                 d_w[:, : 2 * k] += h.T @ gate[:, : 2 * k]
                 d_w[:, 2 * k :] += (r * h).T @ d_c
-                np.add.at(d_rows, at[:, t], gate)
+                gates[:, t] = gate
                 d_h = gone + d_new * z + d_rh * r + gate[:, : 2 * k] @ w[:, : 2 * k].T
+            d_rows = _sums(gates.reshape(-1, 3 * k), at.ravel(), len(words))
             g[f"h{d}"], g[f"x{d}"], g[f"b{d}"] = d_w, x.T @ d_rows, d_rows.sum(axis=0)
             d_x += d_rows @ p[f"x{d}"].T
-        g["word"] = np.zeros_like(p["word"])
-        np.add.at(g["word"], rows, d_x[:, :_EMBED])
+        g["word"] = _sums(d_x[:, :_EMBED], rows, len(p["word"]))
         g["word"][0] = 0
-        g["gram"] = np.zeros_like(p["gram"])
-        np.add.at(g["gram"], grams, (d_x[:, _EMBED:] / np.sqrt(counts)[:, None])[owner])
+        g["gram"] = _sums((d_x[:, _EMBED:] / np.sqrt(counts)[:, None])[owner], grams, len(p["gram"]))
         return loss, g
 
 
@@ -354,26 +363,22 @@ def fit(docs: list[list[str]], toxic: np.ndarray, rounds: int = 3, epochs: int =
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1500) -> Network | None:
     known = labels.select(labels[id_col].alias("id"), labels[label_col].alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
     known = known.groupBy("id").agg(F.max("y").alias("y")).filter(~held_out(F.col("id")) & F.col("y").isin(0, 1))
-    counts = {row["y"]: row["count"] for row in known.groupBy("y").count().collect()}
-    place = F.pmod(F.xxhash64(F.lit("toxicity"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.when(F.col("y") == 1, min(1.0, sample / max(1, counts.get(1, 0)))).otherwise(min(1.0, sample / max(1, counts.get(0, 0))))
-    chosen = materialise(known.filter(place < share), "toxicity-sample")  # its size is known: it can be broadcast
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(chosen, "id")
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("toxicity"), docs[id_col], docs[text_col]), 1)
+    marked = materialise(docs.select(docs[id_col].alias("id"), place.alias("place")).join(known, "id").distinct(), "toxicity-marked")
+    counts = {row["y"]: row["count"] for row in marked.groupBy("y").count().collect()}
+    # half as many again as are taken, so that the smallest hashes of each label are surely among them
+    below = {y: min(1.0, 1.5 * sample / max(1, counts.get(y, 0))) * 2.0**63 for y in (0, 1)}
+    chosen = materialise(marked.filter(F.col("place") < F.when(F.col("y") == 1, below[1]).otherwise(below[0])), "toxicity-sample")  # its size is known: it can be broadcast
+    remove(marked)
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), place.alias("place")).join(chosen, ["id", "place"])
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for text in frame["text"]:
-                words = words_of(text)
-                starts = window_starts(len(words))
-                if len(starts) > MOST_WINDOWS:  # whole strides, evenly spread
-                    pick = sorted({int(i) for i in np.linspace(0, len(starts) - 1, MOST_WINDOWS)})
-                    words = [w for i in pick for w in words[starts[i] : starts[i] + STRIDE]]
-                out.append(" ".join(words))
-            yield pd.DataFrame({"words": out, "y": frame["y"]})
-
-    rows = texts.mapInPandas(cut, "words string, y int").limit(4 * sample).collect()
-    unique = sorted({(row["words"], row["y"]) for row in rows if row["words"]})
+            yield pd.DataFrame({"place": frame["place"], "y": frame["y"], "words": [" ".join(words_of(text)) for text in frame["text"]]})
+
+    rows = texts.mapInPandas(cut, "place long, y int, words string").filter("words <> ''").groupBy("y", "place").agg(F.min("words").alias("words")).collect()
+    taken = {y: sorted((row["place"], row["words"]) for row in rows if row["y"] == y)[:sample] for y in (0, 1)}
+    unique = sorted({(words, y) for y in taken for _, words in taken[y]})
     return fit([w.split(" ") for w, _ in unique], np.array([y for _, y in unique], dtype=int)) if unique else None
 
 
