@@ -41,7 +41,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterato
             yield batch.slice(a, rows)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def text_batches(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about so many bytes of a text column, one row at least."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

@@ -10,7 +10,8 @@ a Python string unless it is neither letters nor letters with punctuation.
 
 Texts with a character that only some Unicode versions count as white space go to the library
 whole, and so does everything if the vocabulary file has another pre-tokenizer, a normalizer or
-special tokens that could stand in a word of that kind. Nothing is kept from batch to batch.
+special tokens that could stand in a word of that kind. Words of letters and their ids are kept
+from batch to batch, as Arrow arrays up to a bound.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import itertools
 import json
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -50,14 +51,10 @@ def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype("<i8") * 4), pa.py_buffer(data.astype("<u4", copy=False))])
 
 
-def _runs(values: pa.Array, most: int) -> Iterator[pa.Array]:
-    return (values.slice(a, most) for a in range(0, len(values), most))
-
-
 class Encoder:
     """encode(texts): the ids of all texts in a row, and where each text's begin."""
 
-    def __init__(self, vocabulary: str, most_words: int = 100_000):
+    def __init__(self, vocabulary: str, most_words: int = 10_000, most_kept: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -69,12 +66,12 @@ class Encoder:
         in_words = any(re.search(r"\s", t) for t in added) or pc.any(pc.match_substring_regex(pa.array(added, pa.large_string()), _SIMPLE)).as_py()
         self.by_segment = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec["normalizer"] and not in_words
         self.alphabet = _byte_letters()
-        self.letters = Tokenizer.from_file(vocabulary)  # sees words of letters as the pieces they are
-        self.letters.encode_special_tokens = True
+        self.letters = Tokenizer(self.tokenizer.model)  # sees words of letters as the pieces they are
         self.letters.pre_tokenizer = pre_tokenizers.Split(chr(self.alphabet[10]), "isolated")
         if hasattr(self.letters.model, "_resize_cache"):
             self.letters.model._resize_cache(0)  # no word comes twice
-        self.most_words = most_words  # that the library gets at a time
+        self.most_words, self.most_kept = most_words, most_kept  # words that the library gets at a time, that are kept
+        self.known, self.known_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.feed = self.whole(["\n"])[0]
 
     @property
@@ -164,7 +161,7 @@ class Encoder:
             pieces = pc.dictionary_encode(pc.if_else(pc.or_(first, fed), pc.utf8_ltrim(stems, characters="\r\n"), spaced))
             before = pc.if_else(fed, pa.scalar(self.feed, pa.large_binary()), pa.scalar(b"", pa.large_binary()))
             after = pa.array(self.whole(marks.dictionary.to_pylist()), pa.large_binary()).take(marks.indices)
-            found.insert(0, pc.binary_join_element_wise(before, pa.concat_arrays([self._pieces(x) for x in _runs(pieces.dictionary, self.most_words)]).take(pieces.indices), after, pa.scalar(b"", pa.large_binary())))
+            found.insert(0, pc.binary_join_element_wise(before, self._kept(pieces.dictionary).take(pieces.indices), after, pa.scalar(b"", pa.large_binary())))
             one = np.concatenate((one, other))
         else:
             one = other
@@ -172,6 +169,21 @@ class Encoder:
         place[one] = np.arange(len(one))
         return pa.concat_arrays(found).take(pa.array(place))
 
+    def _kept(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words of Latin letters, some after a space; the library sees the unknown ones."""
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(at))
+        if len(new):
+            ids = pa.concat_arrays([self.known_ids, *[self._pieces(new.slice(a, self.most_words)) for a in range(0, len(new), self.most_words)]])
+            unknown = pc.is_null(at).to_numpy(zero_copy_only=False)
+            place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            place[unknown] = len(self.known) + np.arange(len(new))
+            found = ids.take(pa.array(place))
+            # what was kept is forgotten when it grows too much, but for this batch's words
+            self.known, self.known_ids = (pa.concat_arrays([self.known, new]), ids) if len(ids) <= self.most_kept else (words, found)
+            return found
+        return self.known_ids.take(at)
+
     def _pieces(self, words: pa.Array) -> pa.Array:
         """Ids of distinct words of Latin letters, some after a space, which the pre-tokenizer leaves whole."""
         lines = pc.binary_join_element_wise(words, pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
