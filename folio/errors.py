@@ -18,15 +18,17 @@ STRUCTURAL = (
 )
 INFERENCE = (
     "context-budget-exceeded", "context-budget-indeterminate", "context-budget-probe-unavailable", "empty-response", "http-client-error", "http-retryable",
-    "http-server-error", "inference-environment-drift", "invalid-completion-envelope", "invalid-http-response", "invalid-json", "invalid-structured-response",
-    "output-token-limit", "response-body-truncated", "server-model-path-mismatch", "static-context-impossible", "thinking-control-contract-drift",
-    "thinking-smoke-unavailable", "token-counting-calibration-failed", "token-counting-contract-drift", "transport-error", "transport-timeout",
-    "unexpected-reasoning-content", "unsupported-llama-server-contract", "unsupported-multi-model-server", "unsupported-thinking-control", "unverifiable-server-model-path",
+    "http-server-error", "invalid-completion-envelope", "invalid-http-response", "invalid-json", "invalid-structured-response",
+    "output-token-limit", "response-body-truncated",
+    "thinking-smoke-unavailable", "transport-error", "transport-timeout",
+    "unexpected-reasoning-content",
 )
-EXTERNAL = ("epubcheck-failed", "pandoc-failed", "unsupported-pandoc-defaults")
+EXTERNAL = ("epubcheck-failed", "pandoc-failed")
 PROCESSING = (
     "config-drift", "duplicate-artifact-name", "inference-relocation-rejected", "invalid-commit-artifact-path", "invalid-run-layout", "output-transaction-corruption",
     "page-image-too-large", "page-render-failed", "render-environment-drift", "run-locked", "schema-drift", "source-hash-mismatch",
+    "inference-environment-drift", "server-model-path-mismatch", "static-context-impossible", "thinking-control-contract-drift", "token-counting-calibration-failed",
+    "token-counting-contract-drift", "unsupported-llama-server-contract", "unsupported-multi-model-server", "unsupported-thinking-control", "unverifiable-server-model-path", "unsupported-pandoc-defaults",
 )
 BAD_INPUT = ("invalid-artifact-path", "invalid-source-pdf")
 
