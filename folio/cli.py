@@ -19,17 +19,23 @@ def _session():
 
 
 def _process(args: argparse.Namespace) -> None:
-    """Wire responses (book_id, page_index, response) to accepted pages and the stop of each other book."""
+    """Wire responses (book_id, page_index, response) to accepted pages and the stop of each other book.
+
+    Ends with the exit code of the first stop; what was accepted of each book is stored all the same."""
     from folio.plans import flows
     from folio.sources import wire
 
     with runs.locked(args.run):
         responses = _session().read.parquet(args.responses)
-        pages = wire.to_domain(wire.parsed(responses, "response"), "book_id", "page_index").drop("warnings")
+        pages = wire.to_domain(wire.parsed(responses, "response"), "book_id", "page_index", rejected=True).drop("warnings")
         pages = flows.page_range(pages, through_page=args.through_page, max_pages=args.max_pages)
         accepted, stops = flows.ingest(pages, whole_books=args.through_page is None and args.max_pages is None)
-        accepted.write.mode("overwrite").parquet(os.path.join(args.run, "pages"))
-        stops.write.mode("overwrite").parquet(os.path.join(args.run, "failures"))
+        accepted.drop("wire_error").write.mode("overwrite").parquet(os.path.join(args.run, "pages"))
+        failures = os.path.join(args.run, "failures")
+        stops.write.mode("overwrite").parquet(failures)
+        first = _session().read.schema(stops.schema).parquet(failures).orderBy("book_id").first()
+        if first is not None:
+            raise FolioError(first["code"], f"book {first['book_id']} stopped at page {first['page_index'] + 1}; all stops are in {failures}")
 
 
 def _render(args: argparse.Namespace) -> None:

@@ -80,6 +80,8 @@ def _with_failed(states: DataFrame, whole_books: bool, options: dict) -> DataFra
     """Adds _failed, the (rule_rank, code) of each rule that fails on the page, in order."""
     table = rules(**options)
     failed = [F.when(F.coalesce(fails, F.lit(False)), F.struct(F.lit(rank).alias("rule_rank"), F.lit(code).alias("code"))) for rank, (code, fails) in enumerate(table)]
+    if "wire_error" in states.columns:  # a page that was rejected when it was read comes before every rule
+        failed.insert(0, F.when(F.col("wire_error").isNotNull(), F.struct(F.lit(-1).alias("rule_rank"), F.col("wire_error").alias("code"))))
     pages = with_state_before(states)
     if whole_books:
         ends = (

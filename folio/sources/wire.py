@@ -1,4 +1,4 @@
-"""Wire JSON of a page interpretation: parsing, closed-key check, conversion to domain pages."""
+"""Wire JSON of a page interpretation: parsing, closed schema, conversion to domain pages."""
 
 from __future__ import annotations
 
@@ -6,58 +6,94 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.geometry import normalized
-from folio.schemas import BLOCK, BLOCK_KINDS, INLINE_KINDS, METADATA, OPENING, PAGE_TYPES, STYLE, TEXT_ROLES, TOC_ENTRY, WIRE_BLOCK, WIRE_PAGE
+from folio.schemas import ALIGNMENTS, BLOCK, BLOCK_KINDS, INLINE_KINDS, METADATA, OPENING, PAGE_TYPES, RELATIVE_SIZES, STRUCTURE_KINDS, STYLE, TEXT_ROLES, TOC_ENTRY, WIRE_BLOCK, WIRE_PAGE
 
-# The keys that each object may have.
-PAGE_KEYS = ("page_type", "printed_page_label", "opening", "metadata", "toc_entries", "blocks")
-BLOCK_KEYS = (
-    "kind", "role", "segments", "label", "caption", "heading_level", "bbox", "relative_size", "bold", "italic", "alignment", "continues_previous", "continues_on_next_page",
+# The keys that each object may have, with the types its values may have.
+_TEXT, _NUMBER, _FLAG, _NONE = "STRING", "BIGINT", "BOOLEAN", "VOID"
+
+
+def _or_null(kind: str) -> str:
+    return f"(?:{kind}|{_NONE})"
+
+
+def _list(kind: str) -> str:
+    return f"ARRAY<(?:{kind}|{_NONE})>"
+
+
+def _object(**keys: str) -> str:
+    """Objects with some of these keys, as the schema of a variant is written."""
+    each = "|".join(f"{name}: {kind}" for name, kind in keys.items())
+    return f"OBJECT<(?:(?:{each})(?:, |(?=>)))*>"
+
+
+SEGMENT_SHAPE = _object(kind=_TEXT, value=_TEXT)
+BBOX_SHAPE = _object(left=_NUMBER, top=_NUMBER, right=_NUMBER, bottom=_NUMBER)
+BLOCK_SHAPE = _object(
+    kind=_TEXT, role=_or_null(_TEXT), segments=_list(SEGMENT_SHAPE), label=_or_null(_TEXT), caption=_or_null(_TEXT), heading_level=_or_null(_NUMBER), bbox=_or_null(BBOX_SHAPE),
+    relative_size=_or_null(_TEXT), bold=_or_null(_FLAG), italic=_or_null(_FLAG), alignment=_or_null(_TEXT), continues_previous=_FLAG, continues_on_next_page=_FLAG,
 )
+OPENING_SHAPE = _object(kind=_TEXT, label=_or_null(_TEXT), title=_TEXT, subtitle=_or_null(_TEXT), level=_NUMBER)
+ENTRY_SHAPE = _object(title=_TEXT, level=_NUMBER, kind=_TEXT, printed_page_label=_or_null(_TEXT))
+METADATA_SHAPE = _object(title=_or_null(_TEXT), subtitle=_or_null(_TEXT), authors=_list(_TEXT), language=_or_null(_TEXT))
+PAGE_SHAPE = _object(
+    page_type=_TEXT, printed_page_label=_or_null(_TEXT), opening=_or_null(OPENING_SHAPE), metadata=_or_null(METADATA_SHAPE), toc_entries=_list(ENTRY_SHAPE), blocks=_list(BLOCK_SHAPE)
+)
 
 
-def unknown_keys(json: Column, allowed: tuple[str, ...]) -> Column:
-    """Keys of the outer object that the closed schema does not have; null for text that is no object."""
-    return F.array_except(F.json_object_keys(json), F.array(*map(F.lit, allowed)))
+def _all(values: Column, good) -> Column:
+    """Whether every element is there and good; true for no list."""
+    return F.coalesce(F.forall(values, lambda x: F.coalesce(x.isNotNull() & good(x), F.lit(False))), F.lit(True))
 
 
-def parsed(frame: DataFrame, column: str) -> DataFrame:
-    """Adds ``wire`` (the typed record, null if it doesn't parse) and ``wire_error``: null, invalid-json
-    or invalid-structured-response. Unknown keys, wrong types and values outside the closed sets reject.
-
-    The text is parsed once: record and verdict come out of one expression, so that a filter on either
-    does not multiply the parsing."""
-    text = F.col(column)
-    schema = WIRE_PAGE.removesuffix(">") + ", _corrupt: STRING>"
-    record = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    raw_blocks = F.from_json(F.get_json_object(text, "$.blocks"), "ARRAY<STRING>")
-    seen = F.struct(record.alias("record"), F.json_object_keys(text).alias("keys"), F.coalesce(raw_blocks, F.array().cast("array<string>")).alias("raw_blocks"))
-    levels = lambda v: v.isNull() | v.between(1, 6)
-    in_box = lambda v: v.isNull() | v.between(0, 1000)
-    good_block = lambda b: (
-        b["kind"].isin(*BLOCK_KINDS)
-        & (b["role"].isNull() | b["role"].isin(*TEXT_ROLES))
-        & levels(b["heading_level"])
-        & F.forall(F.coalesce(b["segments"], F.array().cast("array<struct<kind:string,value:string>>")), lambda s: s["kind"].isin(*INLINE_KINDS) & s["value"].isNotNull())
-        & in_box(b["bbox"]["left"]) & in_box(b["bbox"]["top"]) & in_box(b["bbox"]["right"]) & in_box(b["bbox"]["bottom"])
+def _among(value: Column, allowed: tuple[str, ...]) -> Column:
+    return value.isNull() | value.isin(*allowed)
+
+
+def _good_block(b: Column) -> Column:
+    box = b["bbox"]
+    corners = [F.coalesce(box[side].between(0, 1000), F.lit(False)) for side in ("left", "top", "right", "bottom")]
+    return (
+        F.coalesce(b["kind"].isin(*BLOCK_KINDS), F.lit(False)) & _among(b["role"], TEXT_ROLES) & _among(b["relative_size"], RELATIVE_SIZES) & _among(b["alignment"], ALIGNMENTS)
+        & (b["heading_level"].isNull() | b["heading_level"].between(1, 6))
+        & _all(b["segments"], lambda s: s["kind"].isin(*INLINE_KINDS) & s["value"].isNotNull())
+        & (box.isNull() | (corners[0] & corners[1] & corners[2] & corners[3]))
+        & ((b["kind"] != "text") | b["role"].isNotNull())
+        & ((b["kind"] != "footnote") | b["label"].isNotNull())
     )
 
-    def judged(x: Column) -> Column:
+
+def _good_entry(e: Column) -> Column:
+    """Openings and entries of a table of contents need a title, a level and a kind."""
+    return e["title"].isNotNull() & e["level"].between(1, 6) & e["kind"].isin(*STRUCTURE_KINDS)
+
+
+def parsed(frame: DataFrame, column: str) -> DataFrame:
+    """Adds ``wire`` (the typed record, null if it is rejected) and ``wire_error``: null, invalid-json (no
+    JSON object) or invalid-structured-response.
+
+    Every object is closed: the text is parsed once, to a variant, and the schema that the variant has
+    must be one that the page's shape allows, keys and types; the record's values must lie in their
+    sets and ranges, required ones must be there, a text block has a role and a footnote a label.
+    Elements of a list are seen by their common schema, so a null beside flags counts as false. A
+    filter on either column does not multiply the parsing, as both come out of one lambda."""
+
+    def judged(v: Column) -> Column:
+        return F.transform(F.array(F.struct(F.schema_of_variant(v).alias("shape"), F.try_variant_get(v, "$", WIRE_PAGE).alias("record"))), verdict)[0]
+
+    def verdict(x: Column) -> Column:
         r = x["record"]
-        closed = (F.size(F.array_except(x["keys"], F.array(*map(F.lit, PAGE_KEYS)))) == 0) & ~F.exists(x["raw_blocks"], lambda b: F.size(unknown_keys(b, BLOCK_KEYS)) > 0)
-        blocks = F.coalesce(r["blocks"], F.array().cast(f"array<{WIRE_BLOCK}>"))
-        valid = r["_corrupt"].isNull() & closed & r["page_type"].isin(*PAGE_TYPES) & F.forall(blocks, good_block) & levels(r["opening"]["level"])
-        error = F.when(x["keys"].isNull(), "invalid-json").when(~F.coalesce(valid, F.lit(False)), "invalid-structured-response")
+        valid = (
+            x["shape"].rlike(f"^{PAGE_SHAPE}$") & r["page_type"].isin(*PAGE_TYPES) & _all(r["blocks"], _good_block) & _all(r["toc_entries"], _good_entry)
+            & (r["opening"].isNull() | _good_entry(r["opening"])) & _all(r["metadata"]["authors"], lambda a: a.isNotNull())
+        )
+        is_object = F.coalesce(x["shape"].startswith("OBJECT<"), F.lit(False))
+        error = F.when(~is_object, "invalid-json").when(~F.coalesce(valid, F.lit(False)), "invalid-structured-response")
         return F.transform(F.array(error), lambda e: F.struct(e.alias("error"), F.when(e.isNull(), r).alias("record")))[0]
 
-    step = frame.withColumn("_outcome", F.transform(F.array(seen), judged)[0])
+    step = frame.withColumn("_outcome", F.transform(F.array(F.try_parse_json(F.col(column))), judged)[0])
     return step.withColumn("wire", F.col("_outcome.record")).withColumn("wire_error", F.col("_outcome.error")).drop("_outcome")
 
 
-def missing_parts(wire: Column) -> Column:
-    """Whether a text block lacks its role or a footnote its label."""
-    return F.exists(wire["blocks"], lambda b: ((b["kind"] == "text") & b["role"].isNull()) | ((b["kind"] == "footnote") & b["label"].isNull()))
-
-
 def style(b: Column) -> Column:
     given = b["relative_size"].isNotNull() | b["bold"].isNotNull() | b["italic"].isNotNull() | b["alignment"].isNotNull()
     full = F.struct(
@@ -87,17 +123,21 @@ def domain_block(b: Column) -> Column:
     ).cast(BLOCK)
 
 
-def to_domain(frame: DataFrame, *keys: str) -> DataFrame:
-    """Parsed wire records to pages; warnings start empty."""
+def to_domain(frame: DataFrame, *keys: str, rejected: bool = False) -> DataFrame:
+    """Parsed wire records to pages; warnings start empty.
+
+    Pages whose record was rejected are left out, or, with ``rejected``, kept without content and with
+    ``wire_error``, at which the rules stop their book."""
     w = F.col("wire")
-    return frame.filter("wire IS NOT NULL").select(
+    pages = frame.select(
         *keys,
-        w["page_type"].alias("page_type"),
+        F.coalesce(w["page_type"], F.lit("other")).alias("page_type"),
         w["printed_page_label"].alias("printed_page_label"),
         w["opening"].cast(OPENING).alias("opening"),
         w["metadata"].cast(METADATA).alias("metadata"),
         F.coalesce(w["toc_entries"], F.array().cast(f"array<{TOC_ENTRY}>")).alias("toc_entries"),
         F.transform(F.coalesce(w["blocks"], F.array().cast(f"array<{WIRE_BLOCK}>")), domain_block).alias("blocks"),
         F.array().cast("array<string>").alias("warnings"),
+        "wire_error",
     )
-
+    return pages if rejected else pages.filter("wire_error IS NULL").drop("wire_error")
