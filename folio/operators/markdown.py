@@ -30,11 +30,13 @@ def render(blocks: DataFrame, metadata: DataFrame | None = None, normalize=T.nfc
     lines = blocks.select("book_id", "publication_block_index", (F.col("kind") == "footnote").alias("note"), block_lines(normalize).alias("line"))
     ordered = F.sort_array(F.collect_list(F.struct("publication_block_index", "note", "line")))
     books = lines.groupBy("book_id").agg(ordered.alias("lines"))
+    if metadata is not None:  # a book without a block has a title at least
+        none = F.array().cast(books.schema["lines"].dataType)
+        books = metadata.join(books, "book_id", "left").withColumn("lines", F.coalesce("lines", none))
     body = F.array_join(F.transform(F.filter("lines", lambda x: ~x["note"]), lambda x: F.concat(x["line"], F.lit("\n"))), "\n")
     notes = F.array_join(F.transform(F.filter("lines", lambda x: x["note"]), lambda x: x["line"]), "\n")
     head = F.lit("")
     if metadata is not None:
-        books = books.join(metadata, "book_id", "left")
         part = lambda ok, line: F.when(ok, F.concat(line, F.lit("\n\n"))).otherwise("")
         head = F.concat(
             part(T.non_empty(F.col("title")), F.concat(F.lit("# "), normalize(F.col("title")))),

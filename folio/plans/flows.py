@@ -98,7 +98,7 @@ def canonical_documents(blocks: DataFrame, metadata: DataFrame, include_toc: boo
     )
     lines = blocks.select("book_id", "publication_block_index", block.alias("block"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("publication_block_index", "block"))), lambda x: x["block"]), ",")
-    books = lines.groupBy("book_id").agg(body.alias("body")).join(metadata, "book_id", "left")
+    books = metadata.join(lines.groupBy("book_id").agg(body.alias("body")), "book_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
     meta = F.concat(
         F.lit('{"authors":'), F.coalesce(F.to_json("authors"), F.lit("[]")), F.lit(',"language":'), _quoted(F.col("language")),
         F.lit(',"subtitle":'), _quoted(F.col("subtitle")), F.lit(',"title":'), _quoted(F.col("title")), F.lit("}"),
