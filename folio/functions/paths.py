@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folio.functions import text as T
+
 # Names that a page's own files and folders take.
 RESERVED_NAMES = ("manifest.json", "page-assessment.json", "page-context.json", "interpretation.json", "provenance.json", "assets", "attempts")
 
+# Names of the folders and files of a run.
 PATTERNS = {
     "commit": r"^page-[0-9]{4}$",
+    "unfinished commit": r"^\.page-[0-9]{4}\.tmp$",
+    "candidate": r"^(markdown|epub)\.candidate\.[0-9a-f]{16}$",
+    "previous": r"^(markdown|epub)\.previous$",
+    "work": r"^(markdown|epub)\.work\.[0-9a-f]{16}$",
     "failure": r"^failure-[0-9]{4}$",
     "recovery": r"^recovery-[0-9]{4}$",
     "preflight": r"^preflight-[0-9]{4}$",
@@ -31,7 +38,7 @@ def safe_output(path: Column) -> Column:
 
 def valid_artifact_names(names: Column, reserved: tuple[str, ...] = RESERVED_NAMES) -> Column:
     """Every name is non-empty, trimmed, without separators, not ``.`` or ``..``, not reserved, and none repeats."""
-    bad = F.exists(names, lambda x: x.isNull() | (x == "") | (x != F.trim(x)) | x.contains("/") | x.contains("\\") | x.isin(".", "..", *reserved))
+    bad = F.exists(names, lambda x: x.isNull() | (x == "") | (x != T.strip(x)) | x.contains("/") | x.contains("\\") | x.isin(".", "..", *reserved))
     return ~bad & (F.size(F.array_distinct(names)) == F.size(names))
 
 
