@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.functions import text as T
+
 
 def _pages():
     return Window.partitionBy("book_id").orderBy("page_number")
@@ -86,11 +88,15 @@ def latest(rows: DataFrame, value: str, number: str = "number") -> DataFrame:
     return rows.groupBy("book_id").agg(F.max_by(value, number).alias(value))
 
 
-def drift(stored: DataFrame, current: DataFrame, fields: dict[str, str], key: str = "book_id") -> DataFrame:
-    """Per run the first field, in order of ``fields`` (name: error code), whose values differ."""
+def drift(stored: DataFrame, current: DataFrame, fields: dict[str, str], key: str = "book_id", hashes: tuple[str, ...] = ()) -> DataFrame:
+    """Per run the first field, in order of ``fields`` (name: error code), whose values differ.
+
+    Fields named in ``hashes`` are compared only where both sides have one (not null, not empty)."""
     s, c = stored.alias("s"), current.alias("c")
     joined = s.join(c, F.col(f"s.{key}") == F.col(f"c.{key}"))
-    code = F.coalesce(*[F.when(~F.col(f"s.{name}").eqNullSafe(F.col(f"c.{name}")), F.lit(code)) for name, code in fields.items()])
+    differ = lambda name: ~F.col(f"s.{name}").eqNullSafe(F.col(f"c.{name}"))
+    both = lambda name: T.non_empty(F.col(f"s.{name}")) & T.non_empty(F.col(f"c.{name}")) if name in hashes else F.lit(True)
+    code = F.coalesce(*[F.when(differ(name) & both(name), F.lit(code)) for name, code in fields.items()])
     return joined.select(F.col(f"s.{key}").alias(key), code.alias("code")).filter("code IS NOT NULL")
 
 
@@ -134,8 +140,20 @@ def recovery_action() -> Column:
 
 
 def recovery_without_marker() -> Column:
-    """A valid destination stays; else a valid previous comes back; else what is there is set aside."""
-    return F.when(F.col("destination_valid"), "keep-destination").when(F.col("previous_valid"), "restore-previous").otherwise("quarantine-all")
+    """The action where no marker tells the phase: stray candidates are always set aside; a valid destination
+    stays and a previous beside it is stale; an invalid destination is set aside, and then, or where
+    there is none, a valid previous comes back and an invalid one is set aside. A flag of what does not
+    exist counts for nothing."""
+    valid, invalid = F.col("has_destination") & F.col(_D), F.col("has_destination") & ~F.col(_D)
+    previous = F.col("has_previous")
+    back = F.when(F.col(_P), "restore-previous").otherwise("quarantine-previous")
+    steps = F.array(
+        F.when(F.col("has_candidate"), "quarantine-candidate"),
+        F.when(invalid, "quarantine-destination"),
+        F.when(valid & previous, "quarantine-previous"),
+        F.when(~valid & previous, back),
+    )
+    return F.array_join(F.array_compact(steps), ",")
 
 
 def recovery_states(spark: SparkSession) -> DataFrame:

@@ -268,9 +268,52 @@ ORACLES: dict[str, str] = {
     "prompt_build": f"""{_FOLD}, k AS (SELECT book_id, page_index, coalesce(lag(status) OVER (PARTITION BY book_id ORDER BY page_index), 'not_seen') AS was, title_b, tail_b, prev_type FROM f)
         SELECT book_id, page_index, '{SECTIONS[0]}' || chr(10) || chr(10) || 'What is known so far:' || chr(10) || '{{"current_section_title":' || coalesce('"' || title_b || '"', 'null') || ',"open_paragraph_tail":' || coalesce('"' || tail_b || '"', 'null')
           || ',"previous_page_type":' || coalesce('"' || prev_type || '"', 'null') || ',"toc_status":"' || was || '"}}' || chr(10) || chr(10) || {_REST} AS prompt FROM k""",
+    "wire_closed_objects": """SELECT n_nationkey, form, CASE WHEN form IN ('no json', 'no text', 'a list', 'a string') THEN 'invalid-json' WHEN ok THEN NULL ELSE 'invalid-structured-response' END AS wire_error
+        FROM nation, (SELECT unnest(['least', 'full block', 'full page', 'nulls']) AS form, true AS ok
+          UNION ALL SELECT unnest(['no json', 'no text', 'a list', 'a string', 'no page type', 'other page type', 'page key', 'blocks no list', 'block no object', 'null block', 'block key', 'block kind',
+            'no block kind', 'role', 'text without role', 'note without label', 'heading level 7', 'heading level 0', 'heading level 1.5', 'size', 'alignment', 'bold no flag', 'null continues', 'segments null',
+            'segment key', 'segment kind', 'segment without value', 'box key', 'box with one corner', 'box too far', 'box below', 'opening key', 'opening without level', 'opening kind', 'opening without title',
+            'entry key', 'entry level 9', 'entry kind', 'entry without title', 'metadata key', 'authors no list', 'author no string', 'title no string']), false)""",
+    "val_made_pages": """SELECT n_nationkey || '-' || book AS book_id, CAST(page AS INTEGER) AS page_index, code FROM nation, (VALUES
+        ('toc-after-commit', 2, 'unexpected-toc'), ('toc-empty', 0, 'invalid-toc-hierarchy'), ('toc-blank-title', 0, 'invalid-toc-hierarchy'), ('toc-jump', 0, 'invalid-toc-hierarchy'),
+        ('chapter-untitled', 0, 'missing-chapter-title'), ('chapter-two-titles', 0, 'multiple-chapter-titles'), ('chapter-beyond-toc', 2, 'unexpected-chapter'), ('chapter-other-title', 1, 'toc-chapter-mismatch'),
+        ('heading-jump', 0, 'heading-level-jump'), ('chapter-in-paragraph', 2, 'unclosed-paragraph'), ('not-continued', 2, 'missing-continuation'), ('continued-from-nothing', 0, 'continuation-without-source'),
+        ('two-continue', 2, 'invalid-continuation-layout'), ('second-continues', 2, 'invalid-continuation-layout'), ('two-go-on', 1, 'invalid-continuation-layout'), ('first-goes-on', 1, 'invalid-continuation-layout'),
+        ('notes-doubled', 0, 'duplicate-footnote-label'), ('note-missing', 0, 'unresolved-footnote'), ('note-orphan', 0, 'orphan-footnote'), ('figure-without-box', 0, 'figure-crop-unavailable'),
+        ('toc-not-used-up', 1, 'toc-not-exhausted'), ('ends-open', 1, 'unclosed-paragraph')) AS v (book, page, code)""",
+    "publication_made_pages": """SELECT n_nationkey || '-' || book AS book_id, CAST(page AS INTEGER) AS page_index, code FROM nation, (VALUES
+        ('chapter-in-paragraph', 2, 'invalid-continuation-layout'), ('continued-from-nothing', 0, 'continuation-without-source'), ('two-continue', 2, 'continuation-without-source'),
+        ('second-continues', 2, 'invalid-continuation-layout'), ('notes-doubled', 0, 'duplicate-footnote-label'), ('note-missing', 0, 'unresolved-footnote'), ('quote-goes-on', 0, 'invalid-continuation-layout')) AS v (book, page, code)""",
+    "rejected_pages_stop": f"""WITH {_EVENTS}, n AS (SELECT book_id, count(*) AS n FROM e GROUP BY book_id)
+        SELECT book_id, least(n, 2) AS n_pages, CASE WHEN n > 2 THEN 2 END AS stop, CASE WHEN n > 2 THEN 'invalid-json' END AS code FROM n""",
+    "title_exact": r"""SELECT doc_id, trim(regexp_replace(trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize('  ' || string_split(coalesce(text, ''), chr(10))[1] || ' .... ')), 'ß', 'ss'), '[.·…\s]+$', ''), '\s+', ' ', 'g')), '[.:;,\-–—]+$', '')) AS title FROM documents""",
+    "publish_titles_only": f"""WITH {_EVENTS}, m AS (SELECT book_id, 'T' || arg_min(event_id, page_index) FILTER (event_id % 3 = 0) AS title, 'S' || arg_min(event_id, page_index) FILTER (event_id % 4 <> 0) AS subtitle,
+          'A' || arg_min(event_id, page_index) FILTER (event_id % 5 = 0) AS author FROM e GROUP BY book_id),
+        r AS (SELECT *, coalesce('# ' || title || chr(10) || chr(10), '') || coalesce('## ' || subtitle || chr(10) || chr(10), '') || coalesce(author, '') AS text FROM m)
+        SELECT book_id, rtrim(text, chr(10)) || chr(10) AS markdown, sha256('{{"blocks":[],"epub_semantic_profile":{{"from_format":"markdown+footnotes","include_toc":true,"profile_format_version":1,"split_level":1,"to_format":"epub3"}},'
+          || '"identity_format_version":1,"markdown_semantic_profile":{{"footnote_style":"document-end","heading_style":"atx","profile_format_version":1}},"metadata":{{"authors":['
+          || coalesce('"' || author || '"', '') || '],"language":null,"subtitle":' || coalesce('"' || subtitle || '"', 'null') || ',"title":' || coalesce('"' || title || '"', 'null') || '}}}}') AS fingerprint FROM r""",
+    "exit_codes": """SELECT unnest(string_split(codes, ' ')) AS code, CAST(exit AS INTEGER) AS exit_code FROM (VALUES
+        (10, 'context-budget-exceeded context-budget-indeterminate context-budget-probe-unavailable empty-response http-client-error http-retryable http-server-error invalid-completion-envelope invalid-http-response invalid-json invalid-structured-response output-token-limit response-body-truncated thinking-smoke-unavailable transport-error transport-timeout unexpected-reasoning-content'),
+        (11, 'unexpected-toc invalid-toc-hierarchy missing-chapter-title multiple-chapter-titles unexpected-chapter toc-chapter-mismatch heading-level-jump unclosed-paragraph missing-continuation continuation-without-source invalid-continuation-layout duplicate-footnote-label unresolved-footnote orphan-footnote figure-crop-unavailable toc-not-exhausted'),
+        (12, 'epubcheck-failed pandoc-failed'),
+        (13, 'config-drift duplicate-artifact-name inference-relocation-rejected invalid-commit-artifact-path invalid-run-layout output-transaction-corruption page-image-too-large page-render-failed render-environment-drift run-locked schema-drift source-hash-mismatch inference-environment-drift server-model-path-mismatch static-context-impossible thinking-control-contract-drift token-counting-calibration-failed token-counting-contract-drift unsupported-llama-server-contract unsupported-multi-model-server unsupported-thinking-control unverifiable-server-model-path unsupported-pandoc-defaults'),
+        (14, 'invalid-artifact-path invalid-source-pdf')) AS v (exit, codes)""",
+    "recovery_no_marker": """WITH b AS (SELECT unnest([true, false]) AS x)
+        SELECT d.x AS has_destination, c.x AS has_candidate, p.x AS has_previous, dv.x AS destination_valid, pv.x AS previous_valid,
+          concat_ws(',', CASE WHEN c.x THEN 'quarantine-candidate' END, CASE
+            WHEN d.x AND dv.x AND p.x THEN 'quarantine-previous'
+            WHEN d.x AND dv.x THEN NULL
+            WHEN d.x AND p.x AND pv.x THEN 'quarantine-destination,restore-previous'
+            WHEN d.x AND p.x THEN 'quarantine-destination,quarantine-previous'
+            WHEN d.x THEN 'quarantine-destination'
+            WHEN p.x AND pv.x THEN 'restore-previous'
+            WHEN p.x THEN 'quarantine-previous' END) AS action
+        FROM b d, b c, b p, b dv, b pv""",
+    "environment_drift": """WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders) SELECT k AS book_id, CASE WHEN k % 5 = 2 THEN 'inference-environment-drift' ELSE 'server-model-path-mismatch' END AS code FROM o WHERE k % 5 = 2 OR k % 7 = 0""",
     "publish_recovery": f"""WITH b AS (SELECT unnest([true, false]) AS x), s AS (SELECT phase, a.x AS has_destination, b.x AS has_candidate, c.x AS has_previous, d.x AS candidate_valid, g.x AS destination_valid, h.x AS destination_valid_at_head, i.x AS previous_valid
           FROM (SELECT unnest(['building', 'candidate-valid', 'previous-moved', 'candidate-published']) AS phase), b a, b, b c, b d, b g, b h, b i)
-        SELECT *, {_RECOVERY_CASE} AS action, CASE WHEN destination_valid THEN 'keep-destination' WHEN previous_valid THEN 'restore-previous' ELSE 'quarantine-all' END AS without_marker FROM s""",
+        SELECT *, {_RECOVERY_CASE} AS action FROM s""",
     "drift_guard": """WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders) SELECT k AS book_id, CASE WHEN k % 9 = 0 THEN 'config-drift' ELSE 'schema-drift' END AS code FROM o WHERE k % 9 = 0 OR k % 6 = 0""",
     "state_streaming": f"{_FOLD} SELECT book_id, page_index, status AS toc_status, opened AS next_expected_opening_index, true AS accepted FROM f",
     "noop_interpreter": f"WITH {_EVENTS} SELECT book_id, count(*) AS n_pages, count(*) AS n_blank, 0 AS n_blocks FROM e GROUP BY book_id",

@@ -16,6 +16,7 @@ from folio.operators import inference, markdown, publish, state, store, validate
 from folio.oracles import ORACLES
 from folio.plans import flows
 from folio.sources import carriers as C
+from folio.sources import made as M
 from folio.sources import wire
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -455,10 +456,76 @@ def prompt_build(spark, d):
     return c.select("book_id", "page_index", R.prompt(known).alias("prompt"))
 
 
+@query
+def wire_closed_objects(spark, d):
+    """Every form that the closed schema allows or forbids."""
+    return wire.parsed(M.wire_texts(spark, d), "json").select("n_nationkey", "form", "wire_error")
+
+
+@query
+def val_made_pages(spark, d):
+    """Every rule on pages that break it and on pages that just do not, with whole books."""
+    return validate.violations(state.with_state(M.rule_pages(spark, d)), whole_books=True).select("book_id", "page_index", "code")
+
+
+@query
+def publication_made_pages(spark, d):
+    """The publication's own rules on the same pages."""
+    return publish.publication_errors(M.rule_pages(spark, d))
+
+
+@query
+def rejected_pages_stop(spark, d):
+    """Books whose third page has a text that is rejected: what is accepted, and the stop."""
+    text = F.when(F.col("page_index") == 2, "{").otherwise('{"page_type":"figure_page"}')
+    pages = wire.to_domain(wire.parsed(C.event_rows(spark, d).select("book_id", "page_index", text.alias("response")), "response"), "book_id", "page_index", rejected=True)
+    kept, stops = flows.ingest(pages.drop("warnings"))
+    counts = kept.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_pages"))
+    return counts.join(stops, "book_id", "left").select("book_id", "n_pages", F.col("page_index").alias("stop"), "code")
+
+
+@query
+def title_exact(spark, d):
+    b = C.load(spark, d, "documents")
+    title = F.concat(F.lit("  "), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), F.lit(" .... "))
+    return b.select("doc_id", T.normalized_title(title, exact=True).alias("title"))
+
+
+@query
+def publish_titles_only(spark, d):
+    """Books that have metadata and no block."""
+    pages = C.event_pages(spark, d)
+    books, _ = flows.publish_books(pages.withColumn("blocks", F.array().cast(pages.schema["blocks"].dataType)))
+    return books.select("book_id", "markdown", "fingerprint")
+
+
+@query
+def exit_codes(spark, d):
+    from folio import errors
+
+    known = [*errors.INFERENCE, *errors.STRUCTURAL, *errors.EXTERNAL, *errors.PROCESSING, *errors.BAD_INPUT]
+    return spark.createDataFrame([(code, errors.exit_code(code)) for code in known], "code string, exit_code int")
+
+
+@query
+def recovery_no_marker(spark, d):
+    s = store.recovery_states(spark).filter("phase = 'building'").select("has_destination", "has_candidate", "has_previous", "destination_valid", "previous_valid").distinct()
+    return s.select("*", store.recovery_without_marker().alias("action"))
+
+
+@query
+def environment_drift(spark, d):
+    """Hashes are compared only where both sides have one."""
+    o = C.load(spark, d, "orders").select(F.col("o_orderkey").alias("book_id"), F.col("o_orderstatus").alias("sha256"), F.col("o_orderpriority").alias("server")).dropDuplicates(["book_id"])
+    k = F.col("book_id")
+    now = o.select("book_id", F.when(k % 5 == 0, "").when(k % 5 == 1, F.lit(None)).when(k % 5 == 2, "Z").otherwise(F.col("sha256")).alias("sha256"), F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("server")).alias("server"))
+    return store.drift(o, now, {"sha256": "inference-environment-drift", "server": "server-model-path-mismatch"}, hashes=("sha256",))
+
+
 @query
 def publish_recovery(spark, d):
     s = store.recovery_states(spark)
-    return s.select("*", store.recovery_action().alias("action"), store.recovery_without_marker().alias("without_marker"))
+    return s.select("*", store.recovery_action().alias("action"))
 
 
 @query
