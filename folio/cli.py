@@ -19,30 +19,47 @@ def _session():
 
 
 def _process(args: argparse.Namespace) -> None:
-    """Wire responses (book_id, page_index, response) to accepted pages and the stop of each other book.
+    """Wire responses (book_id, page_index, response) to committed pages and the stop of each other book.
+
+    Goes on from the committed pages of each book. Ends with the exit code of the first stop; what was
+    accepted of each book is committed all the same."""
+    from pyspark.sql import functions as F
 
-    Ends with the exit code of the first stop; what was accepted of each book is stored all the same."""
     from folio.plans import flows
+    from folio.plans.log import Log
+    from folio.plans.outputs import Output
     from folio.sources import wire
 
     with runs.locked(args.run):
-        responses = _session().read.parquet(args.responses)
+        runs.guard(args.run)
+        log = Log(_session(), args.run)
+        log.recover()
+        for entry in os.listdir(args.outputs) if args.outputs and os.path.isdir(args.outputs) else ():
+            book = Output(os.path.join(args.outputs, entry))
+            if os.path.isdir(book.folder) and entry != "quarantine" and not book.valid(book.folder):
+                book.set_aside(book.folder)  # never in the way of new pages
+        done, heads = log.pages(), log.heads()
+        responses = log.spark.read.parquet(args.responses)
         pages = wire.to_domain(wire.parsed(responses, "response"), "book_id", "page_index", rejected=True).drop("warnings")
-        pages = flows.page_range(pages, through_page=args.through_page, max_pages=args.max_pages)
-        accepted, stops = flows.ingest(pages, whole_books=args.through_page is None and args.max_pages is None)
-        accepted.drop("wire_error").write.mode("overwrite").parquet(os.path.join(args.run, "pages"))
-        failures = os.path.join(args.run, "failures")
-        stops.write.mode("overwrite").parquet(failures)
-        first = _session().read.schema(stops.schema).parquet(failures).orderBy("book_id").first()
-        if first is not None:
-            raise FolioError(first["code"], f"book {first['book_id']} stopped at page {first['page_index'] + 1}; all stops are in {failures}")
+        placed = pages.join(heads, "book_id", "left").withColumn("_head", F.coalesce("committed_page_count", F.lit(0))).drop("committed_page_count")
+        new = flows.page_range(placed, processed=F.col("_head"), through_page=args.through_page, max_pages=args.max_pages).drop("_head")
+        before = done.withColumn("wire_error", F.lit(None).cast("string"))
+        accepted, stops = flows.ingest(before.unionByName(new), whole_books=args.through_page is None and args.max_pages is None)
+        failure = log.fail(stops)
+        fresh = accepted.join(heads, "book_id", "left").filter(F.col("page_index") >= F.coalesce("committed_page_count", F.lit(0)))
+        log.append(fresh.drop("committed_page_count", "wire_error"))
+        if failure is not None:
+            name, first = failure
+            raise FolioError(first["code"], f"book {first['book_id']} stopped at page {first['page_index'] + 1}; all stops are in {name}")
 
 
 def _render(args: argparse.Namespace) -> None:
     from folio.plans import flows
+    from folio.plans.log import Log
 
     with runs.locked(args.run):
-        books, errors = flows.publish_books(_session().read.parquet(os.path.join(args.run, "pages")))
+        log = Log(_session(), args.run)
+        books, errors = flows.publish_books(log.pages())
         books.write.mode("overwrite").parquet(os.path.join(args.run, "books"))
         errors.write.mode("overwrite").parquet(os.path.join(args.run, "publication_errors"))
         for book in books.toLocalIterator() if args.bundles else ():  # one book at a time, streamed
@@ -60,6 +77,7 @@ def parser() -> argparse.ArgumentParser:
     process = commands.add_parser("process")
     process.add_argument("--run", required=True)
     process.add_argument("--responses", required=True)
+    process.add_argument("--outputs", help="folder of bundles; invalid ones are set aside")
     some = process.add_mutually_exclusive_group()
     some.add_argument("--through-page", type=int)
     some.add_argument("--max-pages", type=int)

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
-import shutil
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.errors import FolioError
 from folio.functions import identity as I
 from folio.functions import text as T
 from folio.operators import markdown, publish, state, validate
+from folio.plans.outputs import Output
 
 #: An interpreter turns (book_id, page_index, content, context as JSON) into wire JSON, batch by batch.
 Interpreter = Callable[[pd.DataFrame], pd.Series]
@@ -37,8 +36,24 @@ def _noop(pages: pd.DataFrame) -> pd.Series:
     return pd.Series([blank] * len(pages), index=pages.index)
 
 
+def with_context(committed: DataFrame, raw: DataFrame) -> DataFrame:
+    """Of each book's raw pages (book_id, page_index, content) the one after its committed pages, with
+    ``context``: what is known from the pages before, as JSON. Books are read side by side, each book's
+    pages one after the other: interpret, ingest, commit, and ask again."""
+    heads = committed.groupBy("book_id").agg((F.max("page_index") + 1).alias("_head"))
+    due = raw.join(heads, "book_id", "left").filter(F.col("page_index") == F.coalesce("_head", F.lit(0))).drop("_head")
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in committed.schema}
+    stub = empty | {"book_id": F.col("book_id"), "page_index": F.col("page_index"), "page_type": F.lit("other")}
+    stub |= {name: F.array().cast(committed.schema[name].dataType) for name in ("toc_entries", "blocks")}
+    asked = due.select(*[c.alias(name) for name, c in stub.items()])
+    known = state.page_context(state.with_state(committed.unionByName(asked)))
+    context = F.to_json(F.struct(*[c for c in known.columns if c not in ("book_id", "page_index")]), {"ignoreNullFields": "false"})
+    return due.join(known.select("book_id", "page_index", context.alias("context")), ["book_id", "page_index"])
+
+
 def interpret(raw: DataFrame, name: str = "noop") -> DataFrame:
-    """Rows (book_id, page_index, content) to rows with ``response``, wire JSON; content stays in the tasks."""
+    """Rows (book_id, page_index, content, and context if it is known) to rows with ``response``, wire JSON;
+    content stays in the tasks."""
     call = INTERPRETERS[name]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,12 +63,13 @@ def interpret(raw: DataFrame, name: str = "noop") -> DataFrame:
     return raw.mapInPandas(run, "book_id string, page_index int, response string")
 
 
-def page_range(pages: DataFrame, *, processed: int = 0, through_page: int | None = None, max_pages: int | None = None) -> DataFrame:
+def page_range(pages: DataFrame, *, processed: int | Column = 0, through_page: int | None = None, max_pages: int | None = None) -> DataFrame:
     """Pages from ``processed`` on, up to an absolute 1-based page or a number of pages."""
     if through_page is not None and max_pages is not None:
         raise ValueError("through_page and max_pages exclude each other")
-    end = through_page if through_page is not None else processed + max_pages if max_pages is not None else None
-    kept = pages.filter(F.col("page_index") >= processed)
+    start = processed if isinstance(processed, Column) else F.lit(processed)
+    end = F.lit(through_page) if through_page is not None else start + max_pages if max_pages is not None else None
+    kept = pages.filter(F.col("page_index") >= start)
     return kept if end is None else kept.filter(F.col("page_index") < end)
 
 
@@ -124,27 +140,17 @@ def publish_books(pages: DataFrame, normalize: Callable[[Column], Column] = T.nf
     return markdown.render(blocks, metadata, normalize).join(fingerprints(blocks, metadata, normalize), "book_id"), errors
 
 
-def write_bundle(folder: str, markdown_text: str, assets: dict[str, bytes], manifest: dict) -> None:
-    """One book's outputs on the driver, all or nothing: written beside, checked, then moved into place."""
-    import hashlib
-
-    work = f"{folder}.candidate-{uuid.uuid4().hex[:16]}"
-    os.makedirs(f"{work}/assets")
-    files = {"book.md": markdown_text.encode(), **assets}
-    for path, content in files.items():
-        with open(f"{work}/{path}", "wb") as out:
-            out.write(content)
-    listed = [{"path": p, "sha256": hashlib.sha256(c).hexdigest(), "size_bytes": len(c)} for p, c in sorted(files.items())]
-    with open(f"{work}/manifest.json", "w") as out:
-        json.dump(manifest | {"files": listed}, out, sort_keys=True, ensure_ascii=False)
-    for entry in listed:
-        with open(f"{work}/{entry['path']}", "rb") as made:
-            if hashlib.sha256(made.read()).hexdigest() != entry["sha256"]:
-                raise FolioError("invalid-run-layout", f"hash mismatch for {entry['path']}")
-    if not assets:
-        os.rmdir(f"{work}/assets")
-    previous = f"{folder}.previous-{uuid.uuid4().hex[:16]}"
-    if os.path.exists(folder):
-        os.rename(folder, previous)
-    os.rename(work, folder)
-    shutil.rmtree(previous, ignore_errors=True)
+def write_bundle(folder: str, markdown_text: str, assets: dict[str, bytes], manifest: dict, head: int | None = None) -> None:
+    """One book's outputs on the driver, all or nothing: a candidate is written, checked and put in place."""
+
+    def build(candidate: str) -> None:
+        files = {"book.md": markdown_text.encode(), **assets}
+        for path, content in files.items():
+            os.makedirs(os.path.dirname(os.path.join(candidate, path)), exist_ok=True)
+            with open(os.path.join(candidate, path), "wb") as out:
+                out.write(content)
+        listed = [{"path": p, "sha256": hashlib.sha256(c).hexdigest(), "size_bytes": len(c)} for p, c in sorted(files.items())]
+        with open(os.path.join(candidate, "manifest.json"), "w") as out:
+            json.dump(manifest | ({} if head is None else {"committed_page_count": head}) | {"files": listed}, out, sort_keys=True, ensure_ascii=False)
+
+    Output(folder, manifest.get("command", "markdown")).publish(build, head)
