@@ -46,6 +46,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def share_below(sample: int, n: int) -> float:
+    """A share of n evenly spread hashes that surely (7 standard deviations) has the ``sample`` smallest."""
+    return min(1.0, (sample + 8 * sample**0.5 + 16) / max(1, n))
+
+
 def _letters() -> np.ndarray:
     """For each code point whether it is a letter; made once per process."""
     global _LETTERS
@@ -167,14 +172,14 @@ def fit(counts: list[pd.Series], langs: list[str], clusters: int = 4) -> Model:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 600, clusters: int = 4) -> Model:
     labelled = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter(~held_out(F.col("id")) & F.col("lang").isNotNull())
-    rows = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
+    placed = labelled.withColumn("place", F.shiftrightunsigned(F.xxhash64(F.lit("language"), "id", "text"), 1))
+    rows = {r["lang"]: r["count"] for r in placed.select("lang", "place").distinct().groupBy("lang").count().collect()}  # one row a language
     if not rows:
         return fit([], [], clusters)
     below = F.lit(2.0**63)
-    for lang, n in rows.items():  # half as many again as are taken, so that the smallest hashes are surely among them
-        below = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * sample / n) * 2.0**63)).otherwise(below)
-    place = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "id", "text"), 1)
-    chosen = labelled.withColumn("place", place).filter(F.col("place") < below).select("lang", "place", "text")
+    for lang, n in rows.items():
+        below = F.when(F.col("lang") == lang, F.lit(share_below(sample, n) * 2.0**63)).otherwise(below)
+    chosen = placed.filter(F.col("place") < below).select("lang", "place", "text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

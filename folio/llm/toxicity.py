@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.language_id import held_out
+from folio.llm.language_id import held_out, share_below
 from folio.llm.scratch import materialise, remove
 
 LENGTH, STRIDE = 24, 12
@@ -366,8 +366,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     place = F.shiftrightunsigned(F.xxhash64(F.lit("toxicity"), docs[id_col], docs[text_col]), 1)
     marked = materialise(docs.select(docs[id_col].alias("id"), place.alias("place")).join(known, "id").distinct(), "toxicity-marked")
     counts = {row["y"]: row["count"] for row in marked.groupBy("y").count().collect()}
-    # half as many again as are taken, so that the smallest hashes of each label are surely among them
-    below = {y: min(1.0, 1.5 * sample / max(1, counts.get(y, 0))) * 2.0**63 for y in (0, 1)}
+    below = {y: share_below(sample, counts.get(y, 0)) * 2.0**63 for y in (0, 1)}
     chosen = materialise(marked.filter(F.col("place") < F.when(F.col("y") == 1, below[1]).otherwise(below[0])), "toxicity-sample")  # its size is known: it can be broadcast
     remove(marked)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), place.alias("place")).join(chosen, ["id", "place"])
