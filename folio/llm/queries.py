@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import toxicity
+from folio.llm.decontamination import decontaminate
+from folio.llm.decontamination import oracle as decontamination_oracle
 from folio.llm.exact_dedup import exact_dedup
 from folio.llm.jaccard_join import jaccard_join
 from folio.llm.language_id import identify, train
@@ -17,8 +19,10 @@ from folio.llm.mixing import mix_copies, n_words
 from folio.llm.packing import pack_documents
 from folio.llm.quality_rules import ledger, passes
 from folio.llm.quality_rules import oracle as quality_oracle
+from folio.llm.spelling import spelling_variants
 from folio.llm.token_files import read_documents, write_documents
 from folio.llm.warc import read_archives, write_archives
+from folio.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +82,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10)
+    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), least_letters=5, least_count=3, ratio=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -89,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_decontamination": op12_decontamination,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
@@ -109,4 +129,5 @@ ORACLES: dict[str, str] = {
              g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY body)
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.body) AS text_sha256
         FROM n JOIN g USING (body)""",
+    "op12_decontamination": decontamination_oracle(span=10),
 }

@@ -34,10 +34,14 @@ def _mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.encode("utf-8", "replace").lower(), dtype=np.uint8)  # bytes.lower: A-Z only
-    edges = np.diff((~_SPACE[raw]).astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+def word_bounds(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true places."""
+    edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def hashes_between(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each stretch."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw * _power(1, len(raw)), dtype=np.uint64)))
@@ -45,17 +49,26 @@ def word_hashes(text: str) -> np.ndarray:
     return _mixed(own + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def combined(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` consecutive hashes."""
+    n = len(words) - size + 1
+    out = np.full(n, size, np.uint64)
+    for i in range(size):
+        out = _mixed(out * np.uint64(_BASE) + words[i : i + n])
+    return out
+
+
+def word_hashes(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode("utf-8", "replace").lower(), dtype=np.uint8)  # bytes.lower: A-Z only
+    return hashes_between(raw, *word_bounds(~_SPACE[raw]))
+
+
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted distinct shingle hashes."""
     words = word_hashes(text) if text else np.zeros(0, np.uint64)
     if not len(words):
         return words
-    size = min(width, len(words))
-    n = len(words) - size + 1
-    out = np.full(n, size, np.uint64)
-    for i in range(size):
-        out = _mixed(out * np.uint64(_BASE) + words[i : i + n])
-    return np.unique(out)
+    return np.unique(combined(words, min(width, len(words))))
 
 
 def set_key(shingles: np.ndarray) -> int:
