@@ -40,6 +40,27 @@ f AS (
                      CASE WHEN p.status = 'collecting' AND x.page_type <> 'toc' THEN CASE WHEN len(p.toc) > 0 THEN 'committed' ELSE 'absent' END ELSE p.status END AS fin
               FROM f p JOIN e x ON x.book_id = p.book_id AND x.page_index = p.page_index + 1)))"""
 
+# all documents as one book: the same fold over other rows, with headings of their own
+_CORPUS = """
+e0 AS (SELECT 'corpus' AS book_id, CAST(row_number() OVER (ORDER BY doc_id, coalesce(text, '')) - 1 AS INTEGER) AS page_index, doc_id AS event_id, right(coalesce(text, ''), 500) AS text, doc_id % 3 = 0 AS c_on, false AS c_prev FROM documents),
+e AS MATERIALIZED (SELECT *, CASE WHEN page_index < 3 THEN 'blank' WHEN page_index < 12 OR event_id % 97 = 0 THEN 'toc' WHEN event_id % 10 = 0 THEN 'chapter_opening' WHEN event_id % 7 = 0 THEN 'figure_page' ELSE 'body' END AS page_type FROM e0)"""
+_CORPUS_FOLD = _FOLD.replace(_EVENTS, _CORPUS).replace("|| text || '/' || page_index", "|| 'Heading ' || event_id || '/' || page_index")
+
+
+_EVENT_META = (
+    "first_value(CASE WHEN event_id % 3 = 0 THEN 'T' || event_id END IGNORE NULLS) OVER w",
+    "coalesce(first_value(CASE WHEN event_id % 5 = 0 THEN 'A' || event_id END IGNORE NULLS) OVER w, '')",
+)
+
+
+def _state_fields(fold: str, title: str, authors: str, where: str = "true") -> str:
+    return f"""{fold}, m AS (SELECT book_id, page_index, {title} AS book_title, {authors} AS authors FROM e WINDOW w AS (PARTITION BY book_id ORDER BY page_index))
+        SELECT book_id, page_index, status AS toc_status, len(toc) AS n_toc, opened AS next_expected_opening_index, title AS section_title, toc_index, sec AS started_on_page,
+               CASE WHEN sec IS NOT NULL THEN len(heads) END AS n_headings, CASE WHEN sec IS NOT NULL THEN coalesce(array_to_string(heads[greatest(1, len(heads) - 11):], ';'), '') END AS recent_headings,
+               tail AS open_paragraph_tail, page_type AS last_page_type, page_index + 1 AS processed_page_count, book_title, authors
+        FROM f JOIN m USING (book_id, page_index) WHERE {where}"""
+
+
 _RULES = f"""{_FOLD},
 z AS (SELECT *, lead(page_index) OVER (PARTITION BY book_id ORDER BY page_index) IS NULL AS last_page FROM f),
 v AS (
@@ -164,6 +185,8 @@ ORACLES: dict[str, str] = {
     "toc_state": f"{_FOLD} SELECT book_id, page_index, status AS toc_status, before AS toc_status_before, page_index + 1 AS processed_page_count FROM f",
     "toc_concat": f"{_FOLD} SELECT book_id, page_index, len(toc) AS n_entries, coalesce(array_to_string(toc, '|'), '') AS titles FROM f",
     "opening_index": f"{_FOLD} SELECT book_id, page_index, opened AS next_expected_opening_index FROM f",
+    "state_scan": _state_fields(_CORPUS_FOLD, "CASE WHEN page_index >= 2 THEN 'Corpus' END", "CASE WHEN page_index >= 3 THEN 'A. Author' ELSE '' END"),
+    "state_resume": _state_fields(_FOLD, *_EVENT_META, "page_index >= 3 + CAST(book_id AS BIGINT) % 9"),
     "section_carry": f"{_FOLD} SELECT book_id, page_index, title, CASE WHEN sec IS NOT NULL THEN 'chapter' END AS kind, toc_index, sec AS started_on_page FROM f",
     "recent_headings": f"""{_FOLD} SELECT book_id, page_index, CASE WHEN sec IS NOT NULL THEN coalesce(array_to_string(heads[greatest(1, len(heads) - 11):], ';'), '') END AS recent,
         CASE WHEN sec IS NOT NULL THEN len(heads) END AS n_stack FROM f""",
@@ -318,3 +341,4 @@ ORACLES: dict[str, str] = {
     "state_streaming": f"{_FOLD} SELECT book_id, page_index, status AS toc_status, opened AS next_expected_opening_index, true AS accepted FROM f",
     "noop_interpreter": f"WITH {_EVENTS} SELECT book_id, count(*) AS n_pages, count(*) AS n_blank, 0 AS n_blocks FROM e GROUP BY book_id",
 }
+ORACLES["snapshot_context"] = f"SELECT * FROM ({ORACLES['page_context']}) WHERE page_index >= 3 + CAST(book_id AS BIGINT) % 9"

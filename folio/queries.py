@@ -12,12 +12,13 @@ from folio.functions import identity as I
 from folio.functions import paths as P
 from folio.functions import prompt as R
 from folio.functions import text as T
-from folio.operators import inference, markdown, publish, state, store, validate
+from folio.operators import inference, markdown, publish, scan, state, store, validate
 from folio.oracles import ORACLES
 from folio.plans import flows
 from folio.sources import carriers as C
 from folio.sources import made as M
 from folio.sources import wire
+from folio.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -535,6 +536,46 @@ def drift_guard(spark, d):
     return store.drift(o, now, {"prompt": "config-drift", "schema": "schema-drift"})
 
 
+def _state_fields(states: DataFrame) -> DataFrame:
+    """All fields of the state after each page, lists as text."""
+    s = F.col("state")
+    part = s["section"]
+    shown = F.array_join(F.transform(part["recent_headings"], lambda h: F.concat_ws("/", h["level"].cast("string"), h["text"], h["page_index"].cast("string"))), ";")
+    return states.select(
+        "book_id", "page_index", s["toc_status"].alias("toc_status"), s["n_toc"].alias("n_toc"), s["next_expected_opening_index"].alias("next_expected_opening_index"), part["title"].alias("section_title"),
+        part["toc_index"].alias("toc_index"), part["started_on_page"].alias("started_on_page"), part["n_headings"].alias("n_headings"), shown.alias("recent_headings"), scan.open_tail(s).alias("open_paragraph_tail"),
+        s["previous_page_type"].alias("last_page_type"), s["processed_page_count"].alias("processed_page_count"), s["book_metadata"]["title"].alias("book_title"), F.array_join(s["book_metadata"]["authors"], ",").alias("authors"),
+    )
+
+
+@query
+def state_scan(spark, d):
+    """The state after every page of one book that holds all documents, by ranges of pages."""
+    return _state_fields(scan.scan(C.corpus_pages(spark, d), span=64))
+
+
+@query
+def state_resume(spark, d):
+    """Snapshots are stored where each book's head stands; the pages after it go on from there."""
+    pages = C.event_pages(spark, d)
+    head = F.col("page_index") < 3 + F.col("book_id").cast("long") % 9
+    old = pages.filter(head)
+    snapshots = stored(scan.snapshot(old, scan.scan(old)), "snapshots")
+    return _state_fields(scan.scan(pages.filter(~head), snapshots))
+
+
+@query
+def snapshot_context(spark, d):
+    """What an interpreter sees of the pages after the heads, entries of the stored TOC among it."""
+    pages = C.event_pages(spark, d)
+    head = F.col("page_index") < 3 + F.col("book_id").cast("long") % 9
+    old = pages.filter(head)
+    snapshots = stored(scan.snapshot(old, scan.scan(old)), "snapshots")
+    c = scan.page_context(scan.with_state(pages.filter(~head), snapshots))
+    titles = F.array_join(F.transform("expected_toc_entries", lambda e: e["title"]), "|")
+    return c.select("book_id", "page_index", "book_title", "toc_status", titles.alias("expected"), "current_section_title", "open_paragraph_tail", "previous_page_type", F.size(F.coalesce("current_section_headings", F.array().cast("array<struct<level:int,text:string,page_index:int>>"))).alias("n_headings"))
+
+
 @query
 def state_streaming(spark, d):
     """The stateful reducer, run as a stream over the stored pages of this table."""

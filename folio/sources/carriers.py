@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.schemas import BLOCK, METADATA, OPENING, TOC_ENTRY
+from folio.sources.shared import numbered
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -102,6 +103,25 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(t, toc_entries=entries, blocks=blocks, metadata=meta)
 
 
+def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in the order of their ids as the pages of one book: three blank pages, a TOC, openings,
+    body pages whose paragraph is the whole text, figure pages, and TOC pages in between."""
+    t = numbered(load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "page_index", "doc_id", "text")
+    p, k = F.col("page_index"), F.col("doc_id")
+    page_type = F.when(p < 3, "blank").when((p < 12) | (k % 97 == 0), "toc").when(k % 10 == 0, "chapter_opening").when(k % 7 == 0, "figure_page").otherwise("body")
+    t = t.select(F.lit("corpus").alias("book_id"), "page_index", page_type.alias("page_type"), k.alias("doc_id"), "text", (k % 3 == 0).alias("on"))
+    kind = F.col("page_type")
+    own = F.concat(F.lit("Part "), (F.col("doc_id") % 5).cast("string"))
+    paragraph = block("text", role=F.lit("paragraph"), content=F.array(segment("text", F.col("text"))), continues_on_next_page=F.col("on"))
+    title = block("text", role=F.lit("chapter_title"), content=F.array(segment("text", own)))
+    heading = block("text", role=F.lit("heading"), heading_level=F.col("doc_id") % 4 + 1, content=F.array(segment("text", F.concat(F.lit("Heading "), F.col("doc_id").cast("string")))))
+    blocks = F.when(kind == "chapter_opening", F.array(title, paragraph)).when(kind == "body", F.array(heading, paragraph)).otherwise(F.array(paragraph))
+    entry = F.struct(own.alias("title"), F.lit(1).alias("level"), F.lit("chapter").alias("kind"), F.lit(None).cast("string").alias("printed_page_label"))
+    entries = F.when(kind == "toc", F.array(entry)).otherwise(F.array().cast("array<struct<title:string,level:int,kind:string,printed_page_label:string>>"))
+    meta = F.struct(F.when(F.col("page_index") == 2, F.lit("Corpus")).alias("title"), F.lit("").alias("subtitle"), F.when(F.col("page_index") == 3, F.array(F.lit("A. Author"))).alias("authors"), F.lit("en").alias("language"))
+    return _page(t, toc_entries=entries, blocks=blocks, metadata=meta)
+
+
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a document: a heading, paragraphs, an added reference and note, a figure, a separator.
 

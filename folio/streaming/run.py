@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 
+from folio.sources.shared import new_folder
 from folio.streaming.reducer import state_stream
 
 
-def shared_folder(spark) -> str:
-    """The folder that all executors share; a local one only for a single-JVM session without the setting."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="checkpoints-")
-
-
 def stream_states(pages: DataFrame) -> DataFrame:
     """pages as a file stream in one pass; the states come back as a table."""
     spark = pages.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     pages.select("book_id", "page_index", "page_type", "toc_entries").write.parquet(f"{base}/pages")
     stream = spark.readStream.schema(spark.read.parquet(f"{base}/pages").schema).parquet(f"{base}/pages")
     query = state_stream(stream).writeStream.format("parquet").option("path", f"{base}/states").option("checkpointLocation", f"{base}/progress").outputMode("append").trigger(availableNow=True).start()
