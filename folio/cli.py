@@ -21,14 +21,16 @@ def _session():
 def _process(args: argparse.Namespace) -> None:
     """Wire responses (book_id, page_index, response) to committed pages and the stop of each other book.
 
-    Goes on from the committed pages of each book. Ends with the exit code of the first stop; what was
+    Goes on from the stored state of each book; a book ends where its page count says so, and without one it goes on. Ends with the exit code of the first stop; what was
     accepted of each book is committed all the same."""
     from pyspark.sql import functions as F
 
+    from folio.operators import store
     from folio.plans import flows
     from folio.plans.log import Log
     from folio.plans.outputs import Output
     from folio.sources import wire
+    from folio.sources.shared import stored
 
     with runs.locked(args.run):
         runs.guard(args.run)
@@ -38,16 +40,16 @@ def _process(args: argparse.Namespace) -> None:
             book = Output(os.path.join(args.outputs, entry))
             if os.path.isdir(book.folder) and entry != "quarantine" and not book.valid(book.folder):
                 book.set_aside(book.folder)  # never in the way of new pages
-        done, heads = log.pages(), log.heads()
+        snapshots, heads = log.snapshots(), log.heads()
         responses = log.spark.read.parquet(args.responses)
         pages = wire.to_domain(wire.parsed(responses, "response"), "book_id", "page_index", rejected=True).drop("warnings")
         placed = pages.join(heads, "book_id", "left").withColumn("_head", F.coalesce("committed_page_count", F.lit(0))).drop("committed_page_count")
         new = flows.page_range(placed, processed=F.col("_head"), through_page=args.through_page, max_pages=args.max_pages).drop("_head")
-        before = done.withColumn("wire_error", F.lit(None).cast("string"))
-        accepted, stops = flows.ingest(before.unionByName(new), whole_books=args.through_page is None and args.max_pages is None)
+        new = stored(store.extending(new, heads), "new-pages")  # one parse of the responses
+        counts = log.spark.read.parquet(args.page_counts) if args.page_counts else log.spark.createDataFrame([], "book_id string, page_count int")
+        accepted, stops, after = flows.ingested(new, page_counts=counts, snapshots=snapshots)
         failure = log.fail(stops)
-        fresh = accepted.join(heads, "book_id", "left").filter(F.col("page_index") >= F.coalesce("committed_page_count", F.lit(0)))
-        log.append(fresh.drop("committed_page_count", "wire_error"))
+        log.append(accepted, after)
         if failure is not None:
             name, first = failure
             raise FolioError(first["code"], f"book {first['book_id']} stopped at page {first['page_index'] + 1}; all stops are in {name}")
@@ -77,6 +79,7 @@ def parser() -> argparse.ArgumentParser:
     process = commands.add_parser("process")
     process.add_argument("--run", required=True)
     process.add_argument("--responses", required=True)
+    process.add_argument("--page-counts", help="table of book_id, page_count: where books end")
     process.add_argument("--outputs", help="folder of bundles; invalid ones are set aside")
     some = process.add_mutually_exclusive_group()
     some.add_argument("--through-page", type=int)

@@ -36,6 +36,21 @@ def to_append(new: DataFrame, heads_now: DataFrame) -> DataFrame:
     return joined.withColumn("_ok", F.min((F.col("page_number") == expected).cast("int")).over(_pages().rowsBetween(Window.unboundedPreceding, 0))).filter("_ok = 1").drop("_ok", "_head", "committed_page_count")
 
 
+def extending(new: DataFrame, heads_now: DataFrame) -> DataFrame:
+    """As ``to_append`` for pages by ``page_index``, without one task a book: a page counts if it is its book's head or has the
+    page before it, and each book is kept up to its first page that does not, or that is given twice."""
+    heads = heads_now.select("book_id", F.col("committed_page_count").alias("_head"))
+    there = new.groupBy("book_id", "page_index").agg(F.count(F.lit(1)).alias("_times"))
+    before = there.select("book_id", (F.col("page_index") + 1).alias("page_index"), F.lit(True).alias("_follows"))
+    placed = there.join(before, ["book_id", "page_index"], "left").join(heads, "book_id", "left")
+    head = F.coalesce("_head", F.lit(0))
+    good = (F.col("_times") == 1) & ((F.col("page_index") == head) | (F.coalesce("_follows", F.lit(False)) & (F.col("page_index") > head)))
+    stops = placed.filter(~good & (F.col("page_index") >= head)).groupBy("book_id").agg(F.min("page_index").alias("_stop"))
+    kept = new.join(stops, "book_id", "left").join(heads, "book_id", "left")
+    ok = (F.col("page_index") >= head) & (F.col("_stop").isNull() | (F.col("page_index") < F.col("_stop")))
+    return kept.filter(ok).select(*new.columns)
+
+
 def quarantined(commits: DataFrame, heads_now: DataFrame) -> DataFrame:
     """Commits past the head."""
     return commits.join(heads_now, "book_id", "left").filter(F.col("page_number") > F.coalesce("committed_page_count", F.lit(0))).drop("committed_page_count")

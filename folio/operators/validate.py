@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.operators import scan
 from folio.operators.state import texts
 
 
@@ -32,7 +33,7 @@ def rules(same_page_footnotes: bool = True, figure_crops: bool = True, exact_tit
     committed = F.col("toc_status_before") == "committed"
     compared = chapter & committed  # exact titles go through Python, so only these do
     index = F.col("next_before")
-    expected = F.get(F.col("toc_before"), index)["title"]
+    expected = F.col("expected_title")
     levels = F.transform(F.filter(texts(blocks, "heading"), lambda b: b["heading_level"].isNotNull()), lambda b: b["heading_level"])
     open_tail = T.non_empty(F.col("tail_before"))
     is_on = lambda name: lambda b: F.coalesce(b[name], F.lit(False))
@@ -47,7 +48,7 @@ def rules(same_page_footnotes: bool = True, figure_crops: bool = True, exact_tit
         ("invalid-toc-hierarchy", toc & (F.exists(entries, lambda e: T.strip(e["title"]) == "") | _previous_jump(F.transform(entries, lambda e: e["level"])))),
         ("missing-chapter-title", chapter & (observed == "") & F.col("opening").isNull()),
         ("multiple-chapter-titles", chapter & (F.size(titles) > 1)),
-        ("unexpected-chapter", chapter & committed & (index >= F.size("toc_before"))),
+        ("unexpected-chapter", chapter & committed & (index >= F.col("n_toc_before"))),
         ("toc-chapter-mismatch", compared & (T.normalized_title(F.when(compared, observed), exact_titles) != T.normalized_title(F.when(compared, expected), exact_titles))),
         ("heading-level-jump", _previous_jump(levels)),
         ("unclosed-paragraph", chapter & open_tail),
@@ -67,43 +68,56 @@ def rules(same_page_footnotes: bool = True, figure_crops: bool = True, exact_tit
 
 
 def with_state_before(states: DataFrame) -> DataFrame:
-    """Adds what the rules read of the state before each page."""
-    section = F.lag("section").over(_order())
-    return states.withColumns({
-        "toc_before": F.coalesce(F.lag("toc").over(_order()), F.array().cast(states.schema["toc"].dataType)),
-        "next_before": F.coalesce(F.lag("next_expected_opening_index").over(_order()), F.lit(0)),
-        "tail_before": section["open_paragraph_tail"],
-    })
+    """Adds what the rules read of the state before each page, from windows (``state.with_state``) or a scan (``scan.with_state``)."""
+    if "before" in states.columns:
+        was = F.col("before")
+        return states.withColumns({"n_toc_before": was["n_toc"], "next_before": was["next_expected_opening_index"], "expected_title": F.get("expected_entries", F.lit(0))["title"], "tail_before": scan.open_tail(was)})
+    toc, following = F.lag("toc").over(_order()), F.coalesce(F.lag("next_expected_opening_index").over(_order()), F.lit(0))
+    step = states.withColumns({"_toc_before": toc, "next_before": following, "tail_before": F.lag("section").over(_order())["open_paragraph_tail"]})
+    return step.withColumns({"n_toc_before": F.coalesce(F.size("_toc_before"), F.lit(0)), "expected_title": F.get("_toc_before", F.col("next_before"))["title"]}).drop("_toc_before")
 
 
-def _with_failed(states: DataFrame, whole_books: bool, options: dict) -> DataFrame:
-    """Adds _failed, the (rule_rank, code) of each rule that fails on the page, in order."""
+def _ends(states: DataFrame, last: Column, rank: int) -> list[Column]:
+    """The rules of a book's last page."""
+    scanned = "before" in states.columns
+    n_toc, tail = (F.col("n_toc"), scan.open_tail(F.col("state"))) if scanned else (F.size("toc"), F.col("section.open_paragraph_tail"))
+    ends = (("toc-not-exhausted", (F.col("toc_status") == "committed") & (F.col("next_expected_opening_index") < n_toc)), ("unclosed-paragraph", T.non_empty(tail)))
+    return [F.when(last & F.coalesce(fails, F.lit(False)), F.struct(F.lit(rank + k).alias("rule_rank"), F.lit(code).alias("code"))) for k, (code, fails) in enumerate(ends)]
+
+
+def with_failed(states: DataFrame, whole_books: bool = False, page_counts: DataFrame | None = None, **options) -> DataFrame:
+    """Adds _failed, the (rule_rank, code) of each rule that fails on the page, in order.
+
+    The rules of a book's end hold on its last page: with ``page_counts`` (book_id, page_count) that is the
+    page with that number, and a book without a count has no end yet; with ``whole_books`` it is the last page there is."""
     table = rules(**options)
     failed = [F.when(F.coalesce(fails, F.lit(False)), F.struct(F.lit(rank).alias("rule_rank"), F.lit(code).alias("code"))) for rank, (code, fails) in enumerate(table)]
     if "wire_error" in states.columns:  # a page that was rejected when it was read comes before every rule
         failed.insert(0, F.when(F.col("wire_error").isNotNull(), F.struct(F.lit(-1).alias("rule_rank"), F.col("wire_error").alias("code"))))
     pages = with_state_before(states)
-    if whole_books:
-        ends = (
-            ("toc-not-exhausted", (F.col("toc_status") == "committed") & (F.col("next_expected_opening_index") < F.size("toc"))),
-            ("unclosed-paragraph", T.non_empty(F.col("section.open_paragraph_tail"))),
-        )
+    if page_counts is not None:
+        pages = pages.join(page_counts.select("book_id", F.col("page_count").alias("_count")), "book_id", "left")
+        failed += _ends(states, F.coalesce(F.col("page_index") + 1 == F.col("_count"), F.lit(False)), len(table))
+    elif whole_books:
         pages = pages.withColumn("_last", F.lead("page_index").over(_order()).isNull())
-        failed += [F.when(F.col("_last") & F.coalesce(fails, F.lit(False)), F.struct(F.lit(len(table) + k).alias("rule_rank"), F.lit(code).alias("code"))) for k, (code, fails) in enumerate(ends)]
+        failed += _ends(states, F.col("_last"), len(table))
     return pages.withColumn("_failed", F.array_compact(F.array(*failed)))
 
 
-def violations(states: DataFrame, *, whole_books: bool = False, **options) -> DataFrame:
-    """One row per page and failed rule: book_id, page_index, rule_rank, code.
-
-    With ``whole_books`` the last page of each book is also the last of its source."""
-    found = _with_failed(states, whole_books, options).select("book_id", "page_index", F.explode("_failed").alias("v"))
+def failures(checked: DataFrame) -> DataFrame:
+    """One row per page and failed rule of ``with_failed``: book_id, page_index, rule_rank, code."""
+    found = checked.select("book_id", "page_index", F.explode("_failed").alias("v"))
     return found.select("book_id", "page_index", "v.rule_rank", "v.code")
 
 
+def violations(states: DataFrame, *, whole_books: bool = False, page_counts: DataFrame | None = None, **options) -> DataFrame:
+    """One row per page and failed rule: book_id, page_index, rule_rank, code (see ``with_failed``)."""
+    return failures(with_failed(states, whole_books, page_counts, **options))
+
+
 def accepted(states: DataFrame, *, whole_books: bool = False, **options) -> DataFrame:
     """The pages before each book's first violation, with their states, inside the windows' partitioning."""
-    checked = _with_failed(states, whole_books, options)
+    checked = with_failed(states, whole_books, **options)
     stop = F.min(F.when(F.size("_failed") > 0, F.col("page_index"))).over(Window.partitionBy("book_id"))
     return checked.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("page_index") < F.col("_stop"))).select(*states.columns)
 

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from folio.functions import identity as I
 from folio.functions import text as T
-from folio.operators import markdown, publish, state, validate
+from folio.operators import markdown, publish, scan, state, validate
 from folio.plans.outputs import Output
+from folio.schemas import TOC_ENTRY
+from folio.sources.shared import stored
 
 #: An interpreter turns (book_id, page_index, content, context as JSON) into wire JSON, batch by batch.
 Interpreter = Callable[[pd.DataFrame], pd.Series]
@@ -36,19 +38,17 @@ def _noop(pages: pd.DataFrame) -> pd.Series:
     return pd.Series([blank] * len(pages), index=pages.index)
 
 
-def with_context(committed: DataFrame, raw: DataFrame) -> DataFrame:
-    """Of each book's raw pages (book_id, page_index, content) the one after its committed pages, with
-    ``context``: what is known from the pages before, as JSON. Books are read side by side, each book's
+def with_context(known: DataFrame, raw: DataFrame) -> DataFrame:
+    """Of each book's raw pages (book_id, page_index, content) the one after its snapshot (scan.SNAPSHOT), or after
+    its committed pages where those are given, with ``context``: what is known from the pages before, as JSON. Books are read side by side, each book's
     pages one after the other: interpret, ingest, commit, and ask again."""
-    heads = committed.groupBy("book_id").agg((F.max("page_index") + 1).alias("_head"))
-    due = raw.join(heads, "book_id", "left").filter(F.col("page_index") == F.coalesce("_head", F.lit(0))).drop("_head")
-    empty = {f.name: F.lit(None).cast(f.dataType) for f in committed.schema}
-    stub = empty | {"book_id": F.col("book_id"), "page_index": F.col("page_index"), "page_type": F.lit("other")}
-    stub |= {name: F.array().cast(committed.schema[name].dataType) for name in ("toc_entries", "blocks")}
-    asked = due.select(*[c.alias(name) for name, c in stub.items()])
-    known = state.page_context(state.with_state(committed.unionByName(asked)))
-    context = F.to_json(F.struct(*[c for c in known.columns if c not in ("book_id", "page_index")]), {"ignoreNullFields": "false"})
-    return due.join(known.select("book_id", "page_index", context.alias("context")), ["book_id", "page_index"])
+    snapshots = known if "state" in known.columns else scan.snapshot(known, scan.scan(known))
+    at = raw.join(snapshots.select("book_id", F.col("state").alias("before"), "toc"), "book_id", "left").withColumn("before", F.coalesce("before", scan.initial()))
+    due = at.filter(F.col("page_index") == F.col("before.processed_page_count"))
+    entries = F.slice(F.coalesce("toc", F.array().cast(f"array<{TOC_ENTRY}>")), F.col("before.next_expected_opening_index") + 1, F.lit(state.EXPECTED_ENTRIES))
+    seen = scan.page_context(due.withColumn("expected_entries", entries))
+    context = F.to_json(F.struct(*[c for c in seen.columns if c not in ("book_id", "page_index")]), {"ignoreNullFields": "false"})
+    return due.select(*raw.columns).join(seen.select("book_id", "page_index", context.alias("context")), ["book_id", "page_index"])
 
 
 def interpret(raw: DataFrame, name: str = "noop") -> DataFrame:
@@ -73,12 +73,22 @@ def page_range(pages: DataFrame, *, processed: int | Column = 0, through_page: i
     return kept if end is None else kept.filter(F.col("page_index") < end)
 
 
-def ingest(pages: DataFrame, *, whole_books: bool = True, **options) -> tuple[DataFrame, DataFrame]:
-    """Accepted pages, and the violation at which each other book stopped."""
-    named = state.with_block_ids(pages)
-    states = state.with_state(named)
-    kept = validate.accepted(states, whole_books=whole_books, **options).select(*named.columns)
-    return kept, validate.first_violation(validate.violations(states, whole_books=whole_books, **options))
+def ingest(pages: DataFrame, *, whole_books: bool = True, page_counts: DataFrame | None = None, snapshots: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Accepted pages, and the violation at which each other book stopped.
+
+    ``snapshots`` say where books stand before these pages, so earlier ones need not be given. States and verdicts
+    are computed once, by ranges of pages, and stored; a book's stop is a minimum over its pages."""
+    accepted, stops, _ = ingested(pages, whole_books=whole_books, page_counts=page_counts, snapshots=snapshots, **options)
+    return accepted.select(*pages.columns), stops
+
+
+def ingested(pages: DataFrame, *, whole_books: bool = True, page_counts: DataFrame | None = None, snapshots: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``ingest``, the accepted pages with before and state, and the snapshots after them."""
+    states = scan.with_state(state.with_block_ids(pages), snapshots)
+    checked = stored(validate.with_failed(states, whole_books, page_counts, **options), "checked")
+    found = stored(validate.failures(checked), "violations")
+    accepted = validate.accepted_prefix(checked.drop("_failed"), found)
+    return accepted, validate.first_violation(found), scan.snapshot(accepted, accepted, snapshots)
 
 
 #: Canonical JSON of the fixed profiles (fixed values), sorted as they stand in a document.
