@@ -10,7 +10,7 @@ and the state before each range carried into it. No task needs more than one ran
 one row a range of a book, at a time.
 
 A snapshot is the state after the last page that a book had; ``scan`` starts from it where there
-is one, and reads new pages only.
+is one, and reads new pages only. Pages need a book id: where it is null, the state is null.
 
 The TOC status follows from the summary in closed form: from ``not_seen`` it depends on whether a
 TOC page comes before any content, from ``collecting`` on the run that goes on at the start; once
@@ -156,7 +156,8 @@ def scan(pages: DataFrame, snapshots: DataFrame | None = None, span: int = SPAN)
         earlier = earlier.join(snapshots.select("book_id", F.col("state").alias("_stored")), "book_id", "left")
         start = F.coalesce("_stored", initial())
     carried = earlier.select("book_id", "_range", start.alias("_start"), "e").select("book_id", "_range", applied(F.col("_start"), F.col("e")).alias("carry"))
-    after = local.join(carried, ["book_id", "_range"]).select("book_id", "_range", "start", "carry", applied(F.col("carry"), F.col("s")).alias("state"))
+    # a left join, as an inner one would filter one side for nulls and so keep both from sharing an exchange
+    after = local.join(carried, ["book_id", "_range"], "left").select("book_id", "_range", "start", "carry", applied(F.col("carry"), F.col("s")).alias("state"))
     here = Window.partitionBy("book_id", "_range").orderBy("start")
     return after.select("book_id", F.col("start").alias("page_index"), F.coalesce(F.lag("state").over(here), F.col("carry")).alias("before"), "state")
 

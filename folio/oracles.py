@@ -42,7 +42,7 @@ f AS (
 
 # all documents as one book: the same fold over other rows, with headings of their own
 _CORPUS = """
-e0 AS (SELECT 'corpus' AS book_id, CAST(row_number() OVER (ORDER BY doc_id, coalesce(text, '')) - 1 AS INTEGER) AS page_index, doc_id AS event_id, right(coalesce(text, ''), 500) AS text, doc_id % 3 = 0 AS c_on, false AS c_prev FROM documents),
+e0 AS (SELECT 'corpus' AS book_id, CAST(row_number() OVER (ORDER BY doc_id, md5(coalesce(text, ''))) - 1 AS INTEGER) AS page_index, doc_id AS event_id, right(coalesce(text, ''), 500) AS text, doc_id % 3 = 0 AS c_on, false AS c_prev FROM documents),
 e AS MATERIALIZED (SELECT *, CASE WHEN page_index < 3 THEN 'blank' WHEN page_index < 12 OR event_id % 97 = 0 THEN 'toc' WHEN event_id % 10 = 0 THEN 'chapter_opening' WHEN event_id % 7 = 0 THEN 'figure_page' ELSE 'body' END AS page_type FROM e0)"""
 _CORPUS_FOLD = _FOLD.replace(_EVENTS, _CORPUS).replace("|| text || '/' || page_index", "|| 'Heading ' || event_id || '/' || page_index")
 

@@ -106,7 +106,7 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in the order of their ids as the pages of one book: three blank pages, a TOC, openings,
     body pages whose paragraph is the whole text, figure pages, and TOC pages in between."""
-    t = numbered(load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "page_index", "doc_id", "text")
+    t = numbered(load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "page_index", F.col("doc_id"), F.md5("text"))
     p, k = F.col("page_index"), F.col("doc_id")
     page_type = F.when(p < 3, "blank").when((p < 12) | (k % 97 == 0), "toc").when(k % 10 == 0, "chapter_opening").when(k % 7 == 0, "figure_page").otherwise("body")
     t = t.select(F.lit("corpus").alias("book_id"), "page_index", page_type.alias("page_type"), k.alias("doc_id"), "text", (k % 3 == 0).alias("on"))
