@@ -48,8 +48,8 @@ def initial() -> Column:
     ).cast(STATE)
 
 
-def page_summaries(pages: DataFrame) -> DataFrame:
-    """book_id, start (the page's index) and the summary of each single page."""
+def page_summaries(pages: DataFrame, *more: Column) -> DataFrame:
+    """book_id, start (the page's index) and the summary of each single page, and columns that are carried along."""
     p, kind = F.col("page_index"), F.col("page_type")
     toc, chapter = kind == "toc", kind == "chapter_opening"
     entries = F.when(toc, F.size("toc_entries")).otherwise(0)
@@ -64,7 +64,7 @@ def page_summaries(pages: DataFrame) -> DataFrame:
     return pages.select(
         "book_id", p.alias("start"), kind.alias("last_type"), p.alias("last"), F.when(toc, p).alias("ft"), F.when(kind.isin("chapter_opening", "body"), p).alias("fc"), F.when(~toc, p).alias("fn0"), F.lit(None).cast("int").alias("fn"),
         entries.alias("entries0"), entries.alias("entries1"), chapter.cast("int").alias("openings"), F.when(chapter, opened).cast(_OPENED).alias("section"), F.size(headings).alias("n_headings"), _latest(headings).alias("recent"),
-        F.when(~toc & last.isNotNull(), tail).cast(_TAIL).alias("tail"), some("title").alias("title"), some("subtitle").alias("subtitle"), F.when(F.size("metadata.authors") > 0, F.col("metadata.authors")).alias("authors"), some("language").alias("language"),
+        F.when(~toc & last.isNotNull(), tail).cast(_TAIL).alias("tail"), some("title").alias("title"), some("subtitle").alias("subtitle"), F.when(F.size("metadata.authors") > 0, F.col("metadata.authors")).alias("authors"), some("language").alias("language"), *more,
     )
 
 

@@ -342,3 +342,4 @@ ORACLES: dict[str, str] = {
     "noop_interpreter": f"WITH {_EVENTS} SELECT book_id, count(*) AS n_pages, count(*) AS n_blank, 0 AS n_blocks FROM e GROUP BY book_id",
 }
 ORACLES["snapshot_context"] = f"SELECT * FROM ({ORACLES['page_context']}) WHERE page_index >= 3 + CAST(book_id AS BIGINT) % 9"
+ORACLES["state_stream_parts"] = _state_fields(_FOLD, *_EVENT_META).replace("book_title, authors\n", "book_title, authors, CASE WHEN status = 'committed' THEN coalesce(array_to_string(toc[opened + 1:opened + 3], '|'), '') ELSE '' END AS expected, true AS accepted\n")

@@ -584,6 +584,20 @@ def state_streaming(spark, d):
     return stream_states(C.event_pages(spark, d))
 
 
+@query
+def state_stream_parts(spark, d):
+    """The whole state as a stream: three parts of every book, the stream restarted from its checkpoint between them."""
+    from folio.streaming.run import stream_in_parts
+
+    pages = stored(C.event_pages(spark, d), "events")
+    cut, p = 3 + F.col("book_id").cast("long") % 9, F.col("page_index")
+    states = stream_in_parts([pages.filter(p < cut), pages.filter((p >= cut) & (p < 2 * cut)), pages.filter(p >= 2 * cut)])
+    return states.select(
+        "book_id", "page_index", "toc_status", "n_toc", "next_expected_opening_index", "section_title", "toc_index", "started_on_page", "n_headings", "recent_headings", "open_paragraph_tail", "last_page_type", "processed_page_count",
+        "book_title", "authors", "expected", "accepted",
+    )
+
+
 @query
 def noop_interpreter(spark, d):
     raw = C.event_rows(spark, d).select("book_id", "page_index", F.encode("text", "UTF-8").alias("content"))
