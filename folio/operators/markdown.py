@@ -47,6 +47,23 @@ def render(blocks: DataFrame, metadata: DataFrame | None = None, normalize=T.nfc
     return books.select("book_id", F.concat(T.rstrip(whole), F.lit("\n")).alias("markdown"))
 
 
+def chunks(blocks: DataFrame, metadata: DataFrame | None = None, path: str = "book.md") -> DataFrame:
+    """The same text as ``render`` in ordered chunks (see ``ordered``; to be trimmed): a row a block, and the title's lines before."""
+    as_is = lambda c: c  # noqa: E731  chunks are normalised where they are joined
+    at = F.col("publication_block_index").cast("long")
+    line = F.concat(F.when(at == 0, "").otherwise("\n"), block_lines(as_is), F.when(F.col("kind") == "footnote", "").otherwise("\n"))
+    out = blocks.select("book_id", F.lit(path).alias("path"), at.alias("seq"), line.alias("text"))
+    if metadata is None:
+        return out
+    part = lambda ok, line: F.when(ok, F.concat(line, F.lit("\n\n"))).otherwise("")
+    head = F.concat(
+        part(T.non_empty(F.col("title")), F.concat(F.lit("# "), F.col("title"))),
+        part(T.non_empty(F.col("subtitle")), F.concat(F.lit("## "), F.col("subtitle"))),
+        part(F.coalesce(F.size("authors") > 0, F.lit(False)), F.array_join("authors", ", ")),
+    )
+    return out.unionByName(metadata.select("book_id", F.lit(path).alias("path"), F.lit(-1).cast("long").alias("seq"), head.alias("text")))
+
+
 def with_page_marker(rendered: DataFrame, pages: DataFrame) -> DataFrame:
     """Puts a comment that names the book's first page before the text."""
     first = pages.groupBy("book_id").agg((F.min("page_index") + 1).alias("page"))

@@ -343,3 +343,8 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["snapshot_context"] = f"SELECT * FROM ({ORACLES['page_context']}) WHERE page_index >= 3 + CAST(book_id AS BIGINT) % 9"
 ORACLES["state_stream_parts"] = _state_fields(_FOLD, *_EVENT_META).replace("book_title, authors\n", "book_title, authors, CASE WHEN status = 'committed' THEN coalesce(array_to_string(toc[opened + 1:opened + 3], '|'), '') ELSE '' END AS expected, true AS accepted\n")
+ORACLES["markdown_digest"] = f"SELECT book_id, sha256(markdown) AS sha256, octet_length(encode(markdown)) AS size_bytes FROM ({ORACLES['markdown_render']})"
+ORACLES["book_trees"] = f"""WITH md AS (SELECT book_id, regexp_replace(markdown, '^<!-- source-page: [0-9]+ -->\n', '') AS text FROM ({ORACLES['markdown_conversations']})),
+    n AS (SELECT book_id, count(*) AS n FROM ({ORACLES['scan_blocks']}) GROUP BY book_id), h AS (SELECT CAST(conv_id AS VARCHAR) AS book_id, max(turn) + 1 AS head FROM conversations GROUP BY conv_id)
+    SELECT book_id, 'book.md' AS path, sha256(text) AS sha256, octet_length(encode(text)) AS size_bytes, true AS listed, CAST(n AS INTEGER) AS n_source_blocks, CAST(head AS INTEGER) AS committed_page_count
+    FROM md JOIN n USING (book_id) JOIN h USING (book_id)"""

@@ -6,17 +6,20 @@ import hashlib
 import json
 import os
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import identity as I
+from folio.functions import paths as P
 from folio.functions import text as T
-from folio.operators import markdown, publish, scan, state, validate
+from folio.operators import markdown, ordered, publish, scan, state, validate
 from folio.plans.outputs import Output
 from folio.schemas import TOC_ENTRY
 from folio.sources.shared import stored
+from folio.sources.trees import write_files
 
 #: An interpreter turns (book_id, page_index, content, context as JSON) into wire JSON, batch by batch.
 Interpreter = Callable[[pd.DataFrame], pd.Series]
@@ -91,6 +94,8 @@ def ingested(pages: DataFrame, *, whole_books: bool = True, page_counts: DataFra
     return accepted, validate.first_violation(found), scan.snapshot(accepted, accepted, snapshots)
 
 
+_END = 1 << 40  # behind the numbers of all blocks
+
 #: Canonical JSON of the fixed profiles (fixed values), sorted as they stand in a document.
 _EPUB = '{"from_format":"markdown+footnotes","include_toc":%s,"profile_format_version":1,"split_level":1,"to_format":"epub3"}'
 _MARKDOWN = '{"footnote_style":"document-end","heading_style":"atx","profile_format_version":1}'
@@ -102,8 +107,9 @@ def _quoted(value: Column) -> Column:
     return F.when(value.isNull(), "null").otherwise(F.substring(text, F.lit(2), F.length(text) - 2))
 
 
-def canonical_documents(blocks: DataFrame, metadata: DataFrame, include_toc: bool = True) -> DataFrame:
-    """Per book the canonical JSON of its publication; every block kind writes its own fields."""
+def canonical_chunks(blocks: DataFrame, metadata: DataFrame, include_toc: bool = True) -> DataFrame:
+    """The canonical JSON of each book's publication in ordered chunks (see ``ordered``): a row a block, and one before and
+    after; every block kind writes its own fields."""
     content = F.concat(
         F.lit("["),
         F.array_join(
@@ -122,23 +128,23 @@ def canonical_documents(blocks: DataFrame, metadata: DataFrame, include_toc: boo
         .when(F.col("kind") == "figure", F.concat(F.lit('{"asset_sha256":'), _quoted(F.col("asset_sha256")), F.lit(',"caption":'), _quoted(F.col("caption")), F.lit(',"kind":"figure"}')))
         .otherwise('{"kind":"separator","separator_kind":"horizontal_rule"}')
     )
-    lines = blocks.select("book_id", "publication_block_index", block.alias("block"))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("publication_block_index", "block"))), lambda x: x["block"]), ",")
-    books = metadata.join(lines.groupBy("book_id").agg(body.alias("body")), "book_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
+    at = F.col("publication_block_index").cast("long")
+    lines = blocks.select("book_id", at.alias("seq"), F.concat(F.when(at == 0, "").otherwise(","), I.lower_escapes(block)).alias("text"))
     meta = F.concat(
         F.lit('{"authors":'), F.coalesce(F.to_json("authors"), F.lit("[]")), F.lit(',"language":'), _quoted(F.col("language")),
         F.lit(',"subtitle":'), _quoted(F.col("subtitle")), F.lit(',"title":'), _quoted(F.col("title")), F.lit("}"),
     )
     profiles = f'],"epub_semantic_profile":{_EPUB % str(include_toc).lower()},"identity_format_version":1,"markdown_semantic_profile":{_MARKDOWN},"metadata":'
-    return books.select("book_id", I.lower_escapes(F.concat(F.lit('{"blocks":['), F.col("body"), F.lit(profiles), meta, F.lit("}"))).alias("json"))
+    first = metadata.select("book_id", F.lit(-1).cast("long").alias("seq"), F.lit('{"blocks":[').alias("text"))
+    last = metadata.select("book_id", F.lit(_END).alias("seq"), I.lower_escapes(F.concat(F.lit(profiles), meta, F.lit("}"))).alias("text"))
+    return first.unionByName(lines).unionByName(last).withColumn("path", F.lit("publication.json"))
 
 
-def fingerprints(blocks: DataFrame, metadata: DataFrame, normalize: Callable[[Column], Column] = T.nfc, include_toc: bool = True, prefix: str = "document:") -> DataFrame:
+def fingerprints(blocks: DataFrame, metadata: DataFrame, include_toc: bool = True, prefix: str = "document:") -> DataFrame:
     """Per book: SHA-256 of the normalised canonical JSON, and a name-based URN over ``prefix`` and that hash.
 
-    The whole JSON is normalised at once: its syntax characters never compose with a string's."""
-    documents = canonical_documents(blocks, metadata, include_toc)
-    sha = documents.select("book_id", F.sha2(normalize(F.col("json")), 256).alias("fingerprint"))
+    The JSON is hashed chunk by chunk and never stands in one row."""
+    sha = ordered.digests(canonical_chunks(blocks, metadata, include_toc)).select("book_id", F.col("sha256").alias("fingerprint"))
     return sha.withColumn("identifier", I.urn(I.uuid5(F.concat(F.lit(prefix), F.col("fingerprint")))))
 
 
@@ -147,7 +153,48 @@ def publish_books(pages: DataFrame, normalize: Callable[[Column], Column] = T.nf
     errors = publish.publication_errors(pages)
     good = pages.join(errors.select("book_id"), "book_id", "left_anti")
     blocks, metadata = publish.publication_blocks(good), publish.publication_metadata(good)
-    return markdown.render(blocks, metadata, normalize).join(fingerprints(blocks, metadata, normalize), "book_id"), errors
+    return markdown.render(blocks, metadata, normalize).join(fingerprints(blocks, metadata), "book_id"), errors
+
+
+def manifest_chunks(trees: DataFrame, files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each tree's manifest in ordered chunks: files by path, the source map by block.
+
+    trees: book_id, tree, fingerprint, identifier, head; files: LISTED rows of what was written; blocks: publication blocks."""
+    quoted = lambda c: _quoted(F.col(c))
+    inside = files.join(trees.select("book_id", "tree"), "book_id").withColumn("path", F.expr("substring(path, length(tree) + 2)"))
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy("path"))
+    listed = inside.withColumn("_n", place.cast("long"))
+    entry = F.concat(F.when(F.col("_n") == 1, "").otherwise(","), F.lit('{"path":'), quoted("path"), F.lit(',"sha256":'), quoted("sha256"), F.lit(',"size_bytes":'), F.col("size_bytes").cast("string"), F.lit("}"))
+    at = F.col("publication_block_index").cast("long")
+    source = F.concat(
+        F.when(at == 0, "").otherwise(","), F.lit('{"publication_block_index":'), at.cast("string"), F.lit(',"source_block_ids":'), F.to_json("source_block_ids"), F.lit(',"source_pages":'), F.to_json("source_pages"), F.lit("}")
+    )
+    opening = F.concat(F.lit('{"command":"markdown","committed_page_count":'), F.col("head").cast("string"), F.lit(',"files":['))
+    middle = F.concat(F.lit('],"output_manifest_format_version":2,"publication_fingerprint":'), quoted("fingerprint"), F.lit(',"publication_identifier":'), quoted("identifier"), F.lit(',"source_map":['))
+    row = lambda df, seq, text: df.select("book_id", seq.cast("long").alias("seq"), text.alias("text"))
+    parts = [row(trees, F.lit(0), opening), row(listed, F.col("_n"), entry), row(trees, F.lit(_END - 1), middle), row(blocks, F.lit(_END) + at, source), row(trees, F.lit(2 * _END), F.lit("]}\n"))]
+    return reduce(DataFrame.unionByName, parts).join(trees.select("book_id", F.concat("tree", F.lit("/manifest.json")).alias("path")), "book_id")
+
+
+def publish_trees(pages: DataFrame, root: str, assets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Bundles of all books without errors, written by tasks below root/book_id/tree: book.md, assets and the manifest.
+
+    assets: book_id, sha256, content of figures. Back come the trees (book_id, tree, fingerprint, identifier, head) and the
+    errors of the other books. Blocks are computed once and stored; no row holds more than a block."""
+    errors = stored(publish.publication_errors(pages), "publication-errors")
+    good = pages.join(errors.select("book_id"), "book_id", "left_anti")
+    blocks, metadata = stored(publish.publication_blocks(good), "publication"), stored(publish.publication_metadata(good), "metadata")
+    heads = good.groupBy("book_id").agg((F.max("page_index") + 1).alias("head"))
+    trees = stored(fingerprints(blocks, metadata).join(heads, "book_id").withColumn("tree", F.substring("fingerprint", 1, 16)), "trees")
+    text = markdown.chunks(blocks, metadata).withColumn("data", F.lit(None).cast("binary"))
+    if assets is not None:
+        used = blocks.filter("kind = 'figure'").select("book_id", F.col("asset_sha256").alias("sha256")).distinct()
+        pictures = assets.dropDuplicates(["book_id", "sha256"]).join(used, ["book_id", "sha256"])
+        text = text.unionByName(pictures.select("book_id", P.asset_path(F.col("sha256")).alias("path"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("text"), F.col("content").alias("data")))
+    placed = text.join(trees.select("book_id", "tree"), "book_id").withColumn("path", F.concat_ws("/", "tree", "path")).drop("tree")
+    written = write_files(placed, root, trim=True)
+    write_files(manifest_chunks(trees, written, blocks), root)
+    return trees, errors
 
 
 def write_bundle(folder: str, markdown_text: str, assets: dict[str, bytes], manifest: dict, head: int | None = None) -> None:

@@ -12,13 +12,13 @@ from folio.functions import identity as I
 from folio.functions import paths as P
 from folio.functions import prompt as R
 from folio.functions import text as T
-from folio.operators import inference, markdown, publish, scan, state, store, validate
+from folio.operators import inference, markdown, ordered, publish, scan, state, store, validate
 from folio.oracles import ORACLES
 from folio.plans import flows
 from folio.sources import carriers as C
 from folio.sources import made as M
-from folio.sources import wire
-from folio.sources.shared import stored
+from folio.sources import trees, wire
+from folio.sources.shared import new_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -286,6 +286,28 @@ def markdown_conversations(spark, d):
     return markdown.with_page_marker(markdown.render(publish.publication_blocks(pages)), pages)
 
 
+@query
+def markdown_digest(spark, d):
+    """Hash and size of each book's text, joined chunk by chunk; no row holds a book."""
+    pages = state.with_block_ids(C.document_pages(spark, d))
+    text = markdown.chunks(publish.publication_blocks(pages), publish.publication_metadata(pages))
+    return ordered.digests(text, trim=True).select("book_id", "sha256", "size_bytes")
+
+
+@query
+def book_trees(spark, d):
+    """Bundles that tasks write, read back: the files that are there, held against their manifests."""
+    root = new_folder(spark, "trees")
+    flows.publish_trees(state.with_block_ids(C.conversation_pages(spark, d)), root)
+    manifests = trees.manifests(spark, root).select("book_id", "tree", "manifest.*")
+    listed = manifests.select("book_id", "tree", F.col("committed_page_count"), F.size("source_map").alias("n_source_blocks"), F.explode("files").alias("f"))
+    declared = listed.select("book_id", F.concat_ws("/", "tree", "f.path").alias("path"), "f.path", F.col("f.sha256").alias("declared"), F.col("f.size_bytes").alias("size"), "n_source_blocks", "committed_page_count").toDF("book_id", "whole", "path", "declared", "size", "n_source_blocks", "committed_page_count")
+    there = trees.found(spark, root).filter(~F.col("path").endswith("/manifest.json")).withColumnRenamed("path", "whole")
+    both = there.join(declared, ["book_id", "whole"], "full")
+    same = F.coalesce((F.col("sha256") == F.col("declared")) & (F.col("size_bytes") == F.col("size")), F.lit(False))
+    return both.select("book_id", "path", "sha256", "size_bytes", same.alias("listed"), "n_source_blocks", "committed_page_count")
+
+
 @query
 def canonical_json(spark, d):
     o = C.load(spark, d, "orders")
