@@ -348,3 +348,8 @@ ORACLES["book_trees"] = f"""WITH md AS (SELECT book_id, regexp_replace(markdown,
     n AS (SELECT book_id, count(*) AS n FROM ({ORACLES['scan_blocks']}) GROUP BY book_id), h AS (SELECT CAST(conv_id AS VARCHAR) AS book_id, max(turn) + 1 AS head FROM conversations GROUP BY conv_id)
     SELECT book_id, 'book.md' AS path, sha256(text) AS sha256, octet_length(encode(text)) AS size_bytes, true AS listed, CAST(n AS INTEGER) AS n_source_blocks, CAST(head AS INTEGER) AS committed_page_count
     FROM md JOIN n USING (book_id) JOIN h USING (book_id)"""
+ORACLES["figure_crops"] = f"""{_pixels(64, 48)}, c AS (SELECT vec_id, CAST(trunc(x0) AS INTEGER) AS x0, CAST(trunc(y0) AS INTEGER) AS y0, CAST(trunc(x1) AS INTEGER) AS x1, CAST(trunc(y1) AS INTEGER) AS y1 FROM p),
+    px AS (SELECT vec_id, x, unnest(range(y0, y1)) AS y FROM (SELECT *, unnest(range(x0, x1)) AS x FROM c)),
+    t AS (SELECT vec_id, sum((y * 7 + x * 13 + vec_id) % 256 + (y * 7 + x * 13 + 29 + vec_id) % 256 + (y * 7 + x * 13 + 58 + vec_id) % 256) AS total FROM px GROUP BY vec_id)
+    SELECT CAST(vec_id AS VARCHAR) AS book_id, CASE WHEN total IS NOT NULL THEN x1 - x0 END AS width, CASE WHEN total IS NOT NULL THEN y1 - y0 END AS height, CAST(total AS BIGINT) AS pixel_sum,
+           CASE WHEN total IS NULL THEN 'degenerate-crop' END AS problem, true AS named FROM c LEFT JOIN t USING (vec_id)"""

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import geometry as G
 from folio.functions import identity as I
 from folio.functions import paths as P
+from folio.functions import png
 from folio.functions import prompt as R
 from folio.functions import text as T
-from folio.operators import inference, markdown, ordered, publish, scan, state, store, validate
+from folio.operators import figures, inference, markdown, ordered, publish, scan, state, store, validate
 from folio.oracles import ORACLES
 from folio.plans import flows
 from folio.sources import carriers as C
@@ -408,6 +410,23 @@ def crop_clamp(spark, d):
     return C.boxes(spark, d).select("vec_id", rect.isNull().alias("degenerate"), *[rect[k].alias(k) for k in ("x0", "y0", "x1", "y1")])
 
 
+@query
+def figure_crops(spark, d):
+    """Figures cut from page rasters, attached to their blocks, and decoded again."""
+    pages, rasters = C.raster_pages(spark, d)
+    cut = stored(figures.crops(pages, rasters), "crops")
+    named = figures.attached(pages, cut).select("book_id", F.col("blocks")[0]["asset_sha256"].alias("named"))
+
+    def measured(batches):
+        for batch in batches:
+            sums = [None if c is None else png.decode(c) for c in batch.column(2).to_pylist()]
+            sizes = [(None, None, None) if x is None else (x.shape[1], x.shape[0], int(x.sum())) for x in sums]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, k) for v, k in zip(zip(*sizes, strict=True), (pa.int32(), pa.int32(), pa.int64()), strict=True)], batch.column(3)], names=["book_id", "sha256", "width", "height", "pixel_sum", "problem"])
+
+    shown = cut.select("book_id", "sha256", "content", "problem").mapInArrow(measured, "book_id string, sha256 string, width int, height int, pixel_sum long, problem string")
+    return shown.join(named, "book_id").select("book_id", "width", "height", "pixel_sum", "problem", F.col("named").eqNullSafe(F.col("sha256")).alias("named"))
+
+
 @query
 def map_overlay(spark, d):
     e = C.event_rows(spark, d).select("event_id", "page_type", "text")

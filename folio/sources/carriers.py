@@ -6,9 +6,15 @@ documents: a source is a book, a document a page. Row numbers need one exchange
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.functions import geometry as G
+from folio.functions import png
 from folio.schemas import BLOCK, METADATA, OPENING, TOC_ENTRY
 from folio.sources.shared import numbered
 
@@ -158,6 +164,22 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select("vec_id", "label", box.alias("bbox"))
 
 
+def raster_pages(spark: SparkSession, sf_dir: str, width: int = 64, height: int = 48) -> tuple[DataFrame, DataFrame]:
+    """A page for each vector, with a figure in its box, and the page's raster: pixels that the vector's id gives, rows under every filter."""
+    b = boxes(spark, sf_dir)
+    figure = block("figure", caption=F.lit("Figure"), bbox=G.normalized(F.col("bbox")))
+    t = b.select(F.col("vec_id").cast("string").alias("book_id"), F.lit(0).alias("page_index"), F.lit("figure_page").alias("page_type"), "bbox")
+    pages = _page(t, toc_entries=F.array().cast(_NO_ENTRIES), blocks=F.array(figure))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.arange(height)[:, None, None] * 7 + np.arange(width)[None, :, None] * 13 + np.arange(3)[None, None, :] * 29
+        for batch in batches:
+            images = [png.encode(((places + v) % 256).astype(np.uint8), (0, 1, 2, 3, 4)) for v in batch.column(0).to_pylist()]
+            yield pa.record_batch({"book_id": batch.column(0).cast(pa.string()), "page_index": pa.array([0] * len(images), pa.int32()), "image": pa.array(images, pa.binary())})
+
+    return pages, b.select("vec_id").mapInArrow(draw, "book_id string, page_index int, image binary")
+
+
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_id (page), pos, kind, role, text: h1, article paragraphs, nav items and the footer of a web page."""
     t = load(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("book_id"), F.coalesce("html", F.lit("")).alias("html"))
