@@ -353,3 +353,5 @@ ORACLES["figure_crops"] = f"""{_pixels(64, 48)}, c AS (SELECT vec_id, CAST(trunc
     t AS (SELECT vec_id, sum((y * 7 + x * 13 + vec_id) % 256 + (y * 7 + x * 13 + 29 + vec_id) % 256 + (y * 7 + x * 13 + 58 + vec_id) % 256) AS total FROM px GROUP BY vec_id)
     SELECT CAST(vec_id AS VARCHAR) AS book_id, CASE WHEN total IS NOT NULL THEN x1 - x0 END AS width, CASE WHEN total IS NOT NULL THEN y1 - y0 END AS height, CAST(total AS BIGINT) AS pixel_sum,
            CASE WHEN total IS NULL THEN 'degenerate-crop' END AS problem, true AS named FROM c LEFT JOIN t USING (vec_id)"""
+ORACLES["interpret_in_order"] = f"""{_FOLD} SELECT book_id, page_index, page_type, concat_ws('/', coalesce(lag(status) OVER w, 'not_seen'), coalesce(title_b, 'None'), coalesce(tail_b, 'None'), coalesce(prev_type, 'None'), CASE WHEN title_b IS NULL THEN 0 ELSE least(12, n_head_b) END) AS label
+    FROM f WINDOW w AS (PARTITION BY book_id ORDER BY page_index)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -639,6 +640,32 @@ def state_stream_parts(spark, d):
     )
 
 
+@flows.register("labelling")
+def _labelling(pages):
+    """Gives each page back as it is, with what its context tells as its label."""
+
+    def one(content, context):
+        page, known = json.loads(content), json.loads(context)
+        page["printed_page_label"] = "/".join(str(known[k]) for k in ("toc_status", "current_section_title", "open_paragraph_tail", "previous_page_type")) + f"/{len(known['current_section_headings'] or [])}"
+        return json.dumps(page)
+
+    return pages.apply(lambda r: one(r["content"], r["context"]), axis=1)
+
+
+@query
+def interpret_in_order(spark, d):
+    """Every page is interpreted knowing the pages before it, in one pass."""
+    from folio.plans import reading
+
+    pages = C.event_pages(spark, d)
+    kept = ("kind", "role", "content", "heading_level", "continues_previous", "continues_on_next_page")
+    wired = F.transform("blocks", lambda b: F.struct(*[b[k].alias("segments" if k == "content" else k) for k in kept]))
+    content = F.to_json(F.struct("page_type", F.col("toc_entries"), wired.alias("blocks")))
+    read = reading.interpreted(pages.select("book_id", "page_index", content.alias("content")), "labelling")
+    domain = wire.to_domain(wire.parsed(read, "response"), "book_id", "page_index")
+    return domain.select("book_id", "page_index", "page_type", F.col("printed_page_label").alias("label"))
+
+
 @query
 def noop_interpreter(spark, d):
     raw = C.event_rows(spark, d).select("book_id", "page_index", F.encode("text", "UTF-8").alias("content"))

@@ -68,7 +68,7 @@ FULL = (
     "book_id string, page_index int, accepted boolean, awaited int, toc_status string, n_toc int, next_expected_opening_index int, section_kind string, section_title string, toc_index int, started_on_page int, "
     "n_headings int, recent_headings string, open_paragraph_tail string, last_page_type string, processed_page_count int, book_title string, subtitle string, authors string, language string, expected string"
 )
-_START: dict[str, Any] = dict.fromkeys(part.split()[0] for part in _VALUE.split(", ")) | {"pages": 0, "status": "not_seen", "entries": 0, "opened": 0, "n_headings": 0}
+START: dict[str, Any] = dict.fromkeys(part.split()[0] for part in _VALUE.split(", ")) | {"pages": 0, "status": "not_seen", "entries": 0, "opened": 0, "n_headings": 0}
 
 
 def reduced_pages(pages: DataFrame, arrival: Column | None = None) -> DataFrame:
@@ -118,7 +118,7 @@ class PageReducer(StatefulProcessor):
         self._toc = handle.getListState("toc", _ENTRY)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        now = dict(zip(_START, self._value.get(), strict=True)) if self._value.exists() else dict(_START)
+        now = dict(zip(START, self._value.get(), strict=True)) if self._value.exists() else dict(START)
         headings = [tuple(h) for h in self._headings.get()] if self._headings.exists() else []
         toc = [h[0] for h in self._toc.get()] if self._toc.exists() else []
         pages = pd.concat(list(rows)).sort_values("arrival", kind="stable")
