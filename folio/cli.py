@@ -15,7 +15,7 @@ from folio.sources.files import Options, load_toml
 def _session():
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.appName("folio").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return SparkSession.builder.appName("folio").config("spark.sql.session.timeZone", "UTC").config("spark.sql.variant.allowDuplicateKeys", "true").getOrCreate()
 
 
 def _process(args: argparse.Namespace) -> None:

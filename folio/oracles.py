@@ -355,3 +355,8 @@ ORACLES["figure_crops"] = f"""{_pixels(64, 48)}, c AS (SELECT vec_id, CAST(trunc
            CASE WHEN total IS NULL THEN 'degenerate-crop' END AS problem, true AS named FROM c LEFT JOIN t USING (vec_id)"""
 ORACLES["interpret_in_order"] = f"""{_FOLD} SELECT book_id, page_index, page_type, concat_ws('/', coalesce(lag(status) OVER w, 'not_seen'), coalesce(title_b, 'None'), coalesce(tail_b, 'None'), coalesce(prev_type, 'None'), CASE WHEN title_b IS NULL THEN 0 ELSE least(12, n_head_b) END) AS label
     FROM f WINDOW w AS (PARTITION BY book_id ORDER BY page_index)"""
+ORACLES["wire_coercion"] = """WITH t AS (SELECT event_id, event_id % 17 AS form, CAST(event_id % 9 AS INTEGER) AS n FROM events),
+    j AS (SELECT *, CASE WHEN form IN (0, 1, 3) THEN n BETWEEN 1 AND 6 WHEN form IN (6, 7, 12) THEN n IN (0, 1) ELSE form IN (4, 5, 8, 9, 11, 15) END AS ok FROM t)
+    SELECT event_id, CASE WHEN NOT ok THEN 'invalid-structured-response' END AS wire_error, CASE WHEN ok AND form IN (0, 1, 3) THEN n WHEN form = 4 THEN 1 END AS heading_level,
+           CASE WHEN ok AND form IN (6, 7) THEN n = 1 WHEN form = 8 THEN true WHEN form = 9 THEN false END AS bold, CASE WHEN ok AND form = 12 THEN n = 1 END AS continues_previous,
+           CASE WHEN form = 15 THEN n END AS box_left, CASE WHEN form = 15 THEN n END AS box_top, CASE WHEN form = 15 THEN 1 END AS box_right FROM j"""

@@ -65,6 +65,22 @@ def closed_schema_reject(spark, d):
     return wire.parsed(e.select("event_id", json.alias("json")), "json").select("event_id", "wire_error", F.col("wire.page_type").alias("page_type"))
 
 
+@query
+def wire_coercion(spark, d):
+    """Numbers and flags in every form that reads as one, and in some that do not, beside a block that has them plain."""
+    n = (F.col("event_id") % 9).cast("string")
+    form = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    forms = F.array(
+        form('"heading_level":"', n, '"'), form('"heading_level":', n, ".0"), form('"heading_level":', n, ".5"), form('"heading_level":" ', n, '.0 "'), F.lit('"heading_level":true'), F.lit('"heading_level":null'), form('"bold":', n), form('"bold":"', n, '"'),
+        F.lit('"bold":"Yes"'), F.lit('"bold":"off"'), F.lit('"bold":"maybe"'), F.lit('"bold":null'), form('"continues_previous":', n, ".0"), F.lit('"continues_previous":null'), F.lit('"segments":null'), form('"bbox":{"left":"', n, '","top":', n, '.0,"right":true,"bottom":1000}'),
+        form('"bbox":{"left":', n, ',"top":1,"right":"1e1","bottom":1000}'),
+    )
+    plain = '{"page_type":"body","blocks":[{"kind":"text","role":"heading","heading_level":3,"bold":false,"continues_previous":false,"segments":[{"kind":"text","value":"x"}]},{"kind":"text","role":"heading",'
+    e = C.event_rows(spark, d).select("event_id", form(plain, F.get(forms, (F.col("event_id") % 17).cast("int")), "}]}").alias("json"))
+    b = F.col("wire.blocks")[1]
+    return wire.parsed(e, "json").select("event_id", "wire_error", b["heading_level"].alias("heading_level"), b["bold"].alias("bold"), b["continues_previous"].alias("continues_previous"), b["bbox"]["left"].alias("box_left"), b["bbox"]["top"].alias("box_top"), b["bbox"]["right"].alias("box_right"))
+
+
 @query
 def inline_text_three_ways(spark, d):
     b = state.blocks_of(C.document_pages(spark, d)).filter("kind = 'text'")

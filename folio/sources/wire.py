@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.geometry import normalized
-from folio.schemas import ALIGNMENTS, BLOCK, BLOCK_KINDS, INLINE_KINDS, METADATA, OPENING, PAGE_TYPES, RELATIVE_SIZES, STRUCTURE_KINDS, STYLE, TEXT_ROLES, TOC_ENTRY, WIRE_BLOCK, WIRE_PAGE
+from folio.schemas import ALIGNMENTS, BLOCK, BLOCK_KINDS, INLINE_KINDS, METADATA, OPENING, PAGE_TYPES, RELATIVE_SIZES, SEGMENT, STRUCTURE_KINDS, STYLE, TEXT_ROLES, TOC_ENTRY, WIRE_BLOCK, WIRE_PAGE
 
-# The keys that each object may have, with the types its values may have.
-_TEXT, _NUMBER, _FLAG, _NONE = "STRING", "BIGINT", "BOOLEAN", "VOID"
+# The keys that each object may have, with the types its values may have. Numbers and flags may come as any
+# scalar that reads as one; where elements of a list differ, their common type is a variant, and each is looked at alone.
+_TEXT, _NONE = "STRING", "VOID"
+_NUMBER = _FLAG = r"(?:BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\)|STRING|BOOLEAN|VOID|VARIANT)"
 
 
 def _or_null(kind: str) -> str:
@@ -40,6 +42,72 @@ PAGE_SHAPE = _object(
 )
 
 
+# The words that read as flags.
+TRUE_WORDS, FALSE_WORDS = ("1", "on", "t", "true", "y", "yes"), ("0", "f", "false", "n", "no", "off")
+
+#: The record before numbers, flags and segments are read, element by element.
+_LOOSE_BLOCK = (
+    f"STRUCT<kind: STRING, role: STRING, segments: VARIANT, label: STRING, caption: STRING, heading_level: VARIANT, bbox: STRUCT<left: VARIANT, top: VARIANT, right: VARIANT, bottom: VARIANT>, "
+    "relative_size: STRING, bold: VARIANT, italic: VARIANT, alignment: STRING, continues_previous: VARIANT, continues_on_next_page: VARIANT>"
+)
+_LOOSE_ENTRY = "STRUCT<title: STRING, level: VARIANT, kind: STRING, printed_page_label: STRING>"
+_LOOSE_OPENING = "STRUCT<kind: STRING, label: STRING, title: STRING, subtitle: STRING, level: VARIANT>"
+_LOOSE_PAGE = f"STRUCT<page_type: STRING, printed_page_label: STRING, opening: {_LOOSE_OPENING}, metadata: {METADATA}, toc_entries: ARRAY<{_LOOSE_ENTRY}>, blocks: ARRAY<{_LOOSE_BLOCK}>>"
+
+
+def _bound(value: Column, f) -> Column:
+    """f(value), with the value computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def integer(v: Column) -> Column:
+    """A variant as a whole number: integers, numbers without a fraction, flags, and strings that write one; else null."""
+    kind, text, number = F.schema_of_variant(v), F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
+    written = (kind != "STRING") | text.rlike(r"^\s*[+-]?\d+(?:\.0+)?\s*$")
+    return F.when(written & (number == F.floor(number)) & (F.abs(number) < 2**31), number.cast("int"))
+
+
+def flag(v: Column) -> Column:
+    """A variant as a flag: flags, 0 and 1, and words that stand for one; else null."""
+    kind, text, number = F.schema_of_variant(v), F.lower(F.try_variant_get(v, "$", "string")), F.try_variant_get(v, "$", "double")
+    return F.when(kind == "STRING", F.when(text.isin(*TRUE_WORDS), True).when(text.isin(*FALSE_WORDS), False)).otherwise(F.when(number == 1, True).when(number == 0, False))
+
+
+def _missing(v: Column) -> Column:
+    """Neither there nor null: a key that may be null."""
+    return v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(False))
+
+
+def _typed_block(b: Column) -> Column:
+    """The block with numbers, flags and segments read, and ``ok``: none of them is there and does not read."""
+    corners = {side: integer(b["bbox"][side]) for side in ("left", "top", "right", "bottom")}
+    box = F.when(b["bbox"].isNotNull(), F.struct(*[c.alias(side) for side, c in corners.items()]))
+    level, bold, italic, before, on = integer(b["heading_level"]), flag(b["bold"]), flag(b["italic"]), flag(b["continues_previous"]), flag(b["continues_on_next_page"])
+    segments = F.try_variant_get(b["segments"], "$", f"ARRAY<{SEGMENT}>")
+    reads = [_missing(b[name]) | value.isNotNull() for name, value in (("heading_level", level), ("bold", bold), ("italic", italic))]
+    reads += [b[name].isNull() | value.isNotNull() for name, value in (("continues_previous", before), ("continues_on_next_page", on), ("segments", segments))]
+    ok = reads[0]
+    for read in reads[1:]:
+        ok = ok & read
+    return F.struct(
+        b["kind"].alias("kind"), b["role"].alias("role"), segments.alias("segments"), b["label"].alias("label"), b["caption"].alias("caption"), level.alias("heading_level"), box.alias("bbox"), b["relative_size"].alias("relative_size"),
+        bold.alias("bold"), italic.alias("italic"), b["alignment"].alias("alignment"), before.alias("continues_previous"), on.alias("continues_on_next_page"), ok.alias("ok"),
+    )
+
+
+def _typed_entry(e: Column, *names: str) -> Column:
+    return F.struct(*[(integer(e[name]) if name == "level" else e[name]).alias(name) for name in names])
+
+
+def _typed(r: Column) -> Column:
+    opening = r["opening"]
+    return F.struct(
+        r["page_type"].alias("page_type"), r["printed_page_label"].alias("printed_page_label"), F.when(opening.isNotNull(), _typed_entry(opening, "kind", "label", "title", "subtitle", "level")).alias("opening"),
+        r["metadata"].alias("metadata"), F.transform(r["toc_entries"], lambda e: F.when(e.isNotNull(), _typed_entry(e, "title", "level", "kind", "printed_page_label"))).alias("toc_entries"),
+        F.transform(r["blocks"], lambda b: F.when(b.isNotNull(), _typed_block(b))).alias("blocks"),
+    )
+
+
 def _all(values: Column, good) -> Column:
     """Whether every element is there and good; true for no list."""
     return F.coalesce(F.forall(values, lambda x: F.coalesce(x.isNotNull() & good(x), F.lit(False))), F.lit(True))
@@ -53,7 +121,7 @@ def _good_block(b: Column) -> Column:
     box = b["bbox"]
     corners = [F.coalesce(box[side].between(0, 1000), F.lit(False)) for side in ("left", "top", "right", "bottom")]
     return (
-        F.coalesce(b["kind"].isin(*BLOCK_KINDS), F.lit(False)) & _among(b["role"], TEXT_ROLES) & _among(b["relative_size"], RELATIVE_SIZES) & _among(b["alignment"], ALIGNMENTS)
+        F.coalesce(b["kind"].isin(*BLOCK_KINDS), F.lit(False)) & b["ok"] & _among(b["role"], TEXT_ROLES) & _among(b["relative_size"], RELATIVE_SIZES) & _among(b["alignment"], ALIGNMENTS)
         & (b["heading_level"].isNull() | b["heading_level"].between(1, 6))
         & _all(b["segments"], lambda s: s["kind"].isin(*INLINE_KINDS) & s["value"].isNotNull())
         & (box.isNull() | (corners[0] & corners[1] & corners[2] & corners[3]))
@@ -72,13 +140,19 @@ def parsed(frame: DataFrame, column: str) -> DataFrame:
     JSON object) or invalid-structured-response.
 
     Every object is closed: the text is parsed once, to a variant, and the schema that the variant has
-    must be one that the page's shape allows, keys and types; the record's values must lie in their
-    sets and ranges, required ones must be there, a text block has a role and a footnote a label.
-    Elements of a list are seen by their common schema, so a null beside flags counts as false. A
-    filter on either column does not multiply the parsing, as both come out of one lambda."""
+    must be one that the page's shape allows; the record's values must lie in their sets and ranges,
+    required ones must be there, a text block has a role and a footnote a label. Numbers and flags are
+    read leniently, element by element: "2" and 2.0 are 2, 1 and "yes" are true (see ``integer`` and
+    ``flag``); a null stands for a missing value only where the value may be null. Of a key that an object
+    repeats, JSON keeps the last; texts that repeat one are rejected here unless the session sets
+    ``spark.sql.variant.allowDuplicateKeys``. Both columns come out of a generator of one row, past
+    which the optimiser moves no filter, so a filter on either does not parse again."""
 
     def judged(v: Column) -> Column:
-        return F.transform(F.array(F.struct(F.schema_of_variant(v).alias("shape"), F.try_variant_get(v, "$", WIRE_PAGE).alias("record"))), verdict)[0]
+        return _bound(F.struct(F.schema_of_variant(v).alias("shape"), F.try_variant_get(v, "$", _LOOSE_PAGE).alias("loose")), typed)
+
+    def typed(x: Column) -> Column:
+        return _bound(F.struct(x["shape"].alias("shape"), F.when(x["loose"].isNotNull(), _typed(x["loose"])).alias("record")), verdict)
 
     def verdict(x: Column) -> Column:
         r = x["record"]
@@ -88,10 +162,10 @@ def parsed(frame: DataFrame, column: str) -> DataFrame:
         )
         is_object = F.coalesce(x["shape"].startswith("OBJECT<"), F.lit(False))
         error = F.when(~is_object, "invalid-json").when(~F.coalesce(valid, F.lit(False)), "invalid-structured-response")
-        return F.transform(F.array(error), lambda e: F.struct(e.alias("error"), F.when(e.isNull(), r).alias("record")))[0]
+        record = F.struct(*[r[name].alias(name) for name in ("page_type", "printed_page_label", "opening", "metadata", "toc_entries")], F.transform(r["blocks"], lambda b: b.dropFields("ok")).alias("blocks"))
+        return _bound(error, lambda e: F.struct(F.when(e.isNull(), record).cast(WIRE_PAGE).alias("wire"), e.alias("wire_error")))
 
-    step = frame.withColumn("_outcome", F.transform(F.array(F.try_parse_json(F.col(column))), judged)[0])
-    return step.withColumn("wire", F.col("_outcome.record")).withColumn("wire_error", F.col("_outcome.error")).drop("_outcome")
+    return frame.select("*", F.inline(F.transform(F.array(F.try_parse_json(F.col(column))), judged)))
 
 
 def style(b: Column) -> Column:
