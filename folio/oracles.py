@@ -360,3 +360,8 @@ ORACLES["wire_coercion"] = """WITH t AS (SELECT event_id, event_id % 17 AS form,
     SELECT event_id, CASE WHEN NOT ok THEN 'invalid-structured-response' END AS wire_error, CASE WHEN ok AND form IN (0, 1, 3) THEN n WHEN form = 4 THEN 1 END AS heading_level,
            CASE WHEN ok AND form IN (6, 7) THEN n = 1 WHEN form = 8 THEN true WHEN form = 9 THEN false END AS bold, CASE WHEN ok AND form = 12 THEN n = 1 END AS continues_previous,
            CASE WHEN form = 15 THEN n END AS box_left, CASE WHEN form = 15 THEN n END AS box_top, CASE WHEN form = 15 THEN 1 END AS box_right FROM j"""
+ORACLES["request_summaries"] = """SELECT page_id, 'json_schema' AS format, page_id % 3 = 0 AS include_image, 8192 AS max_tokens, 'reader' AS model, sha256(url) AS schema_sha256, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS n_text_parts,
+    CASE WHEN page_id % 3 = 0 THEN 'data:image/png;base64,' || base64(encode(coalesce(html, ''))) END AS picture FROM pages"""
+ORACLES["completion_bodies"] = """SELECT event_id, ['invalid-http-response', 'invalid-completion-envelope', 'empty-response', 'output-token-limit', 'empty-response', 'empty-response', 'unexpected-reasoning-content', 'invalid-json', NULL][event_id % 9 + 1] AS code FROM events"""
+ORACLES["server_builds"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'b' || o_orderkey WHEN o_orderkey % 5 < 2 THEN 'c' || o_orderkey ELSE CAST(o_orderkey AS VARCHAR) END AS build,
+    CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 4 < 2 THEN 'inference-relocation-rejected' END AS relocation FROM orders"""

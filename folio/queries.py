@@ -502,6 +502,41 @@ def probe_outcomes(spark, d):
     return C.event_rows(spark, d).select("event_id", inference.probe_outcome(status, (i % 2 + 1).cast("int"), i % 3 == 0).alias("outcome"))
 
 
+@query
+def request_summaries(spark, d):
+    """What is logged of requests that show a page's text and, for every third, its picture as a data URI."""
+    t = C.load(spark, d, "pages")
+    shown = T.data_uri(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
+    text, picture = part("text", F.col("url")), part("image_url", shown)
+    t = t.select("page_id", "url", F.when(F.col("page_id") % 3 == 0, F.array(text, picture, text)).otherwise(F.array(text)).alias("parts"))
+    s = inference.request_summary(F.lit("reader"), F.lit(8192), F.col("url"), F.col("parts"))
+    kept = inference.text_only(F.col("parts"))
+    picture_at = F.filter("parts", lambda p: p["type"] == "image_url")
+    return t.select("page_id", s.alias("s"), F.size(kept).alias("n_text_parts"), F.try_element_at(picture_at, F.lit(1))["value"].alias("picture")).select("page_id", "s.*", "n_text_parts", "picture")
+
+
+@query
+def completion_bodies(spark, d):
+    """What is wrong with a completion's body, in every form; the content is an event's properties."""
+    e = C.event_rows(spark, d)
+    content = F.to_json(F.struct(F.coalesce("props", F.lit("{}")).alias("content")))
+    choice = lambda message, reason="stop": F.concat(F.lit('{"choices":[{"finish_reason":"%s","message":' % reason), message, F.lit("}]}"))
+    bodies = F.array(F.lit("x"), F.lit("{}"), F.lit('{"choices":[]}'), choice(content, "length"), choice(F.lit('{"content":" "}')), choice(F.lit('{"content":null}')), choice(F.lit('{"content":"{}","reasoning_content":"hm"}')), choice(F.lit('{"content":"no"}')), choice(content))
+    return e.select("event_id", inference.content_error(F.get(bodies, (F.col("event_id") % 9).cast("int"))).alias("code"))
+
+
+@query
+def server_builds(spark, d):
+    """Build ids out of what a server tells, and files that moved."""
+    k = F.col("o_orderkey")
+    info = F.when(k % 3 == 0, F.concat(F.lit(" b"), k, F.lit(" "))).when(k % 3 == 1, F.lit("  "))
+    commit = F.when(k % 5 < 2, F.concat(F.lit("c"), k)).when(k % 5 == 2, F.lit(""))
+    old = F.when(k % 7 == 0, F.lit("")).otherwise(F.sha2(k.cast("string"), 256))
+    new = F.when(k % 4 == 0, F.sha2(F.lit("other"), 256)).when(k % 4 == 1, F.lit(None)).otherwise(F.sha2(k.cast("string"), 256))
+    return C.load(spark, d, "orders").select("o_orderkey", inference.build_id(info, commit, k).alias("build"), inference.relocation_error(old, new).alias("relocation"))
+
+
 @query
 def failure_numbers(spark, d):
     found = validate.violations(state.with_state(C.event_pages(spark, d)))
