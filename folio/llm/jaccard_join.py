@@ -21,8 +21,9 @@ runs over classes, so copies are never expanded.
    one component need no look: the sets outside its largest component are compared among
    themselves and with that component, block against block, each pair of blocks in a task.
 
-So no link between classes is missed, no pair leaves a task unless it links, and no task holds
-more than two blocks of sets. Shingles and sets are compared by 64-bit hashes. The sample decides
+So no link between classes is missed, no pair leaves a task unless it links, and a task that
+compares holds two blocks of sets at most. The tasks that look for shared shingles and put sets
+together hold one range of shingles or classes each. Shingles and sets are compared by 64-bit hashes. The sample decides
 where rows go and how ties of order fall, not what links.
 
 Defined cases: null text and text without words have an empty set, link with nothing and are

@@ -15,7 +15,10 @@ the windows that hold the words most typical of toxic texts, and goes on from th
 network itself scores highest, in toxic and in other texts.
 
 Learning uses at most ``sample`` labelled texts of each class, those with the smallest hashes of
-id and text (documented bound), whole, with all their windows; texts that repeat count once.
+id and text (documented bound); texts that repeat count once. All windows of these texts are
+scored in each round, and of each text the highest few (three, of texts that are not toxic also three
+drawn at random) are learned from, as the label tells nothing of a text's other windows. Words of the
+sample beyond the 20,000 most frequent have no embedding of their own, only their character grams.
 Scoring reads all of every text.
 
 Defined cases: null text and text without a word score 0; with no toxic or no other label every

@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.components import spread_join
 from folio.llm.scratch import materialise, new_folder, task_count
 from folio.llm.shared_files import create, opened
 
@@ -133,9 +134,9 @@ def write_archives(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_
     page = pages[id_col].cast("long")
     rows = pages.select(F.coalesce(page, F.lit(0)).alias("id"), page.isNull().alias("no_id"), F.sha2(payload, 256).alias("sha"), F.length(payload).alias("bytes"), pages[url_col].alias("url"), payload.alias("payload"))
     key = ["sha", "id", "no_id"]
-    ids = rows.groupBy(*key).agg(F.first("bytes").alias("bytes"))
+    ids = materialise(rows.groupBy(*key).agg(F.first("bytes").alias("bytes")), "warc-ids")
     winners = ids.filter(F.col("bytes") >= min_bytes).groupBy("sha").agg(F.max(F.when(~F.col("no_id"), F.col("id"))).alias("response"))
-    decided = ids.select(*key).join(winners.withColumn("shared", F.lit(True)), "sha", "left")
+    decided = spread_join(ids.select(*key), winners.withColumn("shared", F.lit(True)), "sha")  # a payload may be a third of all pages'
     # both sides are dealt by the whole key, so the payloads travel once and repeats of a row stay together
     tasks = task_count(spark)
     joined = rows.drop("bytes").repartition(tasks, *key).join(decided.repartition(tasks, *key), key)
