@@ -1,7 +1,9 @@
 """Publication: furniture dropped, notes numbered and moved to the end, continued paragraphs merged.
 
-Notes are numbered at page level from a running sum, so references are rewritten without a join;
-blocks are then exploded and continued paragraphs become islands. One exchange by book serves all.
+Notes and paragraphs are numbered through a book from counts a page: sums inside ranges of pages, and
+sums over the ranges' totals (one small row a range), so that no task has to hold a book. Blocks are then
+dealt by page, and continued paragraphs become islands by those numbers, which are also their places
+in the publication. Pages are told apart by book and index.
 """
 
 from __future__ import annotations
@@ -10,30 +12,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.operators.scan import SPAN
 from folio.schemas import FURNITURE
 
-
-def _pages():
-    return Window.partitionBy("book_id").orderBy("page_index")
+_BASES = ("_base", "_opens", "_total", "_lead")
 
 
 def _blocks():
     return Window.partitionBy("book_id").orderBy("page_index", "pos")
 
 
-def _blocks_so_far():
-    return _blocks().rowsBetween(Window.unboundedPreceding, 0)
-
-
 def _blocks_before():
     return _blocks().rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _kept(b: Column) -> Column:
+    """Blocks that publication keeps: no furniture, no figure without an asset."""
+    dropped = ((b["kind"] == "text") & b["role"].isin(*FURNITURE)) | ((b["kind"] == "figure") & (F.coalesce(b["asset_sha256"], F.lit("")) == ""))
+    return F.coalesce(~dropped, F.lit(True))
+
+
+def _continues(b: Column) -> Column:
+    return (b["kind"] == "text") & F.coalesce(b["continues_previous"], F.lit(False))
+
+
+def page_bases(pages: DataFrame, span: int = SPAN) -> DataFrame:
+    """book_id, page_index, what stands before the page in its book: _base (notes) and _opens (blocks that begin one of the
+    publication), and of the whole book _total (such blocks) and _lead (1 if its first one begins none)."""
+    body = F.filter("blocks", lambda b: _kept(b) & (b["kind"] != "footnote"))
+    notes = F.size(F.filter("blocks", lambda b: b["kind"] == "footnote"))
+    first = F.when(F.size(body) > 0, F.struct("page_index", _continues(F.get(body, F.lit(0))).cast("int").alias("lead")))
+    slim = pages.select("book_id", "page_index", F.floor(F.col("page_index") / span).alias("_range"), notes.alias("_notes"), F.size(F.filter(body, lambda b: ~_continues(b))).alias("_begun"), first.alias("_first"))
+    totals = slim.groupBy("book_id", "_range").agg(F.sum("_notes").alias("_notes"), F.sum("_begun").alias("_begun"), F.min("_first").alias("_first"))
+    book = Window.partitionBy("book_id")
+    earlier, before = book.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("book_id", "_range").orderBy("page_index").rowsBetween(Window.unboundedPreceding, -1)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    offsets = totals.select("book_id", "_range", none(F.sum("_notes").over(earlier)).alias("_n"), none(F.sum("_begun").over(earlier)).alias("_b"), F.sum("_begun").over(book).alias("_total"), none(F.min("_first").over(book)["lead"]).alias("_lead"))
+    local = slim.select("book_id", "page_index", "_range", none(F.sum("_notes").over(before)).alias("_ln"), none(F.sum("_begun").over(before)).alias("_lb"))
+    both = local.join(offsets, ["book_id", "_range"], "left")
+    return both.select("book_id", "page_index", (F.col("_ln") + none(F.col("_n"))).alias("_base"), (F.col("_lb") + none(F.col("_b"))).alias("_opens"), none(F.col("_total")).alias("_total"), none(F.col("_lead")).alias("_lead"))
+
+
 def numbered_notes(pages: DataFrame) -> DataFrame:
-    """Adds _labels (of the page's notes) and _base (notes on earlier pages)."""
+    """Adds _labels (of the page's notes) and the columns of ``page_bases``."""
     labels = F.transform(F.filter("blocks", lambda b: b["kind"] == "footnote"), lambda b: b["label"])
-    step = pages.withColumn("_labels", labels)
-    return step.withColumn("_base", F.coalesce(F.sum(F.size("_labels")).over(_pages().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return pages.withColumn("_labels", labels).join(page_bases(pages), ["book_id", "page_index"], "left")
 
 
 def _note_id(label: Column) -> Column:
@@ -44,12 +67,12 @@ def _note_id(label: Column) -> Column:
 def raw_blocks(pages: DataFrame) -> DataFrame:
     """One row per block that publication keeps, references rewritten: is_note, note_id, content, flags, and
     unresolved (some reference has no note on its page) and bad_flag (continuation flags off a paragraph)."""
-    blocks = numbered_notes(pages).select("book_id", "page_index", "_labels", "_base", F.posexplode("blocks").alias("pos", "b"))
+    blocks = numbered_notes(pages).select("book_id", "page_index", "_labels", *_BASES, F.posexplode("blocks").alias("pos", "b"))
     kind, role = F.col("b.kind"), F.col("b.role")
-    kept = ~((kind == "text") & role.isin(*FURNITURE)) & ~((kind == "figure") & (F.coalesce("b.asset_sha256", F.lit("")) == ""))
     content = F.transform("b.content", lambda s: F.when(s["kind"] == "footnote_reference", F.struct(s["kind"].alias("kind"), _note_id(s["value"]).alias("value"))).otherwise(s))
     on = lambda name: (kind == "text") & F.coalesce(F.col(f"b.{name}"), F.lit(False))
-    return blocks.filter(F.coalesce(kept, F.lit(True))).select(
+    return blocks.filter(_kept(F.col("b"))).select(
+        *_BASES,
         "book_id",
         "page_index",
         "pos",
@@ -102,18 +125,19 @@ def publication_blocks(pages: DataFrame) -> DataFrame:
     is_note = F.col("kind") == "footnote"
     opens = (~F.col("continues_previous") & ~is_note).cast("int")
     # notes are islands of their own, counted apart so that they never part a paragraph
-    step = raw.withColumn("is_note", is_note).withColumn("_island", F.when(is_note, F.sum(is_note.cast("int")).over(_blocks_so_far())).otherwise(F.sum(opens).over(_blocks_so_far())))
+    here = Window.partitionBy("book_id", "page_index").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    step = raw.withColumn("is_note", is_note).withColumn("_island", F.when(is_note, F.col("_base") + F.sum(is_note.cast("int")).over(here)).otherwise(F.col("_opens") + F.sum(opens).over(here)))
     item = F.struct("page_index", "pos", "kind", "role", "content", "heading_level", "note_id", "caption", "asset_sha256", "block_id")
-    merged = step.groupBy("book_id", "is_note", "_island").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    merged = step.groupBy("book_id", "is_note", "_island").agg(F.sort_array(F.collect_list(item)).alias("items"), F.first("_total").alias("_total"), F.first("_lead").alias("_lead"))
     first = F.get("items", F.lit(0))
     rest = F.slice("items", F.lit(2), F.size("items"))
     content = F.aggregate(rest, first["content"], lambda a, x: T.merge_content(a, x["content"]))
     pages_of = F.array_distinct(F.transform("items", lambda x: x["page_index"]))
     ids = F.array_distinct(F.array_compact(F.transform("items", lambda x: x["block_id"])))
-    order = Window.partitionBy("book_id").orderBy("is_note", "_island")
+    place = F.col("_lead") + F.col("_island") - 1 + F.when(F.col("is_note"), F.col("_total")).otherwise(0)
     return merged.select(
         "book_id",
-        (F.row_number().over(order) - 1).alias("publication_block_index"),
+        place.cast("int").alias("publication_block_index"),
         first["kind"].alias("kind"),
         first["role"].alias("role"),
         content.alias("content"),

@@ -317,11 +317,11 @@ def markdown_digest(spark, d):
 def book_trees(spark, d):
     """Bundles that tasks write, read back: the files that are there, held against their manifests."""
     root = new_folder(spark, "trees")
-    flows.publish_trees(state.with_block_ids(C.conversation_pages(spark, d)), root)
-    manifests = trees.manifests(spark, root).select("book_id", "tree", "manifest.*")
+    books = flows.publish_trees(state.with_block_ids(C.conversation_pages(spark, d)), root)[0]
+    manifests = trees.manifests(books, root).select("book_id", "tree", "manifest.*")
     listed = manifests.select("book_id", "tree", F.col("committed_page_count"), F.size("source_map").alias("n_source_blocks"), F.explode("files").alias("f"))
     declared = listed.select("book_id", F.concat_ws("/", "tree", "f.path").alias("path"), "f.path", F.col("f.sha256").alias("declared"), F.col("f.size_bytes").alias("size"), "n_source_blocks", "committed_page_count").toDF("book_id", "whole", "path", "declared", "size", "n_source_blocks", "committed_page_count")
-    there = trees.found(spark, root).filter(~F.col("path").endswith("/manifest.json")).withColumnRenamed("path", "whole")
+    there = trees.found(books, root).filter(~F.col("path").endswith("/manifest.json")).withColumnRenamed("path", "whole")
     both = there.join(declared, ["book_id", "whole"], "full")
     same = F.coalesce((F.col("sha256") == F.col("declared")) & (F.col("size_bytes") == F.col("size")), F.lit(False))
     return both.select("book_id", "path", "sha256", "size_bytes", same.alias("listed"), "n_source_blocks", "committed_page_count")

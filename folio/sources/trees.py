@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import json
 import posixpath
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -130,37 +129,75 @@ def committed(spark: SparkSession, root: str, job: str) -> DataFrame:
     return spark.read.schema(LISTED).json([f"{root}/{RECEIPTS}/{job}/{name}" for name in names]) if names else spark.createDataFrame([], LISTED)
 
 
-def _below(root: str) -> str:
-    """A pattern for the part of a file's URI that names this folder."""
-    return re.escape(root.split("://")[-1].removeprefix("file:").rstrip("/"))
-
-
-def found(spark: SparkSession, root: str) -> DataFrame:
-    """LISTED rows of the files that are there, hashed by the tasks that read them."""
-    inside, tail = (F.regexp_extract(F.col("path"), f"{_below(root)}/([^/]+)/(.+)$", k) for k in (1, 2))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(inside.alias("book_id"), tail.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
-
-
-def manifests(spark: SparkSession, root: str) -> DataFrame:
-    """book_id, tree and manifest (parsed) of every manifest below root."""
+def _walk(root: str, book: str) -> Iterator[tuple[str, pafs.FileInfo, pafs.FileSystem]]:
+    """What is below a book's folder: path in it, entry and store."""
+    store, base = _store(root)
+    folder = posixpath.join(base, book)
+    for entry in sorted(store.get_file_info(pafs.FileSelector(folder, allow_not_found=True, recursive=True)), key=lambda x: x.path):
+        yield posixpath.relpath(entry.path, folder), entry, store
+
+
+def found(books: DataFrame, root: str) -> DataFrame:
+    """LISTED rows of the files below these books' folders, listed and hashed by tasks, piece by piece; a folder with nothing in it
+    is a row with a path that ends in a slash and no hash. The driver sees no listing."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for book in batch.column(0).to_pylist():
+                out: list[tuple[str, str, str | None, int]] = []
+                entries = list(_walk(root, book))
+                used = {posixpath.dirname(path) for path, *_ in entries}
+                for path, entry, store in entries:
+                    if entry.type == pafs.FileType.Directory:
+                        if path not in used:
+                            out.append((book, f"{path}/", None, 0))
+                        continue
+                    sha = hashlib.sha256()
+                    with store.open_input_stream(entry.path) as given:
+                        while piece := given.read(1 << 20):
+                            sha.update(piece)
+                    out.append((book, path, sha.hexdigest(), entry.size))
+                if out:
+                    kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in LISTED.split(", ")])
+
+    return books.select("book_id").distinct().mapInArrow(look, LISTED)
+
+
+def manifests(books: DataFrame, root: str) -> DataFrame:
+    """book_id, tree and manifest (parsed) of every manifest of these books; a row holds one manifest."""
     kind = (
         "command STRING, output_manifest_format_version INT, publication_identifier STRING, publication_fingerprint STRING, committed_page_count INT, files ARRAY<STRUCT<path: STRING, sha256: STRING, size_bytes: BIGINT>>, "
         "source_map ARRAY<STRUCT<publication_block_index: INT, source_pages: ARRAY<INT>, source_block_ids: ARRAY<STRING>>>"
     )
-    part, tree = (F.regexp_extract(F.col("path"), f"{_below(root)}/([^/]+)/([^/]+)/manifest[.]json$", k) for k in (1, 2))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "manifest.json").load(root)
-    return files.select(part.alias("book_id"), tree.alias("tree"), F.from_json(F.decode("content", "UTF-8"), kind).alias("manifest"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for book in batch.column(0).to_pylist():
+                for path, entry, store in _walk(root, book):
+                    if path.count("/") == 1 and path.endswith("/manifest.json") and entry.type == pafs.FileType.File:
+                        with store.open_input_stream(entry.path) as given:
+                            yield pa.record_batch({"book_id": [book], "tree": [path.split("/")[0]], "text": [given.read().decode("utf-8", "replace")]})
+
+    texts = books.select("book_id").distinct().mapInArrow(read, "book_id string, tree string, text string")
+    return texts.select("book_id", "tree", F.from_json("text", kind).alias("manifest"))
+
+
+def books_below(spark: SparkSession, root: str) -> DataFrame:
+    """book_id of every folder of a book: one listing of names, of the first level."""
+    store, base = _store(root)
+    names = [e.base_name for e in store.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if e.type == pafs.FileType.Directory and not e.base_name.startswith("_")]
+    return spark.createDataFrame([(n,) for n in sorted(names)], "book_id string")
 
 
-def problems(spark: SparkSession, root: str) -> DataFrame:
-    """book_id, tree, path, problem of every tree below root: one full outer join of what manifests list with what is there.
+def problems(books: DataFrame, root: str) -> DataFrame:
+    """book_id, tree, path, problem of every tree of these books: one full outer join of what manifests list with what is there.
 
     A manifest can be missing or invalid; files can be missing, extra, of another size or hash, listed twice, not safe, or an asset
-    whose name is not its hash; a tree has one primary file. Folders without files and links are not seen by Spark's reader."""
-    there = found(spark, root).withColumns({"tree": F.substring_index("path", "/", 1), "path": F.expr("substring(path, instr(path, '/') + 1)")})
+    whose name is not its hash; a folder can be empty; a tree has one primary file."""
+    there = found(books, root).withColumns({"tree": F.substring_index("path", "/", 1), "path": F.expr("substring(path, instr(path, '/') + 1)")})
     present = there.filter("path <> 'manifest.json'").select("book_id", "tree", "path", F.col("sha256").alias("there_sha"), F.col("size_bytes").alias("there_size"), F.lit(True).alias("there"))
-    given = manifests(spark, root)
+    given = manifests(books, root)
     m = F.col("manifest")
     valid = F.coalesce((m["command"] == "markdown") & (m["output_manifest_format_version"] == 2) & m["files"].isNotNull(), F.lit(False))
     checked = given.select("book_id", "tree", valid.alias("valid"), m["files"].alias("files"))
@@ -173,7 +210,7 @@ def problems(spark: SparkSession, root: str) -> DataFrame:
     both = present.join(listed, ["book_id", "tree", "path"], "full").join(trees.filter("valid").select("book_id", "tree"), ["book_id", "tree"], "left_semi")
     asset = P.asset_sha256(F.col("path"))
     problem = (
-        F.when(~P.safe_output(F.col("path")), "unsafe-path").when(F.col("times") > 1, "duplicate-path").when(F.col("there").isNull(), "missing-file").when(F.col("sha256").isNull(), "extra-file")
+        F.when(F.coalesce(F.col("there"), F.lit(False)) & F.col("path").endswith("/"), "empty-folder").when(~P.safe_output(F.col("path")), "unsafe-path").when(F.col("times") > 1, "duplicate-path").when(F.col("there").isNull(), "missing-file").when(F.col("sha256").isNull(), "extra-file")
         .when(F.col("size_bytes") != F.col("there_size"), "size-mismatch").when(F.col("sha256") != F.col("there_sha"), "hash-mismatch").when(asset.isNotNull() & (asset != F.col("there_sha")), "asset-name-mismatch")
     )
     return whole.unionByName(lone).unionByName(both.select("book_id", "tree", "path", problem.alias("problem"))).filter("problem IS NOT NULL")

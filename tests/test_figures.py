@@ -84,4 +84,4 @@ def test_crops_are_slices_and_reach_the_bundle(spark, tmp_path):
     tree = flows.publish_trees(done, str(tmp_path / "out"), assets)[0].first().tree
     for sha in {cut[0, 0].sha256, cut[0, 2].sha256}:
         assert hashlib.sha256((tmp_path / "out/a" / tree / f"assets/{sha}.png").read_bytes()).hexdigest() == sha
-    assert trees.problems(spark, str(tmp_path / "out")).count() == 0
+    assert trees.problems(trees.books_below(spark, str(tmp_path / "out")), str(tmp_path / "out")).count() == 0

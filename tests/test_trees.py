@@ -91,7 +91,7 @@ def test_bundles_are_what_their_manifests_say_until_they_are_damaged(spark, tmp_
     pages = stored(state.with_block_ids(conversation_pages(spark, SF)), "pages")
     written, errors = flows.publish_trees(pages, root)
     books = {r.book_id: r for r in written.collect()}
-    assert len(books) >= 9 and errors.count() == 0 and trees.problems(spark, root).count() == 0
+    assert len(books) >= 10 and errors.count() == 0 and trees.problems(trees.books_below(spark, root), root).count() == 0
     texts = {r.book_id: r.markdown for r in flows.publish_books(pages)[0].collect()}
     manifest = {}
     for name, book in books.items():
@@ -101,7 +101,7 @@ def test_bundles_are_what_their_manifests_say_until_they_are_damaged(spark, tmp_
     maps = {b: sorted((x.publication_block_index, x.source_pages, x.source_block_ids) for x in rows) for b, rows in by_book(publish.publication_blocks(pages)).items()}
     assert {b: [(x["publication_block_index"], x["source_pages"], x["source_block_ids"]) for x in m["source_map"]] for b, m in manifest.items()} == maps
     flows.publish_trees(pages, root)  # again: the same trees
-    assert trees.problems(spark, root).count() == 0 and len(os.listdir(f"{root}/{next(iter(books))}")) == 1
+    assert trees.problems(trees.books_below(spark, root), root).count() == 0 and len(os.listdir(f"{root}/{next(iter(books))}")) == 1
 
     at = {k: f"{root}/{name}/{books[name].tree}" for k, name in enumerate(sorted(books))}
     os.remove(f"{at[0]}/manifest.json")
@@ -123,11 +123,12 @@ def test_bundles_are_what_their_manifests_say_until_they_are_damaged(spark, tmp_
     os.mkdir(f"{at[8]}/assets")
     open(f"{at[8]}/{picture}", "wb").write(b"p")
     change(8, lambda m: m["files"].append({"path": picture, "sha256": hashlib.sha256(b"p").hexdigest(), "size_bytes": 1}))
+    os.mkdir(f"{at[9]}/assets")
     order = sorted(books)
-    got = sorted((order.index(r.book_id), r.path, r.problem) for r in trees.problems(spark, root).na.fill("", ["path"]).collect())
+    got = sorted((order.index(r.book_id), r.path, r.problem) for r in trees.problems(trees.books_below(spark, root), root).na.fill("", ["path"]).collect())
     assert got == [
         (0, "", "missing-manifest"), (1, "", "invalid-manifest"), (2, "book.md", "missing-file"), (3, "extra.txt", "extra-file"), (4, "book.md", "size-mismatch"), (5, "book.md", "hash-mismatch"),
-        (6, "book.md", "duplicate-path"), (7, "book.md", "extra-file"), (8, picture, "asset-name-mismatch"),
+        (6, "book.md", "duplicate-path"), (7, "book.md", "extra-file"), (8, picture, "asset-name-mismatch"), (9, "assets/", "empty-folder"),
     ]
 
 
@@ -150,4 +151,4 @@ def test_assets_reach_their_bundle(spark, tmp_path):
     folder = tmp_path / "out" / book / tree
     assert (folder / f"assets/{sha[0]}.png").read_bytes() == picture and sorted(os.listdir(folder / "assets")) == [f"{sha[0]}.png"]
     assert [x["path"] for x in json.loads((folder / "manifest.json").read_text())["files"]] == [f"assets/{sha[0]}.png", "book.md"]
-    assert trees.problems(spark, str(tmp_path / "out")).count() == 0 and f"![A](assets/{sha[0]}.png)" in (folder / "book.md").read_text()
+    assert trees.problems(trees.books_below(spark, str(tmp_path / "out")), str(tmp_path / "out")).count() == 0 and f"![A](assets/{sha[0]}.png)" in (folder / "book.md").read_text()
