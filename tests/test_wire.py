@@ -55,11 +55,12 @@ def test_texts_are_parsed_once(spark):
 
 
 def test_repeated_keys(spark):
-    text = '{"page_type":"toc","page_type":"body"}'
+    text, name = '{"page_type":"toc","page_type":"body"}', "spark.sql.variant.allowDuplicateKeys"
     one = lambda: wire.parsed(spark.createDataFrame([("a", text)], "k string, json string"), "json").select("wire_error", "wire.page_type").first()
-    assert tuple(one()) == ("invalid-json", None)
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    before = spark.conf.get(name, None)
     try:
-        assert tuple(one()) == (None, "body")
+        for allowed, expected in (("false", ("invalid-json", None)), ("true", (None, "body"))):
+            spark.conf.set(name, allowed)
+            assert tuple(one()) == expected
     finally:
-        spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
