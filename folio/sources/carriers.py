@@ -1,7 +1,8 @@
 """Deterministic page records out of general tables, so that every operator runs at any scale.
 
 conversations: a conversation is a book, a turn a page. events: a user is a book, an event a page.
-documents: a source is a book, a document a page. Row numbers need one exchange by book each.
+documents: a source is a book, a document a page. Row numbers need one exchange by book each; that of
+events deals books over as many tasks as their rows call for, so a task's share does not grow with the table.
 """
 
 from __future__ import annotations
@@ -83,10 +84,21 @@ def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(t, toc_entries=F.when(kind == "toc", entries).otherwise(none.cast("array<struct<title:string,level:int,kind:string,printed_page_label:string>>")), blocks=F.when(kind == "toc", F.array().cast(_NO_BLOCKS)).otherwise(F.transform("lines", line).cast(_NO_BLOCKS)))
 
 
+#: Of events that one task gets: windows over whole pages hold some 2 KB for each of them.
+ROWS_A_TASK = 32_768
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """As many tasks as the rows of a table need, one a core at least. Counting reads no column."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+
+
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_id, page_index, page_type, event_id, text, continues_on, continues_previous, value."""
     order = Window.partitionBy("book_id").orderBy("ts", "event_id")  # the key that all later windows use
-    t = load(spark, sf_dir, "events").withColumn("book_id", F.col("user_id").cast("string")).withColumn("page_index", F.row_number().over(order) - 1)
+    t = load(spark, sf_dir, "events")
+    dealt = t.withColumn("book_id", F.col("user_id").cast("string")).repartition(tasks_for(t), "book_id")
+    t = dealt.withColumn("page_index", F.row_number().over(order) - 1)
     kind = F.col("event_type")
     page_type = F.when(kind == "signup", "toc").when(kind == "purchase", "chapter_opening").when(kind == "view", "body").when(kind == "click", "blank").otherwise("figure_page")
     t = t.withColumn("continues_on", F.coalesce(F.col("value") > 60, F.lit(False)))
