@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.functions.paths import asset_path
+from folio.operators import ordered
 
 
 def block_lines(normalize=T.nfc) -> Column:
@@ -25,30 +26,13 @@ def block_lines(normalize=T.nfc) -> Column:
     return line
 
 
-def render(blocks: DataFrame, metadata: DataFrame | None = None, normalize=T.nfc) -> DataFrame:
-    """book_id, markdown. ``normalize`` is applied to every string; the identity where data is NFC already."""
-    lines = blocks.select("book_id", "publication_block_index", (F.col("kind") == "footnote").alias("note"), block_lines(normalize).alias("line"))
-    ordered = F.sort_array(F.collect_list(F.struct("publication_block_index", "note", "line")))
-    books = lines.groupBy("book_id").agg(ordered.alias("lines"))
-    if metadata is not None:  # a book without a block has a title at least
-        none = F.array().cast(books.schema["lines"].dataType)
-        books = metadata.join(books, "book_id", "left").withColumn("lines", F.coalesce("lines", none))
-    body = F.array_join(F.transform(F.filter("lines", lambda x: ~x["note"]), lambda x: F.concat(x["line"], F.lit("\n"))), "\n")
-    notes = F.array_join(F.transform(F.filter("lines", lambda x: x["note"]), lambda x: x["line"]), "\n")
-    head = F.lit("")
-    if metadata is not None:
-        part = lambda ok, line: F.when(ok, F.concat(line, F.lit("\n\n"))).otherwise("")
-        head = F.concat(
-            part(T.non_empty(F.col("title")), F.concat(F.lit("# "), normalize(F.col("title")))),
-            part(T.non_empty(F.col("subtitle")), F.concat(F.lit("## "), normalize(F.col("subtitle")))),
-            part(F.coalesce(F.size("authors") > 0, F.lit(False)), normalize(F.array_join("authors", ", "))),
-        )
-    whole = F.concat(head, body, F.when((body != "") & (notes != ""), "\n").otherwise(""), notes)
-    return books.select("book_id", F.concat(T.rstrip(whole), F.lit("\n")).alias("markdown"))
+def render(blocks: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """book_id, markdown: the chunks, joined where they pass in order. A book's row is all that holds it whole."""
+    return ordered.texts(chunks(blocks, metadata).filter("text IS NOT NULL"), trim=True).select("book_id", F.col("text").alias("markdown"))
 
 
 def chunks(blocks: DataFrame, metadata: DataFrame | None = None, path: str = "book.md") -> DataFrame:
-    """The same text as ``render`` in ordered chunks (see ``ordered``; to be trimmed): a row a block, and the title's lines before."""
+    """A book's text in ordered chunks (see ``ordered``; to be trimmed): a row a block, and the title's lines before."""
     as_is = lambda c: c  # noqa: E731  chunks are normalised where they are joined
     at = F.col("publication_block_index").cast("long")
     line = F.concat(F.when(at == 0, "").otherwise("\n"), block_lines(as_is), F.when(F.col("kind") == "footnote", "").otherwise("\n"))

@@ -70,6 +70,20 @@ def dealt(chunks: DataFrame, tasks: int | None = None) -> DataFrame:
     return cut.select("book_id", "path", F.col("seq").cast("long").alias("seq"), "text", data).sortWithinPartitions("book_id", "path", "seq")
 
 
+def texts(chunks: DataFrame, *, trim: bool = False) -> DataFrame:
+    """book_id, path and text of each file, a row and a batch each. A task holds one file, in one buffer that grows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for book, path, parts in files(batches, trim):
+            whole = bytearray()
+            for part in parts:
+                whole += part
+            text = pa.StringArray.from_buffers(1, pa.array([0, len(whole)], pa.int32()).buffers()[1], pa.py_buffer(whole))
+            yield pa.RecordBatch.from_arrays([pa.array([book], pa.string()), pa.array([path], pa.string()), text], names=["book_id", "path", "text"])
+
+    return dealt(chunks).mapInArrow(run, "book_id string, path string, text string")
+
+
 def digests(chunks: DataFrame, *, trim: bool = False) -> DataFrame:
     """DIGESTS: hash and size of each file. With ``trim`` files end in one line feed and no other white space."""
 

@@ -148,12 +148,12 @@ def fingerprints(blocks: DataFrame, metadata: DataFrame, include_toc: bool = Tru
     return sha.withColumn("identifier", I.urn(I.uuid5(F.concat(F.lit(prefix), F.col("fingerprint")))))
 
 
-def publish_books(pages: DataFrame, normalize: Callable[[Column], Column] = T.nfc) -> tuple[DataFrame, DataFrame]:
+def publish_books(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Books to (book_id, markdown, fingerprint, identifier), and the error of each book that has one."""
     errors = publish.publication_errors(pages)
     good = pages.join(errors.select("book_id"), "book_id", "left_anti")
     blocks, metadata = publish.publication_blocks(good), publish.publication_metadata(good)
-    return markdown.render(blocks, metadata, normalize).join(fingerprints(blocks, metadata), "book_id"), errors
+    return markdown.render(blocks, metadata).join(fingerprints(blocks, metadata), "book_id"), errors
 
 
 def manifest_chunks(trees: DataFrame, files: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -152,3 +152,12 @@ def test_assets_reach_their_bundle(spark, tmp_path):
     assert (folder / f"assets/{sha[0]}.png").read_bytes() == picture and sorted(os.listdir(folder / "assets")) == [f"{sha[0]}.png"]
     assert [x["path"] for x in json.loads((folder / "manifest.json").read_text())["files"]] == [f"assets/{sha[0]}.png", "book.md"]
     assert trees.problems(trees.books_below(spark, str(tmp_path / "out")), str(tmp_path / "out")).count() == 0 and f"![A](assets/{sha[0]}.png)" in (folder / "book.md").read_text()
+
+
+def test_rendered_books_are_joined_outside_of_arrays(spark):
+    """No expression of the plan gathers a book's lines, so a book stands in its own row only."""
+    pages = state.with_block_ids(document_pages(spark, SF))
+    rendered = markdown.render(stored(publish.publication_blocks(pages), "blocks"), stored(publish.publication_metadata(pages), "metadata"))
+    plan = rendered._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array_join(transform(filter(lines" not in plan
+    assert all(r.markdown.endswith("\n") and not r.markdown[:-1].endswith("\n") for r in rendered.collect())
