@@ -11,6 +11,7 @@ so that a page that adds to neither rewrites neither.
 from __future__ import annotations
 
 import json
+from collections import namedtuple
 from collections.abc import Iterator
 from typing import Any
 
@@ -109,6 +110,16 @@ def apply_page(now: dict[str, Any], headings: list[tuple], page: Any) -> list[di
     return []
 
 
+_PAGE = namedtuple("_PAGE", "book_id page_index arrival page_type toc_json kind section_title headings n_headings tail_open tail_text title subtitle authors language")
+
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> list[_PAGE]:
+    """A book's pages by arrival, as plain values; what is missing is None."""
+    plain = lambda column: [None if x is None or x != x else x for x in column.tolist()]
+    pages = [_PAGE(*values) for frame in frames for values in zip(*[plain(frame[name]) for name in _PAGE._fields], strict=True)]
+    return sorted(pages, key=lambda page: page.arrival)
+
+
 class PageReducer(StatefulProcessor):
     """Rows of ``reduced_pages`` to FULL rows, one for each page that came."""
 
@@ -118,17 +129,17 @@ class PageReducer(StatefulProcessor):
         self._toc = handle.getListState("toc", _ENTRY)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        now = dict(zip(START, self._value.get(), strict=True)) if self._value.exists() else dict(START)
-        headings = [tuple(h) for h in self._headings.get()] if self._headings.exists() else []
-        toc = [h[0] for h in self._toc.get()] if self._toc.exists() else []
-        pages = pd.concat(list(rows)).sort_values("arrival", kind="stable")
-        pages = pages.astype(object).where(pages.notna(), None)
-        before, out = list(headings), []
-        for page in pages.itertuples(index=False):
+        # each call to the store is a round trip, so lists are asked for only where the value says that they hold something
+        stored = self._value.get()
+        now = dict(START) if stored is None else dict(zip(START, stored, strict=True))
+        headings = [tuple(h) for h in self._headings.get()] if now["n_headings"] else []
+        toc = [h[0] for h in self._toc.get()] if now["entries"] else []
+        before, out, new = list(headings), [], []
+        for page in _in_order(rows):
             awaited = now["pages"]
             ok = page.page_index == awaited
             if ok and (added := apply_page(now, headings, page)):
-                self._toc.appendList([tuple(e.get(name) for name in ("title", "level", "kind", "printed_page_label")) for e in added])
+                new += [tuple(e.get(name) for name in ("title", "level", "kind", "printed_page_label")) for e in added]
                 toc += [e.get("title") for e in added]
             there = now["section_page"] is not None
             expected = toc[now["opened"] : now["opened"] + EXPECTED_ENTRIES] if now["status"] == "committed" else []
@@ -136,6 +147,8 @@ class PageReducer(StatefulProcessor):
                 key[0], int(page.page_index), ok, awaited, now["status"], now["entries"], now["opened"], now["section_kind"], now["section_title"], now["section_index"], now["section_page"], now["n_headings"] if there else None,
                 ";".join("/".join(map(str, h)) for h in headings) if there else None, now["tail"] if there else None, now["last_type"], now["pages"], now["title"], now["subtitle"], now["authors"] or "", now["language"], "|".join(t or "" for t in expected),
             ))
+        if new:
+            self._toc.appendList(new)
         self._value.update(tuple(now.values()))
         if headings != before:
             self._headings.put(headings) if headings else self._headings.clear()

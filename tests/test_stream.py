@@ -1,9 +1,11 @@
 """The whole reducer as a stream against the windows; rejected pages; restarts."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folio.operators import state
 from folio.sources.shared import stored
+from folio.streaming.reducer import _PAGE, PageReducer
 from folio.streaming.run import stream_in_parts
 from tests.test_scan import made
 
@@ -32,3 +34,38 @@ def test_pages_out_of_turn_are_rejected_and_change_nothing(spark):
     assert sorted((r.page_index, r.accepted, r.awaited, r.processed_page_count) for r in by_page.collect()) == [(0, True, 0, 1), (1, False, 2, 2), (1, True, 1, 2), (2, True, 2, 3), (3, False, 2, 2), (3, True, 3, 4)]
     by_arrival = stream_in_parts([rows(1, 0, 1, 2)], arrival=F.col("seq"))
     assert sorted((r.page_index, r.accepted) for r in by_arrival.collect()) == [(0, True), (1, False), (1, True), (2, True)]
+
+
+class _Store:
+    """A state that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.rows = [], None, []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name == "update":
+                self.value = args[0]
+            elif name in ("put", "appendList"):
+                self.rows = [*(self.rows if name == "appendList" else []), *args[0]]
+            elif name == "exists":
+                return self.value is not None or bool(self.rows)
+            elif name == "get":
+                return iter(self.rows) if self.rows else self.value
+
+        return call
+
+
+def test_lists_are_asked_for_only_where_they_hold_something():
+    stores = [_Store(), _Store(), _Store()]
+    handle = type("Handle", (), {"getValueState": lambda *_: stores[0], "getListState": lambda _, name, __: stores[1 if name == "headings" else 2]})()
+    reducer = PageReducer()
+    reducer.init(handle)
+    page = dict.fromkeys(_PAGE._fields) | {"page_type": "blank", "headings": "[]", "n_headings": 0}
+    frame = lambda *kinds, at: pd.DataFrame([page | {"page_index": at + k, "arrival": at + k, "page_type": kind, "toc_json": '[{"title": "T"}]' if kind == "toc" else None} for k, kind in enumerate(kinds)])
+    list(reducer.handleInputRows(("b",), iter([frame("blank", "blank", at=0)]), None))
+    assert [s.calls for s in stores] == [["get", "update"], [], []]
+    (out,) = reducer.handleInputRows(("b",), iter([frame("toc", "toc", at=2), frame("body", at=4)]), None)
+    assert out.toc_status.tolist() == ["collecting", "collecting", "committed"] and out.expected.tolist() == ["", "", "T|T"]
+    assert [s.calls[2:] if s is stores[0] else s.calls for s in stores] == [["get", "update"], [], ["appendList"]]
