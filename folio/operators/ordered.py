@@ -6,6 +6,9 @@ dealt by file and sorted, and one pass over the sorted rows normalises, joins an
 task holds one chunk at a time, and the state of one hash. SHA-256 has to see a file's bytes in
 order, so a file is one task's, however many chunks it has; files are spread over tasks.
 
+For digests alone not even the sort is one task's: chunks are sorted in ranges and stored (``sorted_ranges``), and
+the task that has a file's first range reads on through the others, batch by batch.
+
 Chunks start with characters that never compose with what stands before them (line feeds, marks,
 JSON syntax), so NFC of the chunks is NFC of the file.
 """
@@ -18,9 +21,13 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.sources.shared import stored
+
 CHUNKS = "book_id string, path string, seq long, text string, data binary"
 DIGESTS = "book_id string, path string, sha256 string, size_bytes long"
 
@@ -84,19 +91,81 @@ def texts(chunks: DataFrame, *, trim: bool = False) -> DataFrame:
     return dealt(chunks).mapInArrow(run, "book_id string, path string, text string")
 
 
-def digests(chunks: DataFrame, *, trim: bool = False) -> DataFrame:
-    """DIGESTS: hash and size of each file. With ``trim`` files end in one line feed and no other white space."""
+_ORDER = ("book_id", "path", "seq")
+
+
+def sorted_ranges(chunks: DataFrame, tasks: int | None = None) -> list[str]:
+    """Chunks in the order of files and places, stored a range each: the ranges' files, in order."""
+    data = F.col("data") if "data" in chunks.columns else F.lit(None).cast("binary").alias("data")
+    plain = chunks.select("book_id", "path", F.col("seq").cast("long").alias("seq"), "text", data)
+    ranged = plain.repartitionByRange(tasks, *_ORDER) if tasks else plain.repartitionByRange(*_ORDER)
+    ranges = stored(ranged.sortWithinPartitions(*_ORDER), "chunks", compression="zstd", **{"parquet.block.size": str(8 << 20)})
+
+    def place(uri: str) -> tuple[int, str]:
+        name = uri.rsplit("/", 1)[-1]  # part-<range>-<job>-c<number>
+        return int(name.split("-")[1]), name.rsplit("-", 1)[-1]
+
+    return sorted(ranges.inputFiles(), key=place)
+
+
+def _opened(uri: str) -> pq.ParquetFile:
+    store, path = pafs.FileSystem.from_uri(uri)
+    return pq.ParquetFile(store.open_input_file(path), pre_buffer=False)
+
+
+def _keys(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[str, str]]:
+    return zip(batch.column("book_id").to_pylist(), batch.column("path").to_pylist(), strict=True)
+
+
+def _last_key(uri: str) -> tuple[str, str] | None:
+    with _opened(uri) as f:
+        for group in reversed(range(f.num_row_groups)):
+            keys = f.read_row_group(group, columns=["book_id", "path"])
+            if keys.num_rows:
+                return next(_keys(keys.slice(keys.num_rows - 1)))
+    return None
+
+
+def files_of(ranges: list[str], at: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of the files that begin in range ``at``, to the end of the last one, in whichever range that is."""
+    before = next((key for uri in reversed(ranges[:at]) if (key := _last_key(uri))), None)
+    begun: tuple[str, str] | None = None
+    for k in range(at, len(ranges)):
+        with _opened(ranges[k]) as f:
+            for batch in f.iter_batches(4096):
+                if k > at:  # only what is left of the last file
+                    own = sum(1 for _ in itertools.takewhile(begun.__eq__, _keys(batch)))
+                    if own:
+                        yield batch.slice(0, own)
+                    if own < batch.num_rows:
+                        return
+                    continue
+                if begun is None:
+                    batch = batch.slice(sum(1 for _ in itertools.takewhile(lambda key: key == before, _keys(batch))))
+                if batch.num_rows:
+                    begun = next(_keys(batch.slice(batch.num_rows - 1)))
+                    yield batch
+        if begun is None:
+            return
+
+
+def digests(chunks: DataFrame, *, trim: bool = False, tasks: int | None = None) -> DataFrame:
+    """DIGESTS: hash and size of each file. With ``trim`` files end in one line feed and no other white space.
+
+    ``tasks`` is the number of ranges, the session's if it is not given."""
+    ranges = sorted_ranges(chunks, tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[str, str, str, int]] = []
-        for book, path, parts in files(batches, trim):
-            sha, size = hashlib.sha256(), 0
-            for part in parts:
-                sha.update(part)
-                size += len(part)
-            out.append((book, path, sha.hexdigest(), size))
+        for at in (x for batch in batches for x in batch.column(0).to_pylist()):
+            for book, path, parts in files(files_of(ranges, at), trim):
+                sha, size = hashlib.sha256(), 0
+                for part in parts:
+                    sha.update(part)
+                    size += len(part)
+                out.append((book, path, sha.hexdigest(), size))
         columns = list(zip(*out, strict=True)) or [(), (), (), ()]
         kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["book_id", "path", "sha256", "size_bytes"])
 
-    return dealt(chunks).mapInArrow(run, DIGESTS)
+    return chunks.sparkSession.range(0, len(ranges), 1, max(1, len(ranges))).mapInArrow(run, DIGESTS)

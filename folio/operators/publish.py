@@ -1,7 +1,11 @@
 """Publication: furniture dropped, notes numbered and moved to the end, continued paragraphs merged.
 
 Notes are numbered at page level from a running sum, so references are rewritten without a join;
-blocks are then exploded and continued paragraphs become islands. One exchange by book serves all.
+blocks are then exploded and continued paragraphs become islands.
+
+Content is dealt by stretches, pages of a book that follow each other, so no task needs a book's. What a book's
+windows see of a stretch is one small row (``placed``): its counts, and how its first block begins. Blocks that
+stand alone, nearly all, are output where they are; only pieces that go together are brought together.
 """
 
 from __future__ import annotations
@@ -21,18 +25,62 @@ def _blocks():
     return Window.partitionBy("book_id").orderBy("page_index", "pos")
 
 
-def _blocks_so_far():
-    return _blocks().rowsBetween(Window.unboundedPreceding, 0)
+#: Pages of a book that make a stretch, unless pages come with a column of that name.
+SPAN = 64
+_PLACES = ("_notes_before", "_opens_before", "_next_joins", "_opens", "_loose")
+
+
+def _stretch(*order: str):
+    return Window.partitionBy("stretch").orderBy(*order)
 
 
 def _blocks_before():
     return _blocks().rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _is_kept(b: Column) -> Column:
+    kept = ~((b["kind"] == "text") & b["role"].isin(*FURNITURE)) & ~((b["kind"] == "figure") & (F.coalesce(b["asset_sha256"], F.lit("")) == ""))
+    return F.coalesce(kept, F.lit(True))
+
+
+def _is_on(b: Column, name: str) -> Column:
+    return (b["kind"] == "text") & F.coalesce(b[name], F.lit(False))
+
+
+def placed(pages: DataFrame) -> DataFrame:
+    """Pages with stretch and what a book has outside it: _notes_before, _opens_before (paragraphs and other islands that
+    begin on earlier pages), _next_joins (whether the next block after it goes on with what stands before), and of the
+    whole book _opens and _loose (its first block goes on with nothing)."""
+    if "stretch" not in pages.columns:
+        pages = pages.withColumn("stretch", F.to_json(F.array(F.col("book_id").cast("string"), F.floor(F.col("page_index") / SPAN).cast("string"))))
+    body = F.filter("blocks", lambda b: _is_kept(b) & (b["kind"] != "footnote"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    joins = F.transform(body, lambda b: _is_on(b, "continues_previous"))
+    seen = pages.select("stretch", "book_id", "page_index", size(F.filter("blocks", lambda b: b["kind"] == "footnote")).alias("notes"), joins.alias("joins"))
+    seen = seen.select("stretch", "book_id", "page_index", "notes", size(F.filter("joins", lambda x: ~x)).alias("opens"), F.get("joins", F.lit(0)).alias("first"))
+    has = F.when(F.col("first").isNotNull(), F.col("page_index"))
+    totals = seen.groupBy("stretch", "book_id").agg(F.min("page_index").alias("start"), F.sum("notes").alias("notes"), F.sum("opens").alias("opens"), F.min_by("first", has).alias("first"))
+    book = Window.partitionBy("book_id").orderBy("start")
+    before = book.rowsBetween(Window.unboundedPreceding, -1)
+    places = totals.select(
+        "stretch",
+        "book_id",
+        F.coalesce(F.sum("notes").over(before), F.lit(0)).alias("_notes_before"),
+        F.coalesce(F.sum("opens").over(before), F.lit(0)).alias("_opens_before"),
+        F.expr("coalesce(lead(first) IGNORE NULLS OVER (PARTITION BY book_id ORDER BY start), false)").alias("_next_joins"),
+    )
+    books = totals.groupBy("book_id").agg(F.sum("opens").alias("_opens"), F.coalesce(F.min_by("first", F.when(F.col("first").isNotNull(), F.col("start"))), F.lit(False)).alias("_loose"))
+    whole = places.join(books.withColumnRenamed("book_id", "_book"), F.col("book_id").eqNullSafe(F.col("_book"))).drop("_book", "book_id")
+    return pages.join(whole, "stretch")
+
+
 def numbered_notes(pages: DataFrame) -> DataFrame:
     """Adds _labels (of the page's notes) and _base (notes on earlier pages)."""
     labels = F.transform(F.filter("blocks", lambda b: b["kind"] == "footnote"), lambda b: b["label"])
     step = pages.withColumn("_labels", labels)
+    if "_notes_before" in pages.columns:
+        inside = F.sum(F.size("_labels")).over(_stretch("page_index").rowsBetween(Window.unboundedPreceding, -1))
+        return step.withColumn("_base", F.col("_notes_before") + F.coalesce(inside, F.lit(0)))
     return step.withColumn("_base", F.coalesce(F.sum(F.size("_labels")).over(_pages().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
@@ -44,12 +92,12 @@ def _note_id(label: Column) -> Column:
 def raw_blocks(pages: DataFrame) -> DataFrame:
     """One row per block that publication keeps, references rewritten: is_note, note_id, content, flags, and
     unresolved (some reference has no note on its page) and bad_flag (continuation flags off a paragraph)."""
-    blocks = numbered_notes(pages).select("book_id", "page_index", "_labels", "_base", F.posexplode("blocks").alias("pos", "b"))
+    carried = ("stretch", *_PLACES) if "_notes_before" in pages.columns else ()
+    blocks = numbered_notes(pages).select("book_id", "page_index", *carried, "_labels", "_base", F.posexplode("blocks").alias("pos", "b"))
     kind, role = F.col("b.kind"), F.col("b.role")
-    kept = ~((kind == "text") & role.isin(*FURNITURE)) & ~((kind == "figure") & (F.coalesce("b.asset_sha256", F.lit("")) == ""))
     content = F.transform("b.content", lambda s: F.when(s["kind"] == "footnote_reference", F.struct(s["kind"].alias("kind"), _note_id(s["value"]).alias("value"))).otherwise(s))
-    on = lambda name: (kind == "text") & F.coalesce(F.col(f"b.{name}"), F.lit(False))
-    return blocks.filter(F.coalesce(kept, F.lit(True))).select(
+    on = lambda name: _is_on(F.col("b"), name)
+    return blocks.filter(_is_kept(F.col("b"))).select(
         "book_id",
         "page_index",
         "pos",
@@ -65,6 +113,7 @@ def raw_blocks(pages: DataFrame) -> DataFrame:
         on("continues_on_next_page").alias("continues_on_next_page"),
         (kind.isin("text", "footnote") & F.exists(F.coalesce(content, F.array().cast("array<struct<kind:string,value:string>>")), lambda s: (s["kind"] == "footnote_reference") & s["value"].isNull())).alias("unresolved"),
         ((on("continues_previous") | on("continues_on_next_page")) & (role != "paragraph")).alias("bad_flag"),
+        *carried,
     )
 
 
@@ -98,32 +147,33 @@ def publication_blocks(pages: DataFrame) -> DataFrame:
 
     book_id, publication_block_index, kind, role, content, heading_level, note_id, caption, asset_sha256,
     source_pages, source_block_ids. Books with errors are to be left out by the caller."""
-    raw = raw_blocks(pages)
+    raw = raw_blocks(placed(pages))
     is_note = F.col("kind") == "footnote"
     opens = (~F.col("continues_previous") & ~is_note).cast("int")
+    order = _stretch("page_index", "pos")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     # notes are islands of their own, counted apart so that they never part a paragraph
-    step = raw.withColumn("is_note", is_note).withColumn("_island", F.when(is_note, F.sum(is_note.cast("int")).over(_blocks_so_far())).otherwise(F.sum(opens).over(_blocks_so_far())))
-    item = F.struct("page_index", "pos", "kind", "role", "content", "heading_level", "note_id", "caption", "asset_sha256", "block_id")
-    merged = step.groupBy("book_id", "is_note", "_island").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    step = raw.withColumns({"is_note": is_note, "_joins": F.when(~is_note, F.col("continues_previous"))})
+    following = F.expr("lead(_joins) IGNORE NULLS OVER (PARTITION BY stretch ORDER BY page_index, pos)")
+    step = step.withColumns({
+        "_number": F.when(is_note, F.col("_notes_before") + F.sum(is_note.cast("int")).over(so_far)).otherwise(F.col("_opens_before") + F.sum(opens).over(so_far)),
+        "_following": F.coalesce(following, F.col("_next_joins")),
+    })
+    # the islands of a book's text, from 0 if its first block goes on with nothing, then its notes
+    loose = F.col("_loose").cast("int")
+    step = step.withColumn("publication_block_index", (F.col("_number") - 1 + loose + F.when(is_note, F.col("_opens")).otherwise(0)).cast("int"))
+    alone = F.col("is_note") | (~F.col("continues_previous") & ~F.col("_following"))
+    names = ("kind", "role", "content", "heading_level", "note_id", "caption", "asset_sha256")
+    single = step.filter(alone).select("book_id", "publication_block_index", *names, F.array("page_index").alias("source_pages"), F.array_compact(F.array("block_id")).alias("source_block_ids"))
+    item = F.struct("page_index", "pos", *names, "block_id")
+    merged = step.filter(~alone).groupBy("book_id", "publication_block_index").agg(F.sort_array(F.collect_list(item)).alias("items"))
     first = F.get("items", F.lit(0))
     rest = F.slice("items", F.lit(2), F.size("items"))
     content = F.aggregate(rest, first["content"], lambda a, x: T.merge_content(a, x["content"]))
     pages_of = F.array_distinct(F.transform("items", lambda x: x["page_index"]))
     ids = F.array_distinct(F.array_compact(F.transform("items", lambda x: x["block_id"])))
-    order = Window.partitionBy("book_id").orderBy("is_note", "_island")
-    return merged.select(
-        "book_id",
-        (F.row_number().over(order) - 1).alias("publication_block_index"),
-        first["kind"].alias("kind"),
-        first["role"].alias("role"),
-        content.alias("content"),
-        first["heading_level"].alias("heading_level"),
-        first["note_id"].alias("note_id"),
-        first["caption"].alias("caption"),
-        first["asset_sha256"].alias("asset_sha256"),
-        pages_of.alias("source_pages"),
-        ids.alias("source_block_ids"),
-    )
+    shown = [content.alias("content") if name == "content" else first[name].alias(name) for name in names]
+    return single.unionByName(merged.select("book_id", "publication_block_index", *shown, pages_of.alias("source_pages"), ids.alias("source_block_ids")))
 
 
 def publication_metadata(pages: DataFrame) -> DataFrame:

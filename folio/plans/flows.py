@@ -140,11 +140,11 @@ def canonical_chunks(blocks: DataFrame, metadata: DataFrame, include_toc: bool =
     return first.unionByName(lines).unionByName(last).withColumn("path", F.lit("publication.json"))
 
 
-def fingerprints(blocks: DataFrame, metadata: DataFrame, include_toc: bool = True, prefix: str = "document:") -> DataFrame:
+def fingerprints(blocks: DataFrame, metadata: DataFrame, include_toc: bool = True, prefix: str = "document:", tasks: int | None = None) -> DataFrame:
     """Per book: SHA-256 of the normalised canonical JSON, and a name-based URN over ``prefix`` and that hash.
 
     The JSON is hashed chunk by chunk and never stands in one row."""
-    sha = ordered.digests(canonical_chunks(blocks, metadata, include_toc)).select("book_id", F.col("sha256").alias("fingerprint"))
+    sha = ordered.digests(canonical_chunks(blocks, metadata, include_toc), tasks=tasks).select("book_id", F.col("sha256").alias("fingerprint"))
     return sha.withColumn("identifier", I.urn(I.uuid5(F.concat(F.lit(prefix), F.col("fingerprint")))))
 
 

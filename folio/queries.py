@@ -256,7 +256,7 @@ def accepted_prefix(spark, d):
 
 
 def _raw(spark, d) -> DataFrame:
-    return publish.raw_blocks(state.with_block_ids(C.document_pages(spark, d)))
+    return publish.raw_blocks(publish.placed(state.with_block_ids(C.document_pages(spark, d))))
 
 
 def _published(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -310,7 +310,7 @@ def markdown_digest(spark, d):
     """Hash and size of each book's text, joined chunk by chunk; no row holds a book."""
     pages = state.with_block_ids(C.document_pages(spark, d))
     text = markdown.chunks(publish.publication_blocks(pages), publish.publication_metadata(pages))
-    return ordered.digests(text, trim=True).select("book_id", "sha256", "size_bytes")
+    return ordered.digests(text, trim=True, tasks=C.document_tasks(spark, d)).select("book_id", "sha256", "size_bytes")
 
 
 @query
@@ -337,7 +337,7 @@ def canonical_json(spark, d):
 @query
 def publication_fingerprint(spark, d):
     pages = state.with_block_ids(C.document_pages(spark, d))
-    return flows.fingerprints(publish.publication_blocks(pages), publish.publication_metadata(pages)).select("book_id", "fingerprint")
+    return flows.fingerprints(publish.publication_blocks(pages), publish.publication_metadata(pages), tasks=C.document_tasks(spark, d)).select("book_id", "fingerprint")
 
 
 @query

@@ -3,6 +3,7 @@
 conversations: a conversation is a book, a turn a page. events: a user is a book, an event a page.
 documents: a source is a book, a document a page. Row numbers need one exchange by book each; that of
 events deals books over as many tasks as their rows call for, so a task's share does not grow with the table.
+Documents are numbered by their ids alone; their texts are dealt by document, never by book.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ _NO_ENTRIES = f"array<{TOC_ENTRY}>"
 _NO_BLOCKS = f"array<{BLOCK}>"
 
 
-def _page(frame: DataFrame, *, toc_entries: Column, blocks: Column, opening: Column | None = None, metadata: Column | None = None) -> DataFrame:
+def _page(frame: DataFrame, *more: str, toc_entries: Column, blocks: Column, opening: Column | None = None, metadata: Column | None = None) -> DataFrame:
     return frame.select(
         "book_id",
         "page_index",
@@ -56,6 +57,7 @@ def _page(frame: DataFrame, *, toc_entries: Column, blocks: Column, opening: Col
         (metadata if metadata is not None else F.lit(None)).cast(METADATA).alias("metadata"),
         toc_entries.cast(_NO_ENTRIES).alias("toc_entries"),
         blocks.cast(_NO_BLOCKS).alias("blocks"),
+        *more,
     )
 
 
@@ -88,9 +90,18 @@ def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROWS_A_TASK = 32_768
 
 
-def tasks_for(rows: DataFrame) -> int:
+#: Of documents that one task gets: some 2 KB of text each, which several sorts hold beside each other.
+DOCUMENTS_A_TASK = 8_192
+
+
+def tasks_for(rows: DataFrame, share: int | None = None) -> int:
     """As many tasks as the rows of a table need, one a core at least. Counting reads no column."""
-    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // (share or ROWS_A_TASK)))
+
+
+def document_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Not fewer than the session's partitions, as a join would deal the texts anew then."""
+    return max(tasks_for(load(spark, sf_dir, "documents"), DOCUMENTS_A_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,11 +154,17 @@ def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a document: a heading, paragraphs, an added reference and note, a figure, a separator.
 
-    The last paragraph of every third document goes on in the next one's first paragraph."""
+    The last paragraph of every third document goes on in the next one's first paragraph. ``stretch`` names the document,
+    rows that repeat it included; texts lie in tasks by it."""
     order = Window.partitionBy("source").orderBy("doc_id")
-    t = load(spark, sf_dir, "documents").withColumn("page_index", F.row_number().over(order) - 1).withColumn("on", F.col("doc_id") % 3 == 0)
-    t = t.withColumn("on_before", F.coalesce(F.lag("on").over(order), F.lit(False)))
-    t = t.select(F.col("source").alias("book_id"), "page_index", F.when(F.col("page_index") % 10 == 0, "chapter_opening").otherwise("body").alias("page_type"), "doc_id", "on", "on_before", lines_of(F.coalesce("text", F.lit(""))).alias("lines"))
+    t = load(spark, sf_dir, "documents").select("source", "doc_id", "text", F.to_json(F.array("source", F.col("doc_id").cast("string"))).alias("stretch"), F.xxhash64("text").alias("_tie"))
+    on = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
+    counted = t.groupBy("stretch", "source", "doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    places = counted.select("stretch", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"), F.coalesce(F.lag(on).over(order), F.lit(False)).alias("_on_first"))
+    t = t.repartition(document_tasks(spark, sf_dir), "stretch").join(places, "stretch")
+    copy = F.row_number().over(Window.partitionBy("stretch").orderBy("_tie"))
+    t = t.withColumn("_copy", copy).withColumns({"page_index": (F.col("_first") + F.col("_copy") - 1).cast("int"), "on": on, "on_before": F.when(F.col("_copy") == 1, F.col("_on_first")).otherwise(on)})
+    t = t.select("stretch", F.col("source").alias("book_id"), "page_index", F.when(F.col("page_index") % 10 == 0, "chapter_opening").otherwise("body").alias("page_type"), "doc_id", "on", "on_before", lines_of(F.coalesce("text", F.lit(""))).alias("lines"))
     label = (F.col("doc_id") % 2).cast("string")
     last = F.size("lines") - 1
     noted = F.col("doc_id") % 5 == 0
@@ -166,7 +183,7 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     quiet = ~F.col("on_before")
     blocks = F.concat(some(F.lit(True), title), some(quiet & (F.col("doc_id") % 7 == 0), figure), some(quiet & (F.col("doc_id") % 11 == 0), rule), F.transform("lines", line).cast(_NO_BLOCKS), some(noted & (F.size("lines") > 0), note))
     meta = F.struct(F.when(F.col("page_index") == 2, F.concat(F.lit("Source "), F.col("book_id"))).alias("title"), F.lit("").alias("subtitle"), F.when(F.col("page_index") == 3, F.array(F.lit("A. Author"), F.lit("B. Author"))).alias("authors"), F.lit("en").alias("language"))
-    return _page(t, toc_entries=F.array().cast(_NO_ENTRIES), blocks=blocks, metadata=meta)
+    return _page(t, "stretch", toc_entries=F.array().cast(_NO_ENTRIES), blocks=blocks, metadata=meta)
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,10 +28,10 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
+def stored(df: DataFrame, kind: str, **options: str) -> DataFrame:
     """Written once and read back: what is read twice is computed once, and survives lost executors."""
     path = new_folder(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
