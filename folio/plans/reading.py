@@ -26,6 +26,7 @@ from folio.operators.state import EXPECTED_ENTRIES, RECENT_HEADINGS, TAIL_CHARS
 from folio.streaming.reducer import START, apply_page
 
 _BATCH = 64  # pages that go to the interpreter at once
+_ROWS = 1024  # rows that go back to Spark at once
 _KNOWN = "book_id string, state_json string, toc_json string"
 
 
@@ -75,6 +76,10 @@ class Book:
         self.toc += apply_page(self.state, self.headings, page)
 
 
+def _missing(value: object) -> bool:
+    return value is None or value != value
+
+
 def _stored(snapshots: DataFrame) -> DataFrame:
     """Snapshots (scan.SNAPSHOT) as the tasks read them."""
     s, part = F.col("state"), F.col("state.section")
@@ -100,46 +105,58 @@ def interpreted(raw: DataFrame, name: str, snapshots: DataFrame | None = None, b
         known = raw.join(first.join(_stored(snapshots), "book_id"), ["book_id", "page_index"], "left")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        books: dict[str, Book] = {}
-
-        def answered(pages: pd.DataFrame) -> pd.DataFrame:
-            again = pages["book_id"].duplicated()
-            if again.any():  # a page that is given twice: its book has gone on by then
-                return pd.concat([answered(pages[~again]), answered(pages[again])])
-            pages = pages.reset_index(drop=True)
-            for row in pages[pages["state_json"].notna()].itertuples(index=False):
-                state = json.loads(row.state_json)
-                recent = [(h["level"], h["text"], h["page_index"]) for h in state.pop("recent") or []]
-                books[row.book_id] = Book(state, recent, json.loads(row.toc_json))
-            mine = [books.setdefault(b, Book()) for b in pages["book_id"]]
-            for book, page in zip(mine, pages["page_index"], strict=True):
-                book.stopped |= book.state["pages"] != page
-            asked = pd.Series([not book.stopped for book in mine], dtype=bool)
-            context = pd.Series([book.context() if ok else None for book, ok in zip(mine, asked, strict=True)], dtype=object)
-            out = pd.DataFrame({"book_id": pages["book_id"], "page_index": pages["page_index"], "context": context, "response": pd.Series([None] * len(pages), dtype=object)})
-            if asked.any():
-                given = pages.loc[asked, ["book_id", "page_index", "content"]].assign(context=context[asked])
-                out.loc[asked, "response"] = call(given)
-            for at, book in enumerate(mine):
-                if asked[at]:
-                    book.take(int(pages["page_index"][at]), out["response"][at])
-            return out
-
-        waiting: list[pd.DataFrame] = []
+        books: dict[str | None, Book] = {}
+        done: list[tuple] = []
+
+        def answered(pages: list[tuple]) -> None:
+            seen: set[str | None] = set()
+            again = [page for page in pages if page[0] in seen or seen.add(page[0])]
+            if again:  # a page that is given twice: its book has gone on by then
+                kept: set[str | None] = set()
+                answered([page for page in pages if not (page[0] in kept or kept.add(page[0]))])
+                answered(again)
+                return
+            asked: list[tuple] = []
+            for book_id, page_index, content, state_json, toc_json in pages:
+                if not _missing(state_json):
+                    state = json.loads(state_json)
+                    recent = [(h["level"], h["text"], h["page_index"]) for h in state.pop("recent") or []]
+                    books[book_id] = Book(state, recent, json.loads(toc_json))
+                book = books.setdefault(book_id, Book())
+                book.stopped |= book.state["pages"] != page_index
+                if not book.stopped:
+                    asked.append((book_id, page_index, content, book.context()))
+            responses: dict[str | None, tuple[str, str | None]] = {}
+            if asked:
+                given = pd.DataFrame(asked, columns=["book_id", "page_index", "content", "context"])
+                answer = call(given)
+                values = (answer.reindex(given.index) if isinstance(answer, pd.Series) else pd.Series(answer)).tolist()
+                for (book_id, page_index, _, context), value in zip(asked, values, strict=True):
+                    response = None if _missing(value) else value
+                    books[book_id].take(int(page_index), response)
+                    responses[book_id] = context, response
+            done.extend((page[0], page[1], *responses.get(page[0], (None, None))) for page in pages)
+
+        def out() -> pd.DataFrame:
+            frame = pd.DataFrame(done, columns=["book_id", "page_index", "context", "response"])
+            done.clear()
+            return frame
+
+        waiting: list[tuple] = []
         for frame in frames:
+            columns = [frame[name].tolist() for name in ("book_id", "page_index", "content", "state_json", "toc_json")]
             # pages of one number are one batch; a batch is also cut where it is full
-            for _, part in frame.groupby(frame["page_index"].ne(frame["page_index"].shift()).cumsum(), sort=False):
-                if waiting and waiting[-1]["page_index"].iloc[-1] != part["page_index"].iloc[0]:
-                    yield answered(pd.concat(waiting))
+            for book_id, *page in zip(*columns, strict=True):
+                if waiting and (waiting[-1][1] != page[0] or len(waiting) >= batch):
+                    answered(waiting)
                     waiting = []
-                waiting.append(part)
-                held = pd.concat(waiting)
-                while len(held) >= batch:
-                    yield answered(held.iloc[:batch])
-                    held = held.iloc[batch:]
-                waiting = [held] if len(held) else []
+                    if len(done) >= _ROWS:
+                        yield out()
+                waiting.append((None if _missing(book_id) else book_id, *page))
         if waiting:
-            yield answered(pd.concat(waiting))
+            answered(waiting)
+        if done:
+            yield out()
 
     dealt = known.select("book_id", F.col("page_index").cast("int").alias("page_index"), "content", "state_json", "toc_json").repartition("book_id").sortWithinPartitions("page_index", "book_id")
     return dealt.mapInPandas(read, "book_id string, page_index int, context string, response string")

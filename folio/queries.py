@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -700,7 +701,7 @@ def _labelling(pages):
         page["printed_page_label"] = "/".join(str(known[k]) for k in ("toc_status", "current_section_title", "open_paragraph_tail", "previous_page_type")) + f"/{len(known['current_section_headings'] or [])}"
         return json.dumps(page)
 
-    return pages.apply(lambda r: one(r["content"], r["context"]), axis=1)
+    return pd.Series([one(content, context) for content, context in zip(pages["content"], pages["context"], strict=True)], index=pages.index, dtype=object)
 
 
 @query

@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,14 @@ def test_books_stop_where_their_order_or_a_response_breaks(spark):
         ("a", 0, True), ("a", 2, False), ("b", 1, False), ("c", 0, True), ("c", 1, True), ("c", 2, False), ("d", 0, False), ("d", 0, True), ("d", 1, False), ("e", 0, True), ("e", 1, False), ("f", 0, True), ("f", 1, True),
     ]
     assert reading.interpreted(spark.createDataFrame([], RAW), "as-given").count() == 0
+
+
+@flows.register("unindexed")
+def _unindexed(pages):
+    return pd.Series([json.dumps({"page_type": "body", "printed_page_label": x}) for x in pages["content"]])
+
+
+def test_responses_belong_to_the_pages_that_were_asked(spark):
+    raw = spark.createDataFrame([("a", 1, "a1"), ("b", 0, "b0"), ("b", 1, "b1")], RAW).coalesce(1)
+    got = {(r.book_id, r.page_index): r.response and json.loads(r.response)["printed_page_label"] for r in reading.interpreted(raw, "unindexed").collect()}
+    assert got == {("a", 1): None, ("b", 0): "b0", ("b", 1): "b1"}
