@@ -143,8 +143,17 @@ def _summary() -> Column:
     return F.struct(*_FIELDS)
 
 
-def scan(pages: DataFrame, snapshots: DataFrame | None = None, span: int = SPAN) -> DataFrame:
-    """book_id, page_index, before and state of each page. ``snapshots`` (book_id, state) say where books stand before these pages."""
+def dealt_join(left: DataFrame, right: DataFrame, tasks: int | None, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join over so many tasks, or the session's. Both sides are dealt, as the planner would take the number of the side that is not."""
+    if tasks:
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+    return left.join(right, keys, how)
+
+
+def scan(pages: DataFrame, snapshots: DataFrame | None = None, span: int = SPAN, tasks: int | None = None) -> DataFrame:
+    """book_id, page_index, before and state of each page. ``snapshots`` (book_id, state) say where books stand before these pages.
+
+    ``tasks``: over how many the joins by page and range are dealt, for tables that call for more than the session's partitions."""
     ranged = page_summaries(pages).withColumn("_range", F.floor(F.col("start") / span).cast("int"))
     local = prefixed(ranged, "book_id", "_range").select("book_id", "_range", "start", _summary().alias("s"))
     # the last prefix of a range is its total
@@ -157,7 +166,7 @@ def scan(pages: DataFrame, snapshots: DataFrame | None = None, span: int = SPAN)
         start = F.coalesce("_stored", initial())
     carried = earlier.select("book_id", "_range", start.alias("_start"), "e").select("book_id", "_range", applied(F.col("_start"), F.col("e")).alias("carry"))
     # a left join, as an inner one would filter one side for nulls and so keep both from sharing an exchange
-    after = local.join(carried, ["book_id", "_range"], "left").select("book_id", "_range", "start", "carry", applied(F.col("carry"), F.col("s")).alias("state"))
+    after = dealt_join(local, carried, tasks, ["book_id", "_range"], "left").select("book_id", "_range", "start", "carry", applied(F.col("carry"), F.col("s")).alias("state"))
     here = Window.partitionBy("book_id", "_range").orderBy("start")
     return after.select("book_id", F.col("start").alias("page_index"), F.coalesce(F.lag("state").over(here), F.col("carry")).alias("before"), "state")
 
@@ -181,12 +190,12 @@ def snapshot(pages: DataFrame, states: DataFrame, snapshots: DataFrame | None =
     return now.unionByName(snapshots.select("book_id", "state", "toc").join(now.select("book_id"), "book_id", "left_anti"))
 
 
-def with_state(pages: DataFrame, snapshots: DataFrame | None = None, span: int = SPAN) -> DataFrame:
+def with_state(pages: DataFrame, snapshots: DataFrame | None = None, span: int = SPAN, tasks: int | None = None) -> DataFrame:
     """Pages with before and state, the fields that rules and contexts read, and expected_entries: the
     TOC entries that openings from this page on are held against, three at most."""
-    states = scan(pages, snapshots, span)
+    states = scan(pages, snapshots, span, tasks)
     tocs = collected(pages, states, snapshots)
-    joined = pages.join(states, ["book_id", "page_index"]).join(tocs, "book_id", "left")
+    joined = dealt_join(dealt_join(pages, states, tasks, ["book_id", "page_index"]), tocs, tasks, ["book_id"], "left")
     was, now = F.col("before"), F.col("state")
     none = F.array().cast(f"array<{TOC_ENTRY}>")
     # entries past the page's own are not known yet; slices of the book's list are all that rows keep

@@ -128,10 +128,10 @@ def first_violation(found: DataFrame) -> DataFrame:
     return found.groupBy("book_id").agg(best.alias("v")).select("book_id", "v.page_index", "v.code")
 
 
-def accepted_prefix(pages: DataFrame, found: DataFrame) -> DataFrame:
+def accepted_prefix(pages: DataFrame, found: DataFrame, tasks: int | None = None) -> DataFrame:
     """The pages before each book's first violation, for violations that are stored already."""
     stops = first_violation(found).select("book_id", F.col("page_index").alias("_stop"))
-    return pages.join(stops, "book_id", "left").filter(F.col("_stop").isNull() | (F.col("page_index") < F.col("_stop"))).drop("_stop")
+    return scan.dealt_join(pages, stops, tasks, ["book_id"], "left").filter(F.col("_stop").isNull() | (F.col("page_index") < F.col("_stop"))).drop("_stop")
 
 
 def unresolved_references(blocks: DataFrame) -> DataFrame:

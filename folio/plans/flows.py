@@ -76,21 +76,21 @@ def page_range(pages: DataFrame, *, processed: int | Column = 0, through_page: i
     return kept if end is None else kept.filter(F.col("page_index") < end)
 
 
-def ingest(pages: DataFrame, *, whole_books: bool = True, page_counts: DataFrame | None = None, snapshots: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+def ingest(pages: DataFrame, *, whole_books: bool = True, page_counts: DataFrame | None = None, snapshots: DataFrame | None = None, tasks: int | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """Accepted pages, and the violation at which each other book stopped.
 
     ``snapshots`` say where books stand before these pages, so earlier ones need not be given. States and verdicts
-    are computed once, by ranges of pages, and stored; a book's stop is a minimum over its pages."""
-    accepted, stops, _ = ingested(pages, whole_books=whole_books, page_counts=page_counts, snapshots=snapshots, **options)
+    are computed once, by ranges of pages, and stored; a book's stop is a minimum over its pages. ``tasks`` as in ``scan.scan``."""
+    accepted, stops, _ = ingested(pages, whole_books=whole_books, page_counts=page_counts, snapshots=snapshots, tasks=tasks, **options)
     return accepted.select(*pages.columns), stops
 
 
-def ingested(pages: DataFrame, *, whole_books: bool = True, page_counts: DataFrame | None = None, snapshots: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingested(pages: DataFrame, *, whole_books: bool = True, page_counts: DataFrame | None = None, snapshots: DataFrame | None = None, tasks: int | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """As ``ingest``, the accepted pages with before and state, and the snapshots after them."""
-    states = scan.with_state(state.with_block_ids(pages), snapshots)
+    states = scan.with_state(state.with_block_ids(pages), snapshots, tasks=tasks)
     checked = stored(validate.with_failed(states, whole_books, page_counts, **options), "checked")
     found = stored(validate.failures(checked), "violations")
-    accepted = validate.accepted_prefix(checked.drop("_failed"), found)
+    accepted = validate.accepted_prefix(checked.drop("_failed"), found, tasks)
     return accepted, validate.first_violation(found), scan.snapshot(accepted, accepted, snapshots)
 
 

@@ -574,7 +574,7 @@ def rejected_pages_stop(spark, d):
     """Books whose third page has a text that is rejected: what is accepted, and the stop."""
     text = F.when(F.col("page_index") == 2, "{").otherwise('{"page_type":"figure_page"}')
     pages = wire.to_domain(wire.parsed(C.event_rows(spark, d).select("book_id", "page_index", text.alias("response")), "response"), "book_id", "page_index", rejected=True)
-    kept, stops = flows.ingest(pages.drop("warnings"))
+    kept, stops = flows.ingest(pages.drop("warnings"), tasks=C.event_tasks(spark, d))
     counts = kept.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_pages"))
     return counts.join(stops, "book_id", "left").select("book_id", "n_pages", F.col("page_index").alias("stop"), "code")
 
@@ -665,7 +665,7 @@ def snapshot_context(spark, d):
     head = F.col("page_index") < 3 + F.col("book_id").cast("long") % 9
     old = pages.filter(head)
     snapshots = stored(scan.snapshot(old, scan.scan(old)), "snapshots")
-    c = scan.page_context(scan.with_state(pages.filter(~head), snapshots))
+    c = scan.page_context(scan.with_state(pages.filter(~head), snapshots, tasks=C.event_tasks(spark, d)))
     titles = F.array_join(F.transform("expected_toc_entries", lambda e: e["title"]), "|")
     return c.select("book_id", "page_index", "book_title", "toc_status", titles.alias("expected"), "current_section_title", "open_paragraph_tail", "previous_page_type", F.size(F.coalesce("current_section_headings", F.array().cast("array<struct<level:int,text:string,page_index:int>>"))).alias("n_headings"))
 

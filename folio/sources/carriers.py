@@ -104,6 +104,11 @@ def document_tasks(spark: SparkSession, sf_dir: str) -> int:
     return max(tasks_for(load(spark, sf_dir, "documents"), DOCUMENTS_A_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def event_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Not fewer than the session's partitions, as a join would deal the pages anew then."""
+    return max(tasks_for(load(spark, sf_dir, "events")), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_id, page_index, page_type, event_id, text, continues_on, continues_previous, value."""
     order = Window.partitionBy("book_id").orderBy("ts", "event_id")  # the key that all later windows use
