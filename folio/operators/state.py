@@ -39,16 +39,15 @@ def blocks_of(pages: DataFrame) -> DataFrame:
     return pages.select("book_id", "page_index", "page_type", F.posexplode("blocks").alias("pos", "b")).select("book_id", "page_index", "page_type", "pos", "b.*")
 
 
-def toc_columns(pages: DataFrame) -> DataFrame:
-    """Adds toc_status and toc after each page, toc_status_before (with a TOC that ended finalised),
-    next_expected_opening_index after each page, previous_page_type and processed_page_count."""
+def _toc_steps(pages: DataFrame, n_entries: Column) -> DataFrame:
+    """Adds toc_status, toc_status_before, _run (the page's entries are the TOC's) and _matched (an opening that counts). Page types and numbers of entries are all that it reads."""
     is_toc = F.col("page_type") == "toc"
     p = F.col("page_index")
     step = pages.withColumn("_ft", F.min(F.when(is_toc, p)).over(_book())).withColumn("_fc", F.min(F.when(F.col("page_type").isin("chapter_opening", "body"), p)).over(_book()))
     step = step.withColumn("_ok", F.col("_ft").isNotNull() & (F.col("_fc").isNull() | (F.col("_ft") < F.col("_fc"))))
     step = step.withColumn("_fn", F.min(F.when(F.col("_ok") & (p > F.col("_ft")) & ~is_toc, p)).over(_book()))
     in_run = F.col("_ok") & (p >= F.col("_ft")) & (F.col("_fn").isNull() | (p < F.col("_fn")))
-    step = step.withColumn("_run", in_run).withColumn("_total", F.sum(F.when(F.col("_run"), F.size("toc_entries")).otherwise(0)).over(_book()))
+    step = step.withColumn("_run", in_run).withColumn("_total", F.sum(F.when(F.col("_run"), n_entries).otherwise(0)).over(_book()))
     ended = F.when(F.col("_total") > 0, "committed").otherwise("absent")
     status = (
         F.when(F.col("_ok"), F.when(p < F.col("_ft"), "not_seen").when(F.col("_run"), "collecting").otherwise(ended))
@@ -59,18 +58,54 @@ def toc_columns(pages: DataFrame) -> DataFrame:
     before = F.coalesce(F.lag("toc_status").over(_order()), F.lit("not_seen"))
     step = step.withColumn("toc_status_before", F.when((before == "collecting") & ~is_toc, ended).otherwise(before))
     opens = (F.col("page_type") == "chapter_opening") & (F.col("toc_status") == "committed")
-    return step.select(
+    return step.withColumn("_matched", opens).drop("_ft", "_fc", "_ok", "_fn", "_total")
+
+
+def toc_columns(pages: DataFrame) -> DataFrame:
+    """Adds toc_status and toc after each page, toc_status_before (with a TOC that ended finalised),
+    next_expected_opening_index after each page, previous_page_type and processed_page_count."""
+    return _toc_steps(pages, F.size("toc_entries")).select(
         *pages.columns,
         "toc_status",
         "toc_status_before",
         F.flatten(F.collect_list(F.when(F.col("_run"), F.col("toc_entries"))).over(_so_far())).alias("toc"),
-        F.sum(opens.cast("int")).over(_so_far()).cast("int").alias("next_expected_opening_index"),
-        opens.alias("_matched"),
+        F.sum(F.col("_matched").cast("int")).over(_so_far()).cast("int").alias("next_expected_opening_index"),
+        "_matched",
         F.lag("page_type").over(_order()).alias("previous_page_type"),
-        (p + 1).alias("processed_page_count"),
+        (F.col("page_index") + 1).alias("processed_page_count"),
     )
 
 
+def counted(pages: DataFrame) -> DataFrame:
+    """The state that rules are held against, as flags and numbers: no list of the state, however long, is in a row.
+
+    Needs _n_entries and _open (whether the page's last paragraph goes on; null where that says nothing). Adds
+    toc_status, toc_status_before, _run, n_toc_before and n_toc, next_before and next_after, open_before and open_after."""
+    chapter = F.coalesce(F.col("page_type") == "chapter_opening", F.lit(False))
+    step = _toc_steps(pages, F.col("_n_entries"))
+    so_far, before = _so_far(), _order().rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda x, over: F.coalesce(F.sum(x).over(over), F.lit(0)).cast("int")
+    entries, matched = F.when(F.col("_run"), F.col("_n_entries")).otherwise(0), F.col("_matched").cast("int")
+    # an opening begins a section without a paragraph; before the first one there is none
+    tail = F.when(chapter, F.coalesce("_open", F.lit(False))).otherwise(F.col("_open"))
+    is_open = lambda over: F.coalesce(F.max(chapter).over(over) & F.last(tail, ignorenulls=True).over(over), F.lit(False))
+    return step.withColumns({
+        "n_toc_before": total(entries, before), "n_toc": total(entries, so_far), "next_before": total(matched, before), "next_after": total(matched, so_far),
+        "open_before": is_open(before), "open_after": is_open(so_far),
+    }).drop("_matched")
+
+
+def with_expected_title(pages: DataFrame, asks: Column) -> DataFrame:
+    """Adds expected_title where ``asks``: the TOC's title at next_before (needs ``counted`` and _titles).
+
+    Entries are rows beside the pages for this, parted by book and place, so it takes no list of a TOC at each page."""
+    of_page = F.array(F.struct(F.lit(True).alias("page"), F.when(asks, F.col("next_before")).alias("place"), F.lit(None).cast("string").alias("title")))
+    of_entries = F.transform("_titles", lambda title, i: F.struct(F.lit(False).alias("page"), (F.col("n_toc_before") + i).alias("place"), title.alias("title")))
+    rows = pages.withColumn("_row", F.explode(F.when(F.col("_run") & F.col("_titles").isNotNull(), F.concat(of_page, of_entries)).otherwise(of_page)))
+    rows = rows.withColumns({"_page": F.col("_row.page"), "_place": F.col("_row.place"), "_title": F.col("_row.title")}).drop("_row", "_titles", "_run")
+    return rows.withColumn("expected_title", F.max("_title").over(Window.partitionBy("book_id", "_place"))).filter("_page").drop("_page", "_place", "_title")
+
+
 def section_columns(pages: DataFrame) -> DataFrame:
     """Adds the current section after each page (needs ``toc_columns``)."""
     chapter = F.col("page_type") == "chapter_opening"

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators import scan
+from folio.operators import scan, state
 from folio.operators.state import texts
 
 
@@ -23,70 +23,91 @@ def _previous_jump(levels: Column) -> Column:
     return F.exists(F.transform(levels, lambda x, i: x > F.get(levels, i - 1) + 1), lambda jump: F.coalesce(jump, F.lit(False)))
 
 
-def rules(same_page_footnotes: bool = True, figure_crops: bool = True, exact_titles: bool = True) -> list[tuple[str, Column]]:
-    """(code, fails) in order of evaluation, over pages with ``with_state`` and the columns before."""
+def _facts() -> dict[str, Column]:
+    """What rules and state read of a page alone, as flags, numbers and titles. They are taken before any window, so that no window or sort carries blocks."""
     blocks = F.col("blocks")
     toc, chapter = F.col("page_type") == "toc", F.col("page_type") == "chapter_opening"
     entries = F.col("toc_entries")
     titles, paragraphs = texts(blocks, "chapter_title"), texts(blocks, "paragraph")
     observed = F.coalesce(F.col("opening.title"), T.run_text(F.try_element_at(titles, F.lit(1))["content"]), F.lit(""))
-    committed = F.col("toc_status_before") == "committed"
-    compared = chapter & committed  # exact titles go through Python, so only these do
-    index = F.col("next_before")
-    expected = F.col("expected_title")
     levels = F.transform(F.filter(texts(blocks, "heading"), lambda b: b["heading_level"].isNotNull()), lambda b: b["heading_level"])
-    open_tail = T.non_empty(F.col("tail_before"))
     is_on = lambda name: lambda b: F.coalesce(b[name], F.lit(False))
     continuing, closing = F.filter(paragraphs, is_on("continues_previous")), F.filter(paragraphs, is_on("continues_on_next_page"))
     first_on, last_on = is_on("continues_previous")(F.get(paragraphs, F.lit(0))), is_on("continues_on_next_page")(F.try_element_at(paragraphs, F.lit(-1)))
+    last = F.try_element_at(paragraphs, F.lit(-1))
     notes = F.transform(F.filter(blocks, lambda b: b["kind"] == "footnote"), lambda b: b["label"])
     refs = F.flatten(F.transform(F.filter(blocks, lambda b: b["kind"] == "text"), lambda b: F.transform(F.filter(b["content"], lambda s: s["kind"] == "footnote_reference"), lambda s: s["value"])))
     bare_figure = F.exists(blocks, lambda b: (b["kind"] == "figure") & b["bbox"].isNull())
+    return {
+        "_n_entries": F.size(entries),
+        "_titles": F.when(toc, F.transform(entries, lambda e: e["title"])),
+        "_observed": F.when(chapter, observed),
+        "_open": F.when(~toc & last.isNotNull(), last_on & T.non_empty(T.state_text(last["content"]))),
+        "_n_continuing": F.size(continuing),
+        "_no_entries": toc & (F.size(entries) == 0),
+        "_bad_entries": toc & (F.exists(entries, lambda e: T.strip(e["title"]) == "") | _previous_jump(F.transform(entries, lambda e: e["level"]))),
+        "_untitled": chapter & (observed == "") & F.col("opening").isNull(),
+        "_many_titles": chapter & (F.size(titles) > 1),
+        "_jump": _previous_jump(levels),
+        "_bad_layout": (F.size(continuing) > 1) | ((F.size(continuing) > 0) & ~first_on) | (F.size(closing) > 1) | ((F.size(closing) > 0) & ~last_on),
+        "_doubled": F.size(F.array_distinct(notes)) < F.size(notes),
+        "_unresolved": F.size(F.array_except(refs, notes)) > 0,
+        "_orphan": F.size(F.array_except(notes, refs)) > 0,
+        "_bare_figure": bare_figure & (F.col("page_type") != "figure_page"),
+    }
+
+
+def _compared() -> Column:
+    """Pages whose title is held against the TOC's. Exact titles go through Python, so only these do."""
+    return (F.col("page_type") == "chapter_opening") & (F.col("toc_status_before") == "committed")
+
+
+def rules(same_page_footnotes: bool = True, figure_crops: bool = True, exact_titles: bool = True) -> list[tuple[str, Column]]:
+    """(code, fails) in order of evaluation, over pages with ``_facts`` and the columns of ``with_state_before``."""
+    toc, chapter, compared = F.col("page_type") == "toc", F.col("page_type") == "chapter_opening", _compared()
+    observed, expected = F.col("_observed"), F.col("expected_title")
+    is_open, continuing = F.col("open_before"), F.col("_n_continuing")
     out = [
         ("unexpected-toc", toc & F.col("toc_status_before").isin("committed", "absent")),
-        ("invalid-toc-hierarchy", toc & (F.size(entries) == 0)),
-        ("invalid-toc-hierarchy", toc & (F.exists(entries, lambda e: T.strip(e["title"]) == "") | _previous_jump(F.transform(entries, lambda e: e["level"])))),
-        ("missing-chapter-title", chapter & (observed == "") & F.col("opening").isNull()),
-        ("multiple-chapter-titles", chapter & (F.size(titles) > 1)),
-        ("unexpected-chapter", chapter & committed & (index >= F.col("n_toc_before"))),
+        ("invalid-toc-hierarchy", F.col("_no_entries")),
+        ("invalid-toc-hierarchy", F.col("_bad_entries")),
+        ("missing-chapter-title", F.col("_untitled")),
+        ("multiple-chapter-titles", F.col("_many_titles")),
+        ("unexpected-chapter", compared & (F.col("next_before") >= F.col("n_toc_before"))),
         ("toc-chapter-mismatch", compared & (T.normalized_title(F.when(compared, observed), exact_titles) != T.normalized_title(F.when(compared, expected), exact_titles))),
-        ("heading-level-jump", _previous_jump(levels)),
-        ("unclosed-paragraph", chapter & open_tail),
-        ("missing-continuation", open_tail & (F.size(continuing) == 0)),
-        ("continuation-without-source", ~open_tail & (F.size(continuing) > 0)),
-        ("invalid-continuation-layout", (F.size(continuing) > 1) | ((F.size(continuing) > 0) & ~first_on) | (F.size(closing) > 1) | ((F.size(closing) > 0) & ~last_on)),
+        ("heading-level-jump", F.col("_jump")),
+        ("unclosed-paragraph", chapter & is_open),
+        ("missing-continuation", is_open & (continuing == 0)),
+        ("continuation-without-source", ~is_open & (continuing > 0)),
+        ("invalid-continuation-layout", F.col("_bad_layout")),
     ]
     if same_page_footnotes:
-        out += [
-            ("duplicate-footnote-label", F.size(F.array_distinct(notes)) < F.size(notes)),
-            ("unresolved-footnote", F.size(F.array_except(refs, notes)) > 0),
-            ("orphan-footnote", F.size(F.array_except(notes, refs)) > 0),
-        ]
+        out += [("duplicate-footnote-label", F.col("_doubled")), ("unresolved-footnote", F.col("_unresolved")), ("orphan-footnote", F.col("_orphan"))]
     if figure_crops:
-        out.append(("figure-crop-unavailable", bare_figure & (F.col("page_type") != "figure_page")))
+        out.append(("figure-crop-unavailable", F.col("_bare_figure")))
     return out
 
 
-def with_state_before(states: DataFrame) -> DataFrame:
-    """Adds what the rules read of the state before each page, from windows (``state.with_state``) or a scan (``scan.with_state``)."""
-    if "before" in states.columns:
+def with_state_before(pages: DataFrame) -> DataFrame:
+    """Adds what the rules read of the state before each page, and _last, whether it is its book's last: from a scan (``scan.with_state``)
+    where there is one, or by windows over all of the book's pages, which carry facts instead of pages and lists."""
+    if "before" in pages.columns:
         was = F.col("before")
-        return states.withColumns({"n_toc_before": was["n_toc"], "next_before": was["next_expected_opening_index"], "expected_title": F.get("expected_entries", F.lit(0))["title"], "tail_before": scan.open_tail(was)})
-    toc, following = F.lag("toc").over(_order()), F.coalesce(F.lag("next_expected_opening_index").over(_order()), F.lit(0))
-    step = states.withColumns({"_toc_before": toc, "next_before": following, "tail_before": F.lag("section").over(_order())["open_paragraph_tail"]})
-    return step.withColumns({"n_toc_before": F.coalesce(F.size("_toc_before"), F.lit(0)), "expected_title": F.get("_toc_before", F.col("next_before"))["title"]}).drop("_toc_before")
+        known = {"n_toc_before": was["n_toc"], "next_before": was["next_expected_opening_index"], "expected_title": F.get("expected_entries", F.lit(0))["title"], "open_before": T.non_empty(scan.open_tail(was))}
+        known |= {"next_after": F.col("next_expected_opening_index"), "open_after": T.non_empty(scan.open_tail(F.col("state")))}
+        return pages.withColumns(known).withColumn("_last", F.lead("page_index").over(_order()).isNull())
+    step = state.counted(pages).withColumn("_last", F.lead("page_index").over(_order()).isNull())
+    return state.with_expected_title(step, _compared())
 
 
-def _ends(states: DataFrame, last: Column, rank: int) -> list[Column]:
+def _ends(last: Column, rank: int) -> list[Column]:
     """The rules of a book's last page."""
-    scanned = "before" in states.columns
-    n_toc, tail = (F.col("n_toc"), scan.open_tail(F.col("state"))) if scanned else (F.size("toc"), F.col("section.open_paragraph_tail"))
-    ends = (("toc-not-exhausted", (F.col("toc_status") == "committed") & (F.col("next_expected_opening_index") < n_toc)), ("unclosed-paragraph", T.non_empty(tail)))
+    ends = (("toc-not-exhausted", (F.col("toc_status") == "committed") & (F.col("next_after") < F.col("n_toc"))), ("unclosed-paragraph", F.col("open_after")))
     return [F.when(last & F.coalesce(fails, F.lit(False)), F.struct(F.lit(rank + k).alias("rule_rank"), F.lit(code).alias("code"))) for k, (code, fails) in enumerate(ends)]
 
 
 def with_failed(states: DataFrame, whole_books: bool = False, page_counts: DataFrame | None = None, **options) -> DataFrame:
-    """Adds _failed, the (rule_rank, code) of each rule that fails on the page, in order.
+    """Adds _failed, the (rule_rank, code) of each rule that fails on the page, in order, to pages or to pages with a state.
 
     The rules of a book's end hold on its last page: with ``page_counts`` (book_id, page_count) that is the
     page with that number, and a book without a count has no end yet; with ``whole_books`` it is the last page there is."""
@@ -94,19 +115,18 @@ def with_failed(states: DataFrame, whole_books: bool = False, page_counts: DataF
     failed = [F.when(F.coalesce(fails, F.lit(False)), F.struct(F.lit(rank).alias("rule_rank"), F.lit(code).alias("code"))) for rank, (code, fails) in enumerate(table)]
     if "wire_error" in states.columns:  # a page that was rejected when it was read comes before every rule
         failed.insert(0, F.when(F.col("wire_error").isNotNull(), F.struct(F.lit(-1).alias("rule_rank"), F.col("wire_error").alias("code"))))
-    pages = with_state_before(states)
+    pages = with_state_before(states.withColumns(_facts()))
     if page_counts is not None:
         pages = pages.join(page_counts.select("book_id", F.col("page_count").alias("_count")), "book_id", "left")
-        failed += _ends(states, F.coalesce(F.col("page_index") + 1 == F.col("_count"), F.lit(False)), len(table))
+        failed += _ends(F.coalesce(F.col("page_index") + 1 == F.col("_count"), F.lit(False)), len(table))
     elif whole_books:
-        pages = pages.withColumn("_last", F.lead("page_index").over(_order()).isNull())
-        failed += _ends(states, F.col("_last"), len(table))
-    return pages.withColumn("_failed", F.array_compact(F.array(*failed)))
+        failed += _ends(F.col("_last"), len(table))
+    return pages.withColumn("_failed", F.array_compact(F.array(*failed))).select(*states.columns, "_failed")
 
 
 def failures(checked: DataFrame) -> DataFrame:
     """One row per page and failed rule of ``with_failed``: book_id, page_index, rule_rank, code."""
-    found = checked.select("book_id", "page_index", F.explode("_failed").alias("v"))
+    found = checked.select("book_id", "page_index", F.explode_outer("_failed").alias("v")).filter("v is not null")  # explode alone would have the rules evaluated twice
     return found.select("book_id", "page_index", "v.rule_rank", "v.code")
 
 
@@ -115,9 +135,12 @@ def violations(states: DataFrame, *, whole_books: bool = False, page_counts: Dat
     return failures(with_failed(states, whole_books, page_counts, **options))
 
 
-def accepted(states: DataFrame, *, whole_books: bool = False, **options) -> DataFrame:
-    """The pages before each book's first violation, with their states, inside the windows' partitioning."""
+def accepted(states: DataFrame, *, whole_books: bool = False, tasks: int | None = None, **options) -> DataFrame:
+    """The pages before each book's first violation, with their states where they have one.
+
+    ``tasks``: over how many the books are dealt for it, as titles' way through Python gives up the windows' partitioning."""
     checked = with_failed(states, whole_books, **options)
+    checked = checked.repartition(tasks, "book_id") if tasks else checked
     stop = F.min(F.when(F.size("_failed") > 0, F.col("page_index"))).over(Window.partitionBy("book_id"))
     return checked.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("page_index") < F.col("_stop"))).select(*states.columns)
 

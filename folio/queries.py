@@ -540,7 +540,7 @@ def server_builds(spark, d):
 
 @query
 def failure_numbers(spark, d):
-    found = validate.violations(state.with_state(C.event_pages(spark, d)))
+    found = validate.violations(C.event_pages(spark, d)).repartition(C.event_tasks(spark, d), "book_id")
     return store.numbered_failures(found, "page_index", "rule_rank").select("book_id", "page_index", "code", "name", "latest")
 
 
