@@ -240,7 +240,7 @@ def val_figures(spark, d):
 
 @query
 def val_book_end(spark, d):
-    found = validate.violations(state.with_state(C.event_pages(spark, d)), whole_books=True)
+    found = validate.violations(C.event_pages(spark, d), whole_books=True)
     ends = len(validate.rules())
     return found.filter(F.col("rule_rank") >= ends).select("book_id", "page_index", "code")
 
