@@ -247,7 +247,7 @@ def val_book_end(spark, d):
 
 @query
 def first_violation(spark, d):
-    return validate.first_violation(validate.violations(state.with_state(C.event_pages(spark, d))))
+    return validate.first_violation(validate.violations(C.event_pages(spark, d)))
 
 
 @query
