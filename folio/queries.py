@@ -253,7 +253,7 @@ def first_violation(spark, d):
 
 @query
 def accepted_prefix(spark, d):
-    kept = validate.accepted(state.with_state(C.event_pages(spark, d)))
+    kept = validate.accepted(C.event_pages(spark, d), tasks=C.event_tasks(spark, d))
     return kept.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_pages"), F.max("page_index").alias("last_page"))
 
 
@@ -561,7 +561,7 @@ def wire_closed_objects(spark, d):
 @query
 def val_made_pages(spark, d):
     """Every rule on pages that break it and on pages that just do not, with whole books."""
-    return validate.violations(state.with_state(M.rule_pages(spark, d)), whole_books=True).select("book_id", "page_index", "code")
+    return validate.violations(M.rule_pages(spark, d), whole_books=True).select("book_id", "page_index", "code")
 
 
 @query

@@ -21,7 +21,7 @@ def _sorted_and_windowed(frame) -> list[str]:
     return [re.sub(r"#\d+L?", "", columns) for columns in found]
 
 
-@pytest.mark.parametrize("name", ["failure_numbers", "val_book_end", "first_violation", "val_continuations", "val_openings", "val_toc_hierarchy"])
+@pytest.mark.parametrize("name", ["failure_numbers", "val_book_end", "first_violation", "val_continuations", "val_toc_hierarchy", "val_openings", "accepted_prefix"])
 def test_windows_of_rules_carry_no_pages_and_no_lists_of_the_state(spark, name):
     wide = {"blocks", "toc_entries", "toc", "section", "_section", "_stack", "_toc_before"}
     for columns in _sorted_and_windowed(QUERIES[name](spark, SF)):
